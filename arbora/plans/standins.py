@@ -163,3 +163,80 @@ items AS (
   JOIN part_leaf b ON b.partkey = (l.l_partkey * 7 + l.l_suppkey) % (SELECT count(*) FROM part)
 )
 """
+
+
+# ------------------------------------------------------------------ quads / offers
+
+def quads_from_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as one crawl file of quads in event order (FIXTURES.md §4).
+
+    url = shop ``user_id % 3``; predicate and object are derived from the event
+    type so every routing branch of the fold is exercised.
+    """
+    e = table(spark, sf, "events")
+    et, props, uid, eid = F.col("event_type"), F.col("props"), F.col("user_id"), F.col("event_id")
+    q = F.lit('"')
+    even = (eid % 2) == 0
+    predicate = (F.when(et == "view", "<http://schema.org/Product/name>")
+                  .when(et == "click", "<http://schema.org/Product/description>")
+                  .when(et == "purchase", "<http://schema.org/Product/category>")
+                  .when((et == "error") & even, "<http://schema.org/Product/breadcrumb>")
+                  .when(et == "error", "<http://schema.org/Breadcrumb/name>")
+                  .when(even, "<http://schema.org/BreadcrumbList/itemListElement>")
+                  .otherwise("<http://schema.org/Breadcrumb/url>"))
+    obj = (F.when(et == "view", F.concat(q, F.lit("item "), props, q, F.lit("@en")))
+            .when(et == "click", F.concat(q, F.lit("about "), props, F.lit(" for user "),
+                                          uid.cast("string"), q, F.lit("@en")))
+            .when((et == "error") & ((uid % 5) == 0), F.concat(F.lit("_:node"), eid.cast("string")))
+            .when(et == "error", F.concat(q, F.lit("home "), props, q))
+            .otherwise(F.concat(q, props, q)))
+    url = F.concat(F.lit("http://www.shop"), (uid % 3).cast("string"), F.lit(".example.com/item"))
+    return e.select(F.lit("events").alias("file"), eid.alias("line_no"),
+                    F.concat(F.lit("_:node"), uid.cast("string")).alias("subject"),
+                    predicate.alias("predicate"), obj.alias("object"), url.alias("url"))
+
+
+def offers_from_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as extracted offers: Title = text, Host = source, Category = lang."""
+    d = table(spark, sf, "documents")
+    return d.select(
+        F.col("doc_id").alias("offer_id"), F.col("text").alias("Title"),
+        F.when((F.col("n_chars") % 3) == 0, F.lit(None).cast("string"))
+         .otherwise(F.col("n_chars").cast("string")).alias("Description"),
+        F.col("lang").alias("Category"), F.col("source").alias("Breadcrumb"),
+        F.lit(None).cast("string").alias("BreadcrumbList"),
+        F.concat(F.lit("http://www."), F.col("source"), F.lit(".example.com/"),
+                 F.col("doc_id").cast("string")).alias("URL"),
+        F.col("source").alias("Host"), F.col("lang").alias("file"))
+
+
+SQL_QUADS = """
+quads AS (
+  SELECT 'events' AS file, event_id AS line_no, '_:node' || CAST(user_id AS VARCHAR) AS subject,
+    CASE WHEN event_type = 'view' THEN '<http://schema.org/Product/name>'
+         WHEN event_type = 'click' THEN '<http://schema.org/Product/description>'
+         WHEN event_type = 'purchase' THEN '<http://schema.org/Product/category>'
+         WHEN event_type = 'error' AND event_id % 2 = 0 THEN '<http://schema.org/Product/breadcrumb>'
+         WHEN event_type = 'error' THEN '<http://schema.org/Breadcrumb/name>'
+         WHEN event_id % 2 = 0 THEN '<http://schema.org/BreadcrumbList/itemListElement>'
+         ELSE '<http://schema.org/Breadcrumb/url>' END AS predicate,
+    CASE WHEN event_type = 'view' THEN '"item ' || props || '"@en'
+         WHEN event_type = 'click' THEN '"about ' || props || ' for user ' || CAST(user_id AS VARCHAR) || '"@en'
+         WHEN event_type = 'error' AND user_id % 5 = 0 THEN '_:node' || CAST(event_id AS VARCHAR)
+         WHEN event_type = 'error' THEN '"home ' || props || '"'
+         ELSE '"' || props || '"' END AS object,
+    'http://www.shop' || CAST(user_id % 3 AS VARCHAR) || '.example.com/item' AS url
+  FROM events
+)
+"""
+
+SQL_DOC_OFFERS = """
+doc_offers AS (
+  SELECT doc_id AS offer_id, text AS Title,
+         CASE WHEN n_chars % 3 = 0 THEN NULL ELSE CAST(n_chars AS VARCHAR) END AS Description,
+         lang AS Category, source AS Breadcrumb, CAST(NULL AS VARCHAR) AS BreadcrumbList,
+         'http://www.' || source || '.example.com/' || CAST(doc_id AS VARCHAR) AS URL,
+         source AS Host, lang AS file
+  FROM documents
+)
+"""
