@@ -18,6 +18,8 @@ from arbora.operators import taxonomy as tx
 from arbora.session import table
 
 T_LEVELS = ["lvl1", "lvl2", "lvl3"]
+# (l_orderkey, l_linenumber) repeats in the test data; these columns identify a line
+ITEM_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
 
 
 def noun(p_name: Column) -> Column:
@@ -67,18 +69,18 @@ def part_leaf(spark: SparkSession, sf: str, nodes: DataFrame) -> DataFrame:
 
 
 def lineitem_predictions(spark: SparkSession, sf: str, nodes: DataFrame | None = None) -> DataFrame:
-    """Items (l_orderkey, l_linenumber, l_suppkey, label_id, pred_id) over T2."""
+    """Items keyed by ``ITEM_KEY`` with (label_id, pred_id) over T2."""
     nodes = nodes if nodes is not None else t2_nodes(spark, sf)
     li = table(spark, sf, "lineitem")
     n_parts = table(spark, sf, "part").select(F.count("*")).scalar()
     pl = part_leaf(spark, sf, nodes)
-    items = li.select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey",
+    items = li.select(*ITEM_KEY,
                       ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % n_parts).alias("pred_partkey"))
     # part grows with the data: these are plain joins the planner sizes itself
     lab = pl.select(F.col("partkey").alias("l_partkey"), F.col("leaf_id").alias("label_id"))
     prd = pl.select(F.col("partkey").alias("pred_partkey"), F.col("leaf_id").alias("pred_id"))
     return (items.join(lab, "l_partkey").join(prd, "pred_partkey")
-                 .select("l_orderkey", "l_linenumber", "l_suppkey", "label_id", "pred_id"))
+                 .select(*ITEM_KEY, "label_id", "pred_id"))
 
 
 # ------------------------------------------------------------------ SQL twins
@@ -157,7 +159,7 @@ part_leaf AS (
     ON t2_nodes.name = replace(p_type || '/' || p_brand || '/' || split_part(p_name, ' ', 2), ' ', '_')
 ),
 items AS (
-  SELECT l.l_orderkey, l.l_linenumber, l.l_suppkey, a.leaf_id AS label_id, b.leaf_id AS pred_id
+  SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_quantity, a.leaf_id AS label_id, b.leaf_id AS pred_id
   FROM lineitem l
   JOIN part_leaf a ON a.partkey = l.l_partkey
   JOIN part_leaf b ON b.partkey = (l.l_partkey * 7 + l.l_suppkey) % (SELECT count(*) FROM part)
