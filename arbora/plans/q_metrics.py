@@ -173,3 +173,66 @@ def metrics_loss_summary(spark, sf):
                   (1 / (1 + F.exp(-(F.col("l_quantity") - 25) / 10))).alias("p"))
     out = m.loss_summary(s, "p", ["l_returnflag"])
     return out.select("l_returnflag", _r("mean_loss"), _r("focal_loss"), _r("perplexity"), "n_items")
+
+
+METRIC_NAMES = (m.LEAF_METRICS + [m.H_METRIC]
+                + [f"{a}_{x}_lvl_{k}" for k in (1, 2, 3) for a in ("weighted", "macro") for x in ("prec", "rec", "f1")]
+                + [m.AVERAGE_METRIC.format(avg=a, m=x) for a in ("weighted", "macro") for x in ("prec", "rec", "f1")])
+
+
+def bundle_sql(keys: list[str], nodes: str = "t2_nodes", paths: str = "t2_paths") -> str:
+    """CTEs computing the metric bundle per ``keys`` from a CTE
+    ``items(keys..., label_id, pred_id)``; ends with ``bundle_long``."""
+    k = ", ".join(keys)
+    return f""",
+withp AS (
+  SELECT i.*,
+         CASE WHEN coalesce(len(pl.path), 0) = 0 THEN [i.label_id] ELSE pl.path END AS lp,
+         CASE WHEN coalesce(len(pp.path), 0) = 0 THEN [i.pred_id] ELSE pp.path END AS pp
+  FROM items i LEFT JOIN {paths} pl ON pl.id = i.label_id LEFT JOIN {paths} pp ON pp.id = i.pred_id
+),
+nn AS (SELECT count(*) + 1 AS dummy FROM {nodes}),
+lv AS (
+  SELECT {k}, k, coalesce(lp[k], dummy) AS lab, coalesce(pp[k], dummy) AS prd
+  FROM (SELECT {k}, unnest(range(1, greatest(len(lp), len(pp)) + 1)) AS k, lp, pp FROM withp), nn
+),
+hs AS (SELECT {k}, list_filter(lp, lambda x: x > 0) AS ht, list_filter(pp, lambda x: x > 0) AS hp FROM withp),
+contrib AS (
+  SELECT {k}, 'leaf' AS scope, label_id AS label, CAST(label_id = pred_id AS BIGINT) AS tp,
+         CAST(1 AS BIGINT) AS sup, CAST(0 AS BIGINT) AS np FROM withp
+  UNION ALL SELECT {k}, 'leaf', pred_id, 0, 0, 1 FROM withp
+  UNION ALL SELECT {k}, 'h', -1, len(list_intersect(ht, hp)), len(ht), len(hp) FROM hs
+  UNION ALL SELECT {k}, 'lvl_' || CAST(k AS VARCHAR), lab, CAST(lab = prd AS BIGINT), 1, 0 FROM lv
+  UNION ALL SELECT {k}, 'lvl_' || CAST(k AS VARCHAR), prd, 0, 0, 1 FROM lv
+),
+counts AS (SELECT {k}, scope, label, sum(tp) AS tp, sum(sup) AS sup, sum(np) AS np FROM contrib GROUP BY {k}, scope, label),
+pl AS (
+  SELECT *, CASE WHEN np = 0 THEN 0.0 ELSE tp / np END AS prec, CASE WHEN sup = 0 THEN 0.0 ELSE tp / sup END AS rec,
+            CASE WHEN np + sup = 0 THEN 0.0 ELSE 2 * tp / (np + sup) END AS f1
+  FROM counts WHERE scope <> 'h'
+),
+scored AS (
+  SELECT {k}, scope, sum(sup * prec) / sum(sup) AS weighted_prec, sum(tp) / sum(sup) AS weighted_rec,
+         sum(sup * f1) / sum(sup) AS weighted_f1, avg(prec) AS macro_prec, avg(rec) AS macro_rec, avg(f1) AS macro_f1
+  FROM pl GROUP BY {k}, scope
+),
+hier AS (SELECT {k}, sum(tp) / sum(np) AS h_prec, sum(tp) / sum(sup) AS h_rec FROM counts WHERE scope = 'h' GROUP BY {k}),
+bundle_long AS (
+  SELECT {k}, 'leaf_weighted_prec' AS metric, weighted_prec AS value FROM scored WHERE scope = 'leaf'
+  UNION ALL SELECT {k}, 'leaf_weighted_rec', weighted_rec FROM scored WHERE scope = 'leaf'
+  UNION ALL SELECT {k}, 'leaf_weighted_f1', weighted_f1 FROM scored WHERE scope = 'leaf'
+  UNION ALL SELECT {k}, 'leaf_macro_f1', macro_f1 FROM scored WHERE scope = 'leaf'
+  UNION ALL SELECT {k}, 'h_f1', CASE WHEN h_prec + h_rec = 0 THEN 0.0 ELSE 2 * h_prec * h_rec / (h_prec + h_rec) END FROM hier
+  UNION ALL SELECT {k}, 'weighted_prec_' || scope, weighted_prec FROM scored WHERE scope <> 'leaf'
+  UNION ALL SELECT {k}, 'weighted_rec_' || scope, weighted_rec FROM scored WHERE scope <> 'leaf'
+  UNION ALL SELECT {k}, 'weighted_f1_' || scope, weighted_f1 FROM scored WHERE scope <> 'leaf'
+  UNION ALL SELECT {k}, 'macro_prec_' || scope, macro_prec FROM scored WHERE scope <> 'leaf'
+  UNION ALL SELECT {k}, 'macro_rec_' || scope, macro_rec FROM scored WHERE scope <> 'leaf'
+  UNION ALL SELECT {k}, 'macro_f1_' || scope, macro_f1 FROM scored WHERE scope <> 'leaf'
+  UNION ALL SELECT {k}, 'average_weighted_prec', avg(weighted_prec) FROM scored WHERE scope <> 'leaf' GROUP BY {k}
+  UNION ALL SELECT {k}, 'average_weighted_rec', avg(weighted_rec) FROM scored WHERE scope <> 'leaf' GROUP BY {k}
+  UNION ALL SELECT {k}, 'average_weighted_f1', avg(weighted_f1) FROM scored WHERE scope <> 'leaf' GROUP BY {k}
+  UNION ALL SELECT {k}, 'average_macro_prec', avg(macro_prec) FROM scored WHERE scope <> 'leaf' GROUP BY {k}
+  UNION ALL SELECT {k}, 'average_macro_rec', avg(macro_rec) FROM scored WHERE scope <> 'leaf' GROUP BY {k}
+  UNION ALL SELECT {k}, 'average_macro_f1', avg(macro_f1) FROM scored WHERE scope <> 'leaf' GROUP BY {k}
+)"""
