@@ -30,8 +30,9 @@ BREADCRUMB_EXCLUDED = ["<http://schema.org/Breadcrumb/url>", "<http://schema.org
 BLANK_NODE = "_:node"
 OFFER_COLUMNS = ["Title", "Description", "Category", "Breadcrumb", "BreadcrumbList",
                  "Breadcrumb_Predicate", "URL", "Host"]
-# N-Quads line: subject predicate object graph .  (object may be a quoted literal)
-QUAD_PATTERN = (r'^\s*(\S+)\s+(\S+)\s+("(?:[^"\\]|\\.)*"(?:@[\w-]+|\^\^\S+)?|\S+)\s+(\S+)\s*\.?\s*$')
+# N-Quads line: subject predicate object graph .  The object may be a quoted
+# literal (greedy, so inner quotes need no escaping: the graph is the last token).
+QUAD_PATTERN = r'^\s*(\S+)\s+(\S+)\s+(".*"(?:@[\w-]+|\^\^\S+)?|\S+)\s+(\S+)\s*\.?\s*$'
 
 CHUNK_LINES = 1_000_000   # lines of one file ordered together in W1
 
