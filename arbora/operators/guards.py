@@ -5,6 +5,10 @@ beyond the bound the join is left to the planner (sort-merge / shuffle hash),
 so nothing that grows with the data is ever shipped whole to every executor.
 The checked side is persisted first so the count and the join share one
 computation.
+
+Tables derived row-for-row from a checked table (a taxonomy's paths, ordinals
+or name lookup have one row per node) may name that table as ``bound``: its
+remembered count stands in for a second counting job.
 """
 
 from __future__ import annotations
@@ -14,14 +18,35 @@ from pyspark.sql import DataFrame, functions as F
 
 # Label spaces, host lists, configs and option grids stay far below this.
 BROADCAST_MAX_ROWS = 2_000_000
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Return ``df`` with a broadcast hint if it has at most ``max_rows`` rows."""
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    n = df.count()
+_ROWS_ATTR = "_arbora_checked_rows"
+
+
+def checked_rows(df: DataFrame) -> int:
+    """Row count of ``df``, computed once per DataFrame object (persisted)."""
+    n = getattr(df, _ROWS_ATTR, None)
+    if n is None:
+        df.persist(StorageLevel.MEMORY_AND_DISK)
+        n = df.count()
+        setattr(df, _ROWS_ATTR, n)
+    return n
+
+
+def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
+                      bound: DataFrame | None = None) -> DataFrame:
+    """Return ``df`` with a broadcast hint if it has at most ``max_rows`` rows.
+
+    With ``bound``, ``df`` is known to have no more rows than ``bound`` (it is
+    derived from it row for row) and ``bound``'s count is used instead.
+    """
+    if bound is not None:
+        n = checked_rows(bound)
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    else:
+        n = checked_rows(df)
     if n <= max_rows:
-        return F.broadcast(df)
+        out = F.broadcast(df)
+        setattr(out, _ROWS_ATTR, n)
+        return out
     return df
 
 

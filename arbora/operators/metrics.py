@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from arbora.operators.guards import checked_broadcast
-from arbora.operators.taxonomy import scorer_path, with_paths
+from arbora.operators.taxonomy import depth_of, scorer_path, with_paths
 
 # Fixed metric names of the bundle (values must match the reference's report keys).
 LEAF_METRICS = ["leaf_weighted_prec", "leaf_weighted_rec", "leaf_weighted_f1", "leaf_macro_f1"]
@@ -81,7 +81,7 @@ def attach_paths(items: DataFrame, nodes: DataFrame, label: str = "label_id",
                  pred: str = "pred_id") -> DataFrame:
     """Add ``label_path`` / ``pred_path`` (scorer variant: root -> [root])
     through two broadcast lookups of the (size-checked) path table."""
-    paths = checked_broadcast(with_paths(nodes).select("id", "path"))
+    paths = checked_broadcast(with_paths(nodes).select("id", "path"), bound=nodes)
     lp = paths.select(F.col("id").alias(label), F.col("path").alias("label_path"))
     pp = paths.select(F.col("id").alias(pred), F.col("path").alias("pred_path"))
     out = items.join(lp, label, "left").join(pp, pred, "left")
@@ -91,8 +91,12 @@ def attach_paths(items: DataFrame, nodes: DataFrame, label: str = "label_id",
 
 
 def _h_set(path: Column, compat: bool) -> Column:
-    """Ancestor-augmented label set for hF1 (root and unknown -> empty)."""
-    clean = F.filter(path, lambda x: x > 0)
+    """Ancestor-augmented label set for hF1 (root and unknown -> empty).
+
+    A scorer path holds the root (0) only as the single-element out-of-category
+    path, so dropping it needs no element-wise function."""
+    clean = F.when((F.size(path) == 1) & (F.element_at(path, 1) <= 0),
+                   F.array().cast("array<int>")).otherwise(path)
     if compat:
         # Q1: the first top-level node (id 1) merges with the root, so it is never
         # an ancestor of another node; as a label of its own it still counts.
@@ -119,30 +123,38 @@ def level_counts(items: DataFrame, nodes: DataFrame, keys: list[str] | tuple = (
                  label: str = "label_id", pred: str = "pred_id",
                  compat: bool = False) -> DataFrame:
     """One pass over the items: counter rows for leaf, per-level and hierarchical
-    scopes, summed per (keys, scope, label)."""
+    scopes, summed per (keys, scope, label).
+
+    The tree depth D is known from the (small) node table, so every level's
+    counters are plain column expressions (no higher-order functions), which
+    keeps the pass inside whole-stage code generation; levels an item does not
+    reach produce NULL rows that are filtered before the partial aggregation.
+    """
     k = list(keys)
     n_nodes = nodes.select(F.count("*").cast("int")).scalar()
-    # the dummy label is a column so the higher-order functions below may use it
+    max_depth = depth_of(nodes) or 1
     withp = attach_paths(items.select(*k, label, pred), nodes, label, pred).withColumn(
         "dummy_", (n_nodes + F.lit(1)).cast("int"))
-    dummy = F.col("dummy_")
     lab, prd = F.col(label), F.col(pred)
-    hit = (lab == prd).cast("long")
-    ht, hp = _h_set(F.col("label_path"), compat), _h_set(F.col("pred_path"), compat)
+    lpath, ppath = F.col("label_path"), F.col("pred_path")
+    lt, lp_ = F.size(lpath), F.size(ppath)
+    n = F.greatest(lt, lp_)
     one, zero = F.lit(1), F.lit(0)
-    fixed = F.array(
-        _contrib(F.lit("leaf"), lab, hit, one, zero),
+    ht, hp = _h_set(lpath, compat), _h_set(ppath, compat)
+    rows = [
+        _contrib(F.lit("leaf"), lab, (lab == prd).cast("long"), one, zero),
         _contrib(F.lit("leaf"), prd, zero, zero, one),
         _contrib(F.lit("h"), F.lit(-1), F.size(F.array_intersect(ht, hp)), F.size(ht), F.size(hp)),
-    )
-    per_level = F.flatten(F.transform(
-        align_levels(F.col("label_path"), F.col("pred_path"), dummy),
-        lambda x: F.array(
-            _contrib(F.concat(F.lit("lvl_"), x["level"].cast("string")), x["label"],
-                     (x["label"] == x["pred"]).cast("long"), one, zero),
-            _contrib(F.concat(F.lit("lvl_"), x["level"].cast("string")), x["pred"], zero, zero, one))))
-    rows = withp.select(*k, F.inline(F.concat(fixed, per_level)))
-    return rows.groupBy(*k, "scope", "label").agg(
+    ]
+    for lvl in range(1, max_depth + 1):
+        kk = F.lit(lvl)
+        lab_k = F.when(kk <= lt, F.element_at(lpath, lvl)).when(kk <= n, F.col("dummy_"))
+        prd_k = F.when(kk <= lp_, F.element_at(ppath, lvl)).when(kk <= n, F.col("dummy_"))
+        scope = F.lit(f"lvl_{lvl}")
+        rows.append(F.when(kk <= n, _contrib(scope, lab_k, (lab_k == prd_k).cast("long"), one, zero)))
+        rows.append(F.when(kk <= n, _contrib(scope, prd_k, zero, zero, one)))
+    exploded = withp.select(*k, F.inline(F.array(*rows))).where(F.col("scope").isNotNull())
+    return exploded.groupBy(*k, "scope", "label").agg(
         F.sum("tp").alias("tp"), F.sum("sup").alias("sup"), F.sum("np").alias("np"))
 
 

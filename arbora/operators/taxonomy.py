@@ -106,8 +106,8 @@ def with_paths(nodes: DataFrame) -> DataFrame:
     from arbora.operators.guards import checked_broadcast
     ordered = nodes.withColumn(
         "pord", F.row_number().over(Window.partitionBy("parent_id").orderBy("id")).cast("int"))
-    ordered = checked_broadcast(ordered)
-    max_depth = ordered.agg(F.max("depth")).first()[0] or 0
+    ordered = checked_broadcast(ordered, bound=nodes)
+    max_depth = depth_of(nodes)
     up = ordered.select(F.col("id").alias("a_id"), F.col("parent_id").alias("a_parent"),
                         F.col("pord").alias("a_pord"))
     empty = F.array().cast("array<int>")
@@ -128,6 +128,15 @@ def with_paths(nodes: DataFrame) -> DataFrame:
     return cur.drop("next_")
 
 
+def depth_of(nodes: DataFrame) -> int:
+    """Maximum depth of a node table (one small job, remembered on the object)."""
+    d = getattr(nodes, "_arbora_max_depth", None)
+    if d is None:
+        d = nodes.agg(F.max("depth")).first()[0] or 0
+        nodes._arbora_max_depth = d
+    return d
+
+
 def depth_from_edges(nodes: DataFrame) -> DataFrame:
     """Depth of every node of an ``(id, name, parent_id)`` table of any depth, with
     a recursive CTE (for trees read from files that carry no depth)."""
@@ -271,7 +280,7 @@ def encode_names(df: DataFrame, name_col: str, nodes: DataFrame, out_col: str =
     """Name -> id lookup against a (checked, broadcast) node table."""
     from arbora.operators.guards import checked_broadcast
     lookup = checked_broadcast(nodes.select(F.col("name").alias(name_col),
-                                            F.col("id").alias(out_col)))
+                                            F.col("id").alias(out_col)), bound=nodes)
     return df.join(lookup, name_col, how)
 
 
