@@ -57,7 +57,9 @@ def most_frequent(df: DataFrame, label: str) -> Column:
 
 
 def dictionary_scores(text: Column, classes: Column) -> Column:
-    """``struct(score, neg_ord, name)`` of the best class for ``text``.
+    """C2 (row-local form): ``struct(score, neg_ord, name)`` of the best class of
+    ``text`` against an ``array<struct<ord, name, words>>`` column. Used for small
+    class lists; :func:`dictionary_classify` is the scalable form.
 
     score(c) = sum over the class words of their non-overlapping occurrences in
     the (not lower-cased) text, divided by the number of words; the highest score
@@ -72,17 +74,103 @@ def dictionary_scores(text: Column, classes: Column) -> Column:
     return F.array_max(scored)
 
 
+def _scan_and_score(df: DataFrame, id_col: str, text: str, index_rows: list) -> DataFrame:
+    """Per row and option: the best class under the dictionary score.
+
+    ``index_rows`` is the inverted index ``(option, word, ord, nw)`` (bounded by
+    the label space, size-checked before it is collected and shipped to tasks).
+    Each text is scanned once with an Aho-Corasick automaton over all words
+    (Python ``str.count`` semantics: case-sensitive, non-overlapping, leftmost);
+    the counts of present words are added to the classes containing them, and
+    the best class is chosen by exact integer comparison of ``s1 * n2`` against
+    ``s2 * n1`` (ties: lowest ordinal). Runs in Arrow batches via
+    ``mapInPandas``; emits one row per (row, option) with a non-zero score.
+    """
+    vocab = list(dict.fromkeys(r[1] for r in index_rows if r[1]))
+    pos = {w: i for i, w in enumerate(vocab)}
+    inv: dict = {}
+    for option, word, ord_, nw in index_rows:
+        if word:
+            inv.setdefault(pos[word], []).append((option, ord_, nw))
+    id_type = df.schema[id_col].dataType.simpleString()
+    id_dtype = {"bigint": "int64", "int": "int32", "smallint": "int16"}.get(id_type, "object")
+
+    def scan(batches):
+        import ahocorasick
+        import pandas as pd
+        auto = ahocorasick.Automaton()
+        for i, w in enumerate(vocab):
+            auto.add_word(w, (i, len(w)))
+        if vocab:
+            auto.make_automaton()
+        for pdf in batches:
+            ids, opts, ords, ss, nws = [], [], [], [], []
+            for rid, t in zip(pdf[id_col].tolist(), pdf[text].tolist()):
+                if t is None or not vocab:
+                    continue
+                last_end, counts = {}, {}
+                for end, (i, n) in auto.iter(t):          # ordered by end position
+                    if end - n + 1 > last_end.get(i, -1):   # greedy leftmost, non-overlapping
+                        counts[i] = counts.get(i, 0) + 1
+                        last_end[i] = end
+                acc: dict = {}
+                for i, c in counts.items():
+                    for option, ord_, nw in inv.get(i, ()):
+                        k = (option, ord_)
+                        a = acc.get(k)
+                        acc[k] = (a[0] + c, nw) if a else (c, nw)
+                best: dict = {}
+                for (option, ord_), (sc, nw) in acc.items():
+                    b = best.get(option)
+                    if b is None or sc * b[2] > b[1] * nw or (sc * b[2] == b[1] * nw and ord_ < b[0]):
+                        best[option] = (ord_, sc, nw)
+                for option, (ord_, sc, nw) in best.items():
+                    ids.append(rid)
+                    opts.append(option)
+                    ords.append(ord_)
+                    ss.append(sc)
+                    nws.append(nw)
+            yield pd.DataFrame({id_col: pd.Series(ids, dtype=id_dtype), "option": pd.Series(opts, dtype="object"),
+                                "ord": pd.Series(ords, dtype="int64"), "s": pd.Series(ss, dtype="int64"),
+                                "nw": pd.Series(nws, dtype="int64")})
+
+    return df.select(id_col, text).mapInPandas(
+        scan, f"{id_col} {id_type}, option string, ord long, s long, nw long")
+
+
+def _inverted_index(vocab: DataFrame, option: str = "") -> DataFrame:
+    return vocab.select(F.lit(option).alias("option"), "ord", "name", F.size("words").alias("nw"),
+                        F.explode("words").alias("word"))
+
+
+def _classify(df: DataFrame, text: str, index: DataFrame, id_col: str) -> DataFrame:
+    """(id, option, best_) for rows with a non-zero score."""
+    idx = checked_broadcast(index)
+    rows = [tuple(r) for r in idx.select("option", "word", "ord", "nw").collect()]
+    best = _scan_and_score(df, id_col, text, rows)
+    names = F.broadcast(idx.select("option", F.col("ord").cast("long").alias("ord"), "name").distinct())
+    return best.join(names, ["option", "ord"]).select(
+        id_col, "option", F.struct((F.col("s").cast("double") / F.col("nw")).alias("score"),
+                                   F.negative(F.col("ord")).alias("neg_ord"), "name").alias("best_"))
+
+
 def dictionary_classify(df: DataFrame, text: str, vocab: DataFrame, default: Column | str | None = None,
-                        out: str = "prediction") -> DataFrame:
+                        out: str = "prediction", id_col: str = "offer_id") -> DataFrame:
     """Predict the best dictionary class per row; zero-score rows get
-    ``default`` (a label, or e.g. :func:`most_frequent`), NULL if none."""
-    classes = vocab.select(F.sort_array(F.collect_list(F.struct("ord", "name", "words")))).scalar()
+    ``default`` (a label, or e.g. :func:`most_frequent`), NULL if none.
+
+    The class vocabulary becomes an inverted index ``word -> classes``; each text
+    is scanned once and scored in the same pass (see :func:`_scan_and_score`),
+    so no (row, class) pairs are materialised or shuffled. ``id_col`` must
+    identify rows.
+    """
+    best = _classify(df, text, _inverted_index(vocab), id_col).drop("option")
     d = F.lit(default) if isinstance(default, str) else default
-    best = df.withColumn("classes_", classes).withColumn("best_", dictionary_scores(F.col(text), F.col("classes_")))
+    res = df.join(best, id_col, "left")
     pred = F.when(F.col("best_.score") > 0, F.col("best_.name"))
     if d is not None:
         pred = pred.otherwise(d)
-    return best.withColumn(out, pred).withColumn("score", F.col("best_.score")).drop("classes_", "best_")
+    return res.withColumn(out, pred).withColumn("score", F.coalesce(F.col("best_.score"), F.lit(0.0))).drop("best_")
 
 
 def with_fallback(classified: DataFrame, text: str, model, out: str = "prediction",
@@ -95,23 +183,23 @@ def with_fallback(classified: DataFrame, text: str, model, out: str = "predictio
 
 
 def sweep(df: DataFrame, text: str, options: dict[str, DataFrame], default: Column | str | None = None,
-          out: str = "prediction") -> DataFrame:
+          out: str = "prediction", id_col: str = "offer_id") -> DataFrame:
     """G1: score every row under several vocabularies in one pass; one output row
-    per (option, input row). Each option vocabulary is a small class table."""
-    arr = None
+    per (option, input row). The text is scanned once for the union of all
+    options' words; the option travels with the inverted index."""
+    index = None
     for name, vocab in options.items():
-        classes = vocab.select(F.sort_array(F.collect_list(F.struct("ord", "name", "words")))).scalar()
-        entry = F.struct(F.lit(name).alias("option"), classes.alias("classes"))
-        arr = F.array(entry) if arr is None else F.concat(arr, F.array(entry))
+        i = _inverted_index(vocab, name)
+        index = i if index is None else index.unionByName(i)
+    best = _classify(df, text, index, id_col)
     d = F.lit(default) if isinstance(default, str) else default
-    x = df.withColumn("opt_", F.explode(arr))
-    best = dictionary_scores(F.col(text), F.col("opt_.classes"))
-    x = x.withColumn("best_", best)
+    per_option = df.withColumn("option", F.explode(F.array(*[F.lit(o) for o in options])))
+    res = per_option.join(best, [id_col, "option"], "left")
     pred = F.when(F.col("best_.score") > 0, F.col("best_.name"))
     if d is not None:
         pred = pred.otherwise(d)
-    return x.select(*df.columns, F.col("opt_.option").alias("option"), pred.alias(out),
-                    F.col("best_.score").alias("score"))
+    return res.select(*df.columns, "option", pred.alias(out),
+                      F.coalesce(F.col("best_.score"), F.lit(0.0)).alias("score"))
 
 
 # ---------------------------------------------------------------- C5-C7 (Spark ML)

@@ -124,7 +124,7 @@ def classify_sweep_documents(spark, sf):
     lemmas) in one pass; classes are the part nouns."""
     opts, default = _noun_options(spark, sf)
     d = table(spark, sf, "documents").select("doc_id", "text")
-    out = cl.sweep(d, "text", opts, default)
+    out = cl.sweep(d, "text", opts, default, id_col="doc_id")
     return out.select("doc_id", "option", "prediction", F.round("score", 6).alias("score"))
 
 
