@@ -122,40 +122,54 @@ def align_levels(label_path: Column, pred_path: Column, dummy: Column) -> Column
 def level_counts(items: DataFrame, nodes: DataFrame, keys: list[str] | tuple = (),
                  label: str = "label_id", pred: str = "pred_id",
                  compat: bool = False) -> DataFrame:
-    """One pass over the items: counter rows for leaf, per-level and hierarchical
-    scopes, summed per (keys, scope, label).
-
-    The tree depth D is known from the (small) node table, so every level's
-    counters are plain column expressions (no higher-order functions), which
-    keeps the pass inside whole-stage code generation; levels an item does not
-    reach produce NULL rows that are filtered before the partial aggregation.
+    """Counter rows for leaf, per-level and hierarchical scopes, summed per
+    (keys, scope, label).
+
+    Every metric is a function of the (truth, prediction) pair, so items are
+    first reduced to distinct pairs with a count (a partially aggregated
+    group-by on integers); paths are attached to pairs, not items. Each pair then
+    yields ``3 + 2 * depth`` counter rows by exploding a constant index array and
+    selecting fields with ``CASE`` expressions, which keeps the pass inside
+    whole-stage code generation (the tree depth comes from the small node table).
     """
     k = list(keys)
     n_nodes = nodes.select(F.count("*").cast("int")).scalar()
     max_depth = depth_of(nodes) or 1
-    withp = attach_paths(items.select(*k, label, pred), nodes, label, pred).withColumn(
-        "dummy_", (n_nodes + F.lit(1)).cast("int"))
-    lab, prd = F.col(label), F.col(pred)
+    pairs = items.groupBy(*k, label, pred).agg(F.count("*").alias("n_"))
+    withp = attach_paths(pairs, nodes, label, pred).withColumn("dummy_", (n_nodes + F.lit(1)).cast("int"))
+    lab, prd, w = F.col(label), F.col(pred), F.col("n_")
     lpath, ppath = F.col("label_path"), F.col("pred_path")
     lt, lp_ = F.size(lpath), F.size(ppath)
     n = F.greatest(lt, lp_)
-    one, zero = F.lit(1), F.lit(0)
     ht, hp = _h_set(lpath, compat), _h_set(ppath, compat)
-    rows = [
-        _contrib(F.lit("leaf"), lab, (lab == prd).cast("long"), one, zero),
-        _contrib(F.lit("leaf"), prd, zero, zero, one),
-        _contrib(F.lit("h"), F.lit(-1), F.size(F.array_intersect(ht, hp)), F.size(ht), F.size(hp)),
-    ]
-    for lvl in range(1, max_depth + 1):
-        kk = F.lit(lvl)
-        lab_k = F.when(kk <= lt, F.element_at(lpath, lvl)).when(kk <= n, F.col("dummy_"))
-        prd_k = F.when(kk <= lp_, F.element_at(ppath, lvl)).when(kk <= n, F.col("dummy_"))
-        scope = F.lit(f"lvl_{lvl}")
-        rows.append(F.when(kk <= n, _contrib(scope, lab_k, (lab_k == prd_k).cast("long"), one, zero)))
-        rows.append(F.when(kk <= n, _contrib(scope, prd_k, zero, zero, one)))
-    exploded = withp.select(*k, F.inline(F.array(*rows))).where(F.col("scope").isNotNull())
-    return exploded.groupBy(*k, "scope", "label").agg(
+    i = F.col("i_")
+    # index layout: 0 leaf truth, 1 leaf prediction, 2 hierarchical, then per level (truth, prediction)
+    lvl = F.floor((i - 3) / 2) + 1
+    is_pred = ((i - 3) % 2) == 1
+    lab_k = F.when(lvl <= lt, F.element_at(lpath, lvl.cast("int"))).otherwise(F.col("dummy_"))
+    prd_k = F.when(lvl <= lp_, F.element_at(ppath, lvl.cast("int"))).otherwise(F.col("dummy_"))
+    code = (F.when(i <= 1, F.lit(0)).when(i == 2, F.lit(-1))
+             .when(lvl <= n, lvl.cast("int")))                 # NULL: level not reached
+    lab_out = (F.when(i == 0, lab).when(i == 1, prd).when(i == 2, F.lit(-1))
+                .when(is_pred, prd_k).otherwise(lab_k))
+    hit = F.when(i <= 1, lab == prd).otherwise(lab_k == prd_k).cast("long")
+    truth_row = (i == 0) | ((i >= 3) & ~is_pred)
+    tp = (F.when(i == 2, F.size(F.array_intersect(ht, hp)).cast("long"))
+           .when(truth_row, hit).otherwise(F.lit(0).cast("long"))) * w
+    sup = (F.when(i == 2, F.size(ht).cast("long")).when(truth_row, F.lit(1).cast("long"))
+            .otherwise(F.lit(0).cast("long"))) * w
+    np_ = (F.when(i == 2, F.size(hp).cast("long")).when(truth_row, F.lit(0).cast("long"))
+            .otherwise(F.lit(1).cast("long"))) * w
+    idx = F.explode(F.array(*[F.lit(x) for x in range(3 + 2 * max_depth)]))
+    rows = (withp.select(*k, label, pred, "label_path", "pred_path", "dummy_", "n_", idx.alias("i_"))
+                 .select(*k, code.alias("code"), lab_out.cast("int").alias("label"), tp.alias("tp"),
+                         sup.alias("sup"), np_.alias("np"))
+                 .where(F.col("code").isNotNull()))
+    counted = rows.groupBy(*k, "code", "label").agg(
         F.sum("tp").alias("tp"), F.sum("sup").alias("sup"), F.sum("np").alias("np"))
+    scope = (F.when(F.col("code") == 0, F.lit("leaf")).when(F.col("code") == -1, F.lit("h"))
+              .otherwise(F.concat(F.lit("lvl_"), F.col("code").cast("string"))))
+    return counted.select(*k, scope.alias("scope"), "label", "tp", "sup", "np")
 
 
 def hierarchical_f(counts: DataFrame, keys: list[str] | tuple = (), beta: float = 1.0) -> DataFrame:
