@@ -275,34 +275,38 @@ def argmax(scores: DataFrame, keys: list[str], candidate: str, p: str) -> DataFr
         F.max(p).alias(p))
 
 
+_LEAF_BITS = 22   # leaf ids below 2**22 fit beside a 12-digit score in one long
+
+
 def path_product(scores: DataFrame, nodes: DataFrame, item: list[str], node: str = "node_id",
-                 logit: str = "logit", digits: int | None = None) -> DataFrame:
+                 logit: str = "logit", digits: int = 12) -> DataFrame:
     """Score of a leaf = product of sigmoid(node logit) over its path; a leaf
     is a candidate when every node on its path is scored. Returns the argmax leaf
-    per item (``leaf_id``, ``score``; ties to the lowest leaf id).
+    per item (``leaf_id``, ``score`` rounded to ``digits``; ties to the lowest
+    leaf id).
 
-    One shuffle by item: an item's scores form a ``node -> sigmoid`` map (bounded
-    by the label space), and each scored leaf multiplies the map values along its
-    path, looked up in the broadcast ``leaf -> path`` map. The product runs
-    root to leaf, so it does not depend on row order.
+    Candidates start from scored leaves only (no fan-out from inner nodes to the
+    leaves below them), pick up their ancestors from the broadcast closure, and
+    join back to the scores: work linear in candidates x depth. The argmax is a
+    hash ``max`` over one long packing the rounded score and the leaf id.
     """
-    lv = tx.leaves(nodes).where(F.col("depth") > 0).select("id")
-    leaf_paths = (tx.with_paths(nodes).join(lv, "id", "left_semi")
-                    .select(F.map_from_entries(F.collect_list(F.struct("id", "path")))).scalar())
-    sig = 1 / (1 + F.exp(-F.col(logit)))
-    per_item = scores.groupBy(*item).agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col(node), sig))).alias("m_"))
-    per_item = per_item.withColumn("pm_", leaf_paths)
-    m, pm = F.col("m_"), F.col("pm_")
-    cands = F.filter(F.map_keys(m), lambda k: F.element_at(pm, k).isNotNull()
-                     & F.forall(F.element_at(pm, k), lambda a: F.map_contains_key(m, a)))
-    prod = lambda k: F.aggregate(F.element_at(pm, k), F.lit(1.0),
-                                 lambda acc, a: acc * F.element_at(m, a))
-    rnd = (lambda x: F.round(x, digits)) if digits is not None else (lambda x: x)
-    best = F.array_max(F.transform(cands, lambda k: F.struct(rnd(prod(k)).alias("score"),
-                                                             F.negative(k).alias("neg"), k.alias("leaf_id"))))
-    return (per_item.select(*item, best.alias("b_")).where(F.col("b_").isNotNull())
-                    .select(*item, F.col("b_.leaf_id").alias("leaf_id"), F.col("b_.score").alias("score")))
+    digits = min(digits, 12)      # scores are <= 1, so 10**12 << 22 stays within a long
+    lv = tx.leaves(nodes).where(F.col("depth") > 0).select(F.col("id").alias("leaf_id"))
+    clo = checked_broadcast(tx.closure(nodes).join(lv.withColumnRenamed("leaf_id", "id"), "id", "left_semi")
+                              .select(F.col("id").alias("leaf_id"), F.col("anc_id").alias(node), "anc_depth"))
+    depth = F.broadcast(clo.groupBy("leaf_id").agg(F.max("anc_depth").alias("leaf_depth")))
+    s = scores.select(*item, node, (1 / (1 + F.exp(-F.col(logit)))).alias("sig"))
+    cand = s.join(checked_broadcast(lv, bound=nodes), s[node] == lv["leaf_id"]).select(*item, "leaf_id")
+    need = cand.join(clo, "leaf_id").select(*item, "leaf_id", node)
+    per_leaf = (need.join(s, [*item, node])
+                    .groupBy(*item, "leaf_id").agg(F.product("sig").alias("score"), F.count("*").alias("n_"))
+                    .join(depth, "leaf_id").where(F.col("n_") == F.col("leaf_depth")))
+    low = (1 << _LEAF_BITS) - 1
+    key = (F.shiftleft(F.round(F.col("score") * 10 ** digits).cast("long"), _LEAF_BITS)
+           + (F.lit(low) - F.col("leaf_id")))
+    best = per_leaf.groupBy(*item).agg(F.max(key).alias("k_"))
+    return best.select(*item, (F.lit(low) - (F.col("k_") % (1 << _LEAF_BITS))).cast("int").alias("leaf_id"),
+                       (F.shiftright("k_", _LEAF_BITS).cast("double") / 10 ** digits).alias("score"))
 
 
 def greedy_decode(level_scores: DataFrame, item: list[str], level: str = "level",
