@@ -63,13 +63,17 @@ cont AS (
 )"""
 
 
-def _votes(spark, sf):
+def _level_runs(spark, sf):
+    """(item, model, seed, level, correct) for every seeded run and level."""
     nodes = st.t2_nodes(spark, sf)
     items = seed_run_items(spark, sf, nodes)
     wide = m.level_columns(items, nodes, 3)
-    long = wide.select(*ITEM, "model", "seed", F.inline(F.array(*[
+    return wide.select(*ITEM, "model", "seed", F.inline(F.array(*[
         F.struct(F.lit(k).alias("level"), F.col(f"correct_{k}").alias("correct")) for k in (1, 2, 3)])))
-    return sg.majority_vote(long, ITEM + ["level", "model"])
+
+
+def _votes(spark, sf):
+    return sg.majority_vote(_level_runs(spark, sf), ITEM + ["level", "model"])
 
 
 @query("significance_majority_votes", _SQL_VOTES + """
@@ -81,9 +85,8 @@ def significance_majority_votes(spark, sf):
 
 
 def _contingency(spark, sf):
-    v = _votes(spark, sf)
-    keys = ITEM + ["level"]
-    return sg.contingency(v.where(F.col("model") == "a"), v.where(F.col("model") == "b"), keys)
+    """Both models' runs co-grouped by (item, level): votes and alignment in one pass."""
+    return sg.paired_contingency(_level_runs(spark, sf), ITEM + ["level"], "model", "a", "b")
 
 
 @query("significance_contingency", _SQL_VOTES + """
