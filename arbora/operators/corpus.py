@@ -40,47 +40,44 @@ def _categories(cats: Column, reverse: bool) -> Column:
     return tf.reverse_join(cats, " ", reverse)
 
 
-def lm_lines(df: DataFrame, config: dict, title: str = "title", path_list: str = "path_list",
-             description: str = "description", compat_labels: bool = False) -> Column:
-    """L1: the corpus lines of one offer as ``array<string>`` (NULL lines removed).
-
-    multiple rows: ``title - categories`` and ``title - description``; single row:
-    ``title - categories - description``. Categories are the code-stripped path
-    labels (X18), each preprocessed (X12); the description is sentence-cleaned (X20).
-    """
-    t = tf.preprocess(F.col(title))
+def _lines_from_parts(t: Column, cats: Column, desc: Column, config: dict) -> list[Column]:
+    """L1 line layout from already-cleaned parts (title, category array, description)."""
     lines = []
     line = t
     if config.get("category"):
-        cats = F.transform(tf.path_labels(F.col(path_list), compat_labels), lambda x: tf.preprocess(x))
         new = _join_line(line, _categories(cats, config.get("category_reverse", False)))
         if config.get("multiple_rows"):
             lines.append(new)
         else:
             line = new
     if config.get("description"):
-        new = _join_line(line, tf.clean_sentences(F.col(description)))
+        new = _join_line(line, desc)
         if config.get("multiple_rows"):
             lines.append(new)
         else:
             line = new
     if not config.get("multiple_rows"):
         lines.append(line)
-    return F.filter(F.array(*lines), lambda x: x.isNotNull())
+    return lines
 
 
-def extra_lines(df: DataFrame, config: dict) -> Column:
-    """L2: lines of one row of the additional offer corpus (``Title, Category,
-    Breadcrumb, BreadcrumbList, Description``; empty strings count as missing).
+def lm_lines(df: DataFrame, config: dict, title: str = "title", path_list: str = "path_list",
+             description: str = "description", compat_labels: bool = False) -> Column:
+    """L1: the corpus lines of one offer as ``array<string>`` (NULL lines removed).
 
-    Categories are the present raw fields (not preprocessed); the running line
-    is always emitted last in multi-row mode."""
-    def present(c):
-        return F.when(F.length(F.col(c)) > 0, F.col(c))
-    line = tf.preprocess(F.col("Title"))
-    cats = F.filter(F.array(present("Category"), present("Breadcrumb"), present("BreadcrumbList")),
-                    lambda x: x.isNotNull())
+    multiple rows: ``title - categories`` and ``title - description``; single row:
+    ``title - categories - description``. Categories are the code-stripped path
+    labels (X18), each preprocessed (X12); the description is sentence-cleaned (X20).
+    """
+    t = tf.preprocess(F.col(title))
+    cats = F.transform(tf.path_labels(F.col(path_list), compat_labels), lambda x: tf.preprocess(x))
+    desc = tf.clean_sentences(F.col(description))
+    return F.filter(F.array(*_lines_from_parts(t, cats, desc, config)), lambda x: x.isNotNull())
+
+
+def _extra_lines_from_parts(t: Column, cats: Column, has_desc: Column, desc: Column, config: dict) -> list[Column]:
     lines = []
+    line = t
     if config.get("category"):
         new = F.when(F.size(cats) > 0, _join_line(line, _categories(cats, config.get("category_reverse", False))))
         if config.get("multiple_rows"):
@@ -88,29 +85,69 @@ def extra_lines(df: DataFrame, config: dict) -> Column:
         else:
             line = F.coalesce(new, line)
     if config.get("description"):
-        new = F.when(present("Description").isNotNull(), _join_line(line, tf.clean_sentences(F.col("Description"))))
+        new = F.when(has_desc, _join_line(line, desc))
         if config.get("multiple_rows"):
             lines.append(new)
         else:
             line = F.coalesce(new, line)
     lines.append(line)
+    return lines
+
+
+def _extra_parts(extra: DataFrame) -> DataFrame:
+    def present(c):
+        return F.when(F.length(F.col(c)) > 0, F.col(c))
+    return extra.select(
+        tf.preprocess(F.col("Title")).alias("t_"),
+        F.filter(F.array(present("Category"), present("Breadcrumb"), present("BreadcrumbList")),
+                 lambda x: x.isNotNull()).alias("cats_"),
+        present("Description").isNotNull().alias("has_desc_"),
+        tf.clean_sentences(F.col("Description")).alias("desc_"))
+
+
+def extra_lines(df: DataFrame, config: dict) -> Column:
+    """L2: lines of one row of the additional offer corpus (``Title, Category,
+    Breadcrumb, BreadcrumbList, Description``; empty strings count as missing).
+
+    Categories are the present raw fields (not preprocessed); the running line
+    is always emitted last in multi-row mode."""
+    def present(c):
+        return F.when(F.length(F.col(c)) > 0, F.col(c))
+    cats = F.filter(F.array(present("Category"), present("Breadcrumb"), present("BreadcrumbList")),
+                    lambda x: x.isNotNull())
+    lines = _extra_lines_from_parts(tf.preprocess(F.col("Title")), cats, present("Description").isNotNull(),
+                                    tf.clean_sentences(F.col("Description")), config)
     return F.filter(F.array(*lines), lambda x: x.isNotNull())
 
 
 def corpus(offers: DataFrame, configs: list[dict], extra: DataFrame | None = None,
-           split: str = "split", suffix: str | None = None, **cols) -> DataFrame:
+           split: str = "split", suffix: str | None = None, title: str = "title",
+           path_list: str = "path_list", description: str = "description",
+           compat_labels: bool = False) -> DataFrame:
     """L1-L4: ``(split, variant, line)`` for every config; the additional corpus is
     added once to the train split of variants that ask for it (an absent table
-    adds nothing)."""
-    out = None
-    for cfg in configs:
-        v = variant_name(cfg, suffix)
-        part = offers.select(F.col(split).alias("split"), F.lit(v).alias("variant"),
-                             F.explode(lm_lines(offers, cfg, **cols)).alias("line"))
-        if extra is not None and cfg.get("additional_ds"):
-            part = part.unionByName(extra.select(F.lit("train").alias("split"), F.lit(v).alias("variant"),
-                                                 F.explode(extra_lines(extra, cfg)).alias("line")))
-        out = part if out is None else out.unionByName(part)
+    adds nothing).
+
+    Title, categories and description are cleaned once per offer; every
+    variant's lines are then concatenations of those columns, emitted by one
+    explode, so adding variants does not repeat the text cleaning."""
+    parts = offers.select(
+        F.col(split).alias("split"), tf.preprocess(F.col(title)).alias("t_"),
+        F.transform(tf.path_labels(F.col(path_list), compat_labels), lambda x: tf.preprocess(x)).alias("cats_"),
+        tf.clean_sentences(F.col(description)).alias("desc_"))
+    t, cats, desc = F.col("t_"), F.col("cats_"), F.col("desc_")
+    entries = [F.struct(F.lit(variant_name(cfg, suffix)).alias("variant"), ln.alias("line"))
+               for cfg in configs for ln in _lines_from_parts(t, cats, desc, cfg)]
+    out = parts.select("split", F.inline(F.array(*entries))).where(F.col("line").isNotNull())
+    extra_cfgs = [cfg for cfg in configs if cfg.get("additional_ds")]
+    if extra is not None and extra_cfgs:
+        ep = _extra_parts(extra)
+        e_entries = [F.struct(F.lit(variant_name(cfg, suffix)).alias("variant"), ln.alias("line"))
+                     for cfg in extra_cfgs
+                     for ln in _extra_lines_from_parts(F.col("t_"), F.col("cats_"), F.col("has_desc_"),
+                                                       F.col("desc_"), cfg)]
+        out = out.unionByName(ep.select(F.lit("train").alias("split"), F.inline(F.array(*e_entries)))
+                              .where(F.col("line").isNotNull()))
     return out
 
 
