@@ -94,10 +94,13 @@ def _scan_and_score(df: DataFrame, id_col: str, text: str, index_rows: list) ->
             inv.setdefault(pos[word], []).append((option, ord_, nw))
     id_type = df.schema[id_col].dataType.simpleString()
     id_dtype = {"bigint": "int64", "int": "int32", "smallint": "int16"}.get(id_type, "object")
+    # shipped once per executor as a broadcast variable, not inside every task closure
+    shared = df.sparkSession.sparkContext.broadcast((vocab, inv))
 
     def scan(batches):
         import ahocorasick
         import pandas as pd
+        vocab, inv = shared.value
         auto = ahocorasick.Automaton()
         for i, w in enumerate(vocab):
             auto.add_word(w, (i, len(w)))
