@@ -94,7 +94,8 @@ def metrics_bundle_t2(spark, sf):
 
 
 @query("metrics_level_counts_t2", _PRED_BASE + _COUNTS + """
-SELECT scope, label, tp, sup, np FROM counts
+SELECT scope, CAST(label AS INTEGER) AS label, CAST(tp AS BIGINT) AS tp, CAST(sup AS BIGINT) AS sup,
+       CAST(np AS BIGINT) AS np FROM counts
 """)
 def metrics_level_counts_t2(spark, sf):
     """Confusion counts per scope (leaf, lvl_k, h) and label."""

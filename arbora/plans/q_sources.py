@@ -220,7 +220,7 @@ def sources_labelled_lines_parts(spark, sf):
 
 
 @query("streaming_offers_events", "WITH " + st.SQL_QUADS + "," + qo._RUNS + "," + qo._ROUTED + "," + qo._FOLD + """
-SELECT run, Title, Description, Category, Breadcrumb, BreadcrumbList, Breadcrumb_Predicate, Host FROM offers
+SELECT CAST(run AS BIGINT) AS run, Title, Description, Category, Breadcrumb, BreadcrumbList, Breadcrumb_Predicate, Host FROM offers
 """)
 def streaming_offers_events(spark, sf):
     """Streaming: the events quads written as an N-Quads file, folded by the file
