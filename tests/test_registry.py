@@ -10,7 +10,8 @@ from conftest import SF_SMALL
 
 FAST = ["metrics_bundle_t2", "taxonomy_level_paths_t2", "text_preprocess_documents", "offers_fold_events",
         "classify_dictionary_parts", "corpus_pack_tokens", "significance_mcnemar", "split_stratified_customers",
-        "runs_metric_report", "sources_offer_files_events"]
+        "runs_metric_report", "sources_offer_files_events", "streaming_offers_events",
+        "classify_path_product", "classify_sweep_documents", "text_lemmatized_documents"]
 
 
 def test_entry_runs(spark):
