@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from arbora.llm import minhash, mixing, sharding, toxicity, url_rules
+from arbora.llm import bpe, minhash, mixing, sharding, toxicity, url_rules
 from arbora.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +22,21 @@ def _query(name: str, sql: str | None = None):
     return add
 
 
+#: Vocabulary file of op3 and of the pipeline.
+WORD_BPE = "word_bpe_49k.json"
+
+
+def vocabulary_path(name: str = WORD_BPE) -> str:
+    """Where the public vocabulary file is installed (the same place on every machine)."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@_query("op3_bpe_documents")
+def op3_bpe_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 #: Bytes of text in a shard.
 SHARD_BYTES = 16 << 20
 
