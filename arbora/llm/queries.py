@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from arbora.llm import bpe, minhash, mixing, sharding, toxicity, url_rules
+from arbora.llm import bpe, embedding_dedup, minhash, mixing, permutation_index, sharding, toxicity, url_rules
 from arbora.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +22,22 @@ def _query(name: str, sql: str | None = None):
     return add
 
 
+_COSINE_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0),
+u AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS norm FROM v),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u AS a JOIN u AS b ON a.vec_id <> b.vec_id AND a.norm > 0 AND b.norm > 0
+      WHERE list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.95),
+r AS (SELECT vec_id AS id, vec_id AS reached FROM embeddings UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.reached)
+SELECT id AS vec_id, coalesce((SELECT count(*) FROM l WHERE l.a = id), 0) AS n_links, min(reached) AS component_id, id = min(reached) AS kept
+FROM r GROUP BY id
+"""
+
+
+@_query("op1_embedding_dedup", _COSINE_SQL)
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 #: Vocabulary file of op3 and of the pipeline.
 WORD_BPE = "word_bpe_49k.json"
 
@@ -116,6 +132,12 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"), **MIX).drop("source")
 
 
+@_query("op7_nearest_neighbours")
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return permutation_index.search(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 @_query("op9_toxicity_documents")
 def op9_toxicity_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
