@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from arbora.llm import bpe, embedding_dedup, minhash, mixing, permutation_index, sharding, toxicity, url_rules, warc
+from arbora.llm import bpe, embedding_dedup, html_text, minhash, mixing, permutation_index, sharding, toxicity, url_rules, warc
 from arbora.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,6 +152,12 @@ def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_index.search(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
+@_query("op8_page_texts")
+def op8_page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_text.extract(pages, html_text.train(pages))
+
+
 @_query("op9_toxicity_documents")
 def op9_toxicity_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
