@@ -233,7 +233,7 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, key: str =
     classes = signed.where("f1 is not null and doc_id is not null").groupBy("f1", "f2").agg(
         F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     members = written(signed.join(classes, ["f1", "f2"], "left").select(
-        "doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), "copies",
+        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"), "copies",
         F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")), "minhash-members")
     heads = members.where("bands is not null")
     heads = heads.where("copies = 1").unionByName(heads.where("copies > 1").dropDuplicates(["rep"])).select("rep", "bands")
