@@ -9,21 +9,26 @@ character" means the same thing as in Python's Unicode ``\\w``.
 
 from __future__ import annotations
 
+import html.entities
+import json
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 # ---------------------------------------------------------------- fixed values
 # Patterns and word lists that must equal the reference's for equal results.
-HYPERLINK = r"((www\.\S+)|(https?://\S+))"
-URL = r"[\p{L}\p{N}_]+://[\p{L}\p{N}_-]+(\.[\p{L}\p{N}_-]+)*(/[^\s/]*)*"
+# White space as Python's Unicode ``\\s`` has it, spelled out: Java's ``\\s`` is ASCII.
+SPACE = (r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}")
+HYPERLINK = rf"((www\.[^{SPACE}]+)|(https?://[^{SPACE}]+))"
+URL = rf"[\p{{L}}\p{{N}}_]+://[\p{{L}}\p{{N}}_-]+(\.[\p{{L}}\p{{N}}_-]+)*(/[^{SPACE}/]*)*"
 NON_WORD = r"[^\p{L}\p{N}_]+"
-SPECIAL = r"[^\s\p{L}\p{N}]+"          # ([^\s\w]|_)+ with Unicode \w
+SPECIAL = rf"[^{SPACE}\p{{L}}\p{{N}}]+"          # ([^\s\w]|_)+ in Unicode
 SEPARATORS = r"[-/.]"
 TAGS = r"\[(.*?)\]"
 TOKEN_SPLIT = r"[^a-z0-9]+"
 HTML_COMMENT = r"(?s)<!--.*?-->"
 HTML_SCRIPT_STYLE = r"(?is)<(script|style)[^>]*>.*?</(script|style)>"
 HTML_TAG = r"(?s)<[^>]+>"
-HTML_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")]
+ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);?"
 VALUE_JUNK = ["\\n", "\\t", "u00a0", "u00bb"]   # literal two-char escapes and code points
 DESCRIPTION_STOP_VALUES = ["description", "a href", "various", "share", "0", "more"]
 CATEGORY_STOP_VALUES = ["more section not available"]
@@ -36,7 +41,7 @@ def _c(x) -> Column:
 
 def strip(t) -> Column:
     """Python ``str.strip()``: leading/trailing whitespace of any kind."""
-    return F.regexp_replace(_c(t), r"^\s+|\s+$", "")
+    return F.regexp_replace(_c(t), rf"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
 # ---------------------------------------------------------------- X1-X9
@@ -49,13 +54,32 @@ def replace_separators(t) -> Column:
 
 def remove_html(t) -> Column:
     """Text content of an HTML fragment (comments, scripts and styles dropped,
-    tags stripped, basic entities decoded)."""
+    tags stripped, named and numeric character references decoded)."""
     t = F.regexp_replace(_c(t), HTML_COMMENT, "")
     t = F.regexp_replace(t, HTML_SCRIPT_STYLE, "")
     t = F.regexp_replace(t, HTML_TAG, "")
-    for ent, ch in HTML_ENTITIES:
-        t = F.replace(t, F.lit(ent), F.lit(ch))
-    return t
+    return decode_entities(t)
+
+
+def decode_entities(t) -> Column:
+    """Character references decoded in one pass, with or without their semicolon; names come
+    from the HTML 5 table of the standard library, unknown ones stay as they are."""
+    t = _c(t)
+    table = {n.rstrip(";"): c for n, c in html.entities.html5.items()}
+    names = F.from_json(F.lit(json.dumps(table)), "map<string,string>")
+
+    def one(ref: Column) -> Column:
+        name = F.regexp_extract(ref, ENTITY, 1)
+        code = (F.when(F.lower(F.substring(name, 2, 1)) == "x", F.conv(F.substring(name, 3, 9), 16, 10))
+                 .otherwise(F.substring(name, 2, 9)).try_cast("int"))
+        valid = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return (F.when(F.startswith(name, F.lit("#")), F.when(valid, char).otherwise(F.lit("\ufffd")))
+                 .otherwise(F.coalesce(F.try_element_at(names, name), ref)))
+
+    refs = F.transform(F.regexp_extract_all(t, F.lit(ENTITY), F.lit(0)), one)
+    parts = F.zip_with(F.split(t, ENTITY, -1), refs, lambda text, char: F.concat(text, F.coalesce(char, F.lit(""))))
+    return F.when(F.contains(t, F.lit("&")), F.array_join(parts, "")).otherwise(t)
 
 
 def remove_hyperlinks(t) -> Column:
@@ -203,14 +227,16 @@ def count_occurrences(t, word) -> Column:
 
 
 def parse_int_list(s) -> Column:
-    """``"['1', '2']"`` -> ``array<bigint>`` (non-numbers dropped)."""
+    """``"['1', '2']"`` -> ``array<bigint>`` (non-numbers dropped; numbers
+    beyond 64 bits become NULL)."""
     return F.transform(F.regexp_extract_all(_c(s), F.lit(r"(\d+)"), F.lit(1)),
-                       lambda x: F.try_to_number(x, F.lit("9" * 19)).cast("long"))
+                       lambda x: x.try_cast("long"))
 
 
 def to_bool(s) -> Column:
     """``'True'/'False'`` (any case) -> boolean; anything else NULL."""
-    return F.expr(f"try_cast({s} AS BOOLEAN)") if isinstance(s, str) else s.try_cast("boolean")
+    s = F.lower(_c(s))
+    return F.when(s == "true", F.lit(True)).when(s == "false", F.lit(False))
 
 
 def split_run_key(k) -> tuple[Column, Column]:

@@ -1,15 +1,16 @@
 """Title classification into a taxonomy.
 
-The dictionary classifier (C1-C3) is a single projection: the class vocabulary
-(bounded by the label space) is attached once as a scalar-subquery column, and
-every row scores all classes with higher-order functions; no cross join and no
-shuffle. Learned baselines (C5-C7) are Spark ML pipelines. Decoders of model
+The dictionary classifier (C1-C3) is a single scan of each text against an
+inverted index of the class words (bounded by the label space and checked in
+bytes); no cross join and no shuffle. Learned baselines (C5-C7) are Spark ML pipelines. Decoders of model
 scores (C9-C11) are joins against the small, size-checked taxonomy tables.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import uuid
+
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from arbora.functions import text as tf
 from arbora.operators import taxonomy as tx
@@ -56,89 +57,89 @@ def most_frequent(df: DataFrame, label: str) -> Column:
     return counts.orderBy(F.col("n_freq_").desc(), F.col(label)).limit(1).select(label).scalar()
 
 
-def dictionary_scores(text: Column, classes: Column) -> Column:
-    """C2 (row-local form): ``struct(score, neg_ord, name)`` of the best class of
-    ``text`` against an ``array<struct<ord, name, words>>`` column. Used for small
-    class lists; :func:`dictionary_classify` is the scalable form.
+#: Bytes of the inverted index that are collected and shipped; a label space beyond it is refused.
+INDEX_MAX_BYTES = 256 << 20
+_AUTOMATA: dict = {}
+
 
-    score(c) = sum over the class words of their non-overlapping occurrences in
-    the (not lower-cased) text, divided by the number of words; the highest score
-    wins and ties go to the earliest class."""
-    scored = F.transform(classes, lambda c: F.struct(
-        F.coalesce(F.try_divide(
-            F.aggregate(c["words"], F.lit(0).cast("long"),
-                        lambda acc, w: acc + tf.count_occurrences(text, w)).cast("double"),
-            F.size(c["words"]).cast("double")), F.lit(0.0)).alias("score"),
-        F.negative(c["ord"]).alias("neg_ord"),
-        c["name"].alias("name")))
-    return F.array_max(scored)
+def _automaton(key: str, vocab: list):
+    """The Aho-Corasick automaton of a vocabulary, built once by each Python worker."""
+    if key not in _AUTOMATA:
+        import ahocorasick
+        _AUTOMATA.clear()
+        auto = ahocorasick.Automaton()
+        for i, w in enumerate(vocab):
+            auto.add_word(w, (i, len(w)))
+        if vocab:
+            auto.make_automaton()
+        _AUTOMATA[key] = auto
+    return _AUTOMATA[key]
 
 
-def _scan_and_score(df: DataFrame, id_col: str, text: str, index_rows: list) -> DataFrame:
-    """Per row and option: the best class under the dictionary score.
+def _scan_and_score(df: DataFrame, text: str, index_rows: list, options: list[str], out: str) -> DataFrame:
+    """Per row and option: the row with the best class under the dictionary score.
 
-    ``index_rows`` is the inverted index ``(option, word, ord, nw)`` (bounded by
+    ``index_rows`` is the inverted index ``(option, word, ord, nw, name)`` (bounded by
     the label space, size-checked before it is collected and shipped to tasks).
     Each text is scanned once with an Aho-Corasick automaton over all words
     (Python ``str.count`` semantics: case-sensitive, non-overlapping, leftmost);
     the counts of present words are added to the classes containing them, and
     the best class is chosen by exact integer comparison of ``s1 * n2`` against
-    ``s2 * n1`` (ties: lowest ordinal). Runs in Arrow batches via
-    ``mapInPandas``; emits one row per (row, option) with a non-zero score.
+    ``s2 * n1`` (ties: lowest ordinal). Runs in Arrow batches via ``mapInPandas``;
+    every input row comes out once per option, so nothing is joined back.
     """
     vocab = list(dict.fromkeys(r[1] for r in index_rows if r[1]))
     pos = {w: i for i, w in enumerate(vocab)}
     inv: dict = {}
-    for option, word, ord_, nw in index_rows:
+    names = {(option, ord_): name for option, _, ord_, _, name in index_rows}
+    for option, word, ord_, nw, _ in index_rows:
         if word:
             inv.setdefault(pos[word], []).append((option, ord_, nw))
-    id_type = df.schema[id_col].dataType.simpleString()
-    id_dtype = {"bigint": "int64", "int": "int32", "smallint": "int16"}.get(id_type, "object")
     # shipped once per executor as a broadcast variable, not inside every task closure
-    shared = df.sparkSession.sparkContext.broadcast((vocab, inv))
+    shared = df.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, vocab, inv, names))
+
+    def best_classes(auto, inv, t):
+        last_end, counts = {}, {}
+        for end, (i, n) in auto.iter(t):                # ordered by end position
+            if end - n + 1 > last_end.get(i, -1):       # greedy leftmost, non-overlapping
+                counts[i] = counts.get(i, 0) + 1
+                last_end[i] = end
+        acc: dict = {}
+        for i, c in counts.items():
+            for option, ord_, nw in inv.get(i, ()):
+                k = (option, ord_)
+                a = acc.get(k)
+                acc[k] = (a[0] + c, nw) if a else (c, nw)
+        best: dict = {}
+        for (option, ord_), (sc, nw) in acc.items():
+            b = best.get(option)
+            if b is None or sc * b[2] > b[1] * nw or (sc * b[2] == b[1] * nw and ord_ < b[0]):
+                best[option] = (ord_, sc, nw)
+        return best
 
     def scan(batches):
-        import ahocorasick
-        import pandas as pd
-        vocab, inv = shared.value
-        auto = ahocorasick.Automaton()
-        for i, w in enumerate(vocab):
-            auto.add_word(w, (i, len(w)))
-        if vocab:
-            auto.make_automaton()
-        for pdf in batches:
-            ids, opts, ords, ss, nws = [], [], [], [], []
-            for rid, t in zip(pdf[id_col].tolist(), pdf[text].tolist()):
-                if t is None or not vocab:
-                    continue
-                last_end, counts = {}, {}
-                for end, (i, n) in auto.iter(t):          # ordered by end position
-                    if end - n + 1 > last_end.get(i, -1):   # greedy leftmost, non-overlapping
-                        counts[i] = counts.get(i, 0) + 1
-                        last_end[i] = end
-                acc: dict = {}
-                for i, c in counts.items():
-                    for option, ord_, nw in inv.get(i, ()):
-                        k = (option, ord_)
-                        a = acc.get(k)
-                        acc[k] = (a[0] + c, nw) if a else (c, nw)
-                best: dict = {}
-                for (option, ord_), (sc, nw) in acc.items():
-                    b = best.get(option)
-                    if b is None or sc * b[2] > b[1] * nw or (sc * b[2] == b[1] * nw and ord_ < b[0]):
-                        best[option] = (ord_, sc, nw)
-                for option, (ord_, sc, nw) in best.items():
-                    ids.append(rid)
-                    opts.append(option)
-                    ords.append(ord_)
-                    ss.append(sc)
-                    nws.append(nw)
-            yield pd.DataFrame({id_col: pd.Series(ids, dtype=id_dtype), "option": pd.Series(opts, dtype="object"),
-                                "ord": pd.Series(ords, dtype="int64"), "s": pd.Series(ss, dtype="int64"),
-                                "nw": pd.Series(nws, dtype="int64")})
-
-    return df.select(id_col, text).mapInPandas(
-        scan, f"{id_col} {id_type}, option string, ord long, s long, nw long")
+        import numpy as np
+        import pyarrow as pa
+        key, vocab, inv, names = shared.value
+        auto = _automaton(key, vocab)
+        for batch in batches:
+            found = []
+            for t in batch.column("__scanned").to_pylist():
+                best = best_classes(auto, inv, t) if t is not None and vocab else {}
+                for o in options:
+                    b = best.get(o)
+                    found.append((o, names[o, b[0]], b[1] / b[2]) if b else (o, None, 0.0))
+            rows = batch.take(pa.array(np.repeat(np.arange(batch.num_rows), len(options))))
+            yield pa.RecordBatch.from_arrays(
+                [*[c for c, n in zip(rows.columns, rows.schema.names) if n != "__scanned"],
+                 pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string()),
+                 pa.array([f[2] for f in found], pa.float64())],
+                names=[*[n for n in rows.schema.names if n != "__scanned"], "option", out, "score"])
+
+    kept = df.drop("option", out, "score")
+    schema = T.StructType([*kept.schema.fields, T.StructField("option", T.StringType()),
+                           T.StructField(out, T.StringType()), T.StructField("score", T.DoubleType())])
+    return kept.withColumn("__scanned", F.col(text)).mapInArrow(scan, schema)
 
 
 def _inverted_index(vocab: DataFrame, option: str = "") -> DataFrame:
@@ -146,34 +147,24 @@ def _inverted_index(vocab: DataFrame, option: str = "") -> DataFrame:
                         F.explode("words").alias("word"))
 
 
-def _classify(df: DataFrame, text: str, index: DataFrame, id_col: str) -> DataFrame:
-    """(id, option, best_) for rows with a non-zero score."""
-    idx = checked_broadcast(index)
-    rows = [tuple(r) for r in idx.select("option", "word", "ord", "nw").collect()]
-    best = _scan_and_score(df, id_col, text, rows)
-    names = F.broadcast(idx.select("option", F.col("ord").cast("long").alias("ord"), "name").distinct())
-    return best.join(names, ["option", "ord"]).select(
-        id_col, "option", F.struct((F.col("s").cast("double") / F.col("nw")).alias("score"),
-                                   F.negative(F.col("ord")).alias("neg_ord"), "name").alias("best_"))
+def _index_rows(index: DataFrame) -> list:
+    """The inverted index on the driver, after its bytes have been checked."""
+    n = index.agg(F.sum(F.octet_length("word") + F.octet_length("name") + 64)).first()[0] or 0
+    if n > INDEX_MAX_BYTES:
+        raise ValueError(f"dictionary of {n} bytes; at most {INDEX_MAX_BYTES} are shipped to the tasks")
+    return [tuple(r) for r in index.select("option", "word", "ord", "nw", "name").collect()]
 
 
 def dictionary_classify(df: DataFrame, text: str, vocab: DataFrame, default: Column | str | None = None,
-                        out: str = "prediction", id_col: str = "offer_id") -> DataFrame:
+                        out: str = "prediction") -> DataFrame:
     """Predict the best dictionary class per row; zero-score rows get
     ``default`` (a label, or e.g. :func:`most_frequent`), NULL if none.
 
     The class vocabulary becomes an inverted index ``word -> classes``; each text
-    is scanned once and scored in the same pass (see :func:`_scan_and_score`),
-    so no (row, class) pairs are materialised or shuffled. ``id_col`` must
-    identify rows.
+    is scanned once and scored in the same pass (see :func:`_scan_and_score`): no
+    shuffle, and rows need no identifier.
     """
-    best = _classify(df, text, _inverted_index(vocab), id_col).drop("option")
-    d = F.lit(default) if isinstance(default, str) else default
-    res = df.join(best, id_col, "left")
-    pred = F.when(F.col("best_.score") > 0, F.col("best_.name"))
-    if d is not None:
-        pred = pred.otherwise(d)
-    return res.withColumn(out, pred).withColumn("score", F.coalesce(F.col("best_.score"), F.lit(0.0))).drop("best_")
+    return sweep(df, text, {"": vocab}, default, out).drop("option")
 
 
 def with_fallback(classified: DataFrame, text: str, model, out: str = "prediction",
@@ -186,7 +177,7 @@ def with_fallback(classified: DataFrame, text: str, model, out: str = "predictio
 
 
 def sweep(df: DataFrame, text: str, options: dict[str, DataFrame], default: Column | str | None = None,
-          out: str = "prediction", id_col: str = "offer_id") -> DataFrame:
+          out: str = "prediction") -> DataFrame:
     """G1: score every row under several vocabularies in one pass; one output row
     per (option, input row). The text is scanned once for the union of all
     options' words; the option travels with the inverted index."""
@@ -194,20 +185,18 @@ def sweep(df: DataFrame, text: str, options: dict[str, DataFrame], default: Colu
     for name, vocab in options.items():
         i = _inverted_index(vocab, name)
         index = i if index is None else index.unionByName(i)
-    best = _classify(df, text, index, id_col)
+    res = _scan_and_score(df, text, _index_rows(index), list(options), out)
     d = F.lit(default) if isinstance(default, str) else default
-    per_option = df.withColumn("option", F.explode(F.array(*[F.lit(o) for o in options])))
-    res = per_option.join(best, [id_col, "option"], "left")
-    pred = F.when(F.col("best_.score") > 0, F.col("best_.name"))
-    if d is not None:
-        pred = pred.otherwise(d)
-    return res.select(*df.columns, "option", pred.alias(out),
-                      F.coalesce(F.col("best_.score"), F.lit(0.0)).alias("score"))
+    return res if d is None else res.withColumn(out, F.when(F.col("score") > 0, F.col(out)).otherwise(d))
 
 
 # ---------------------------------------------------------------- C5-C7 (Spark ML)
 
-def fit_naive_bayes(train: DataFrame, text: str, label: str, smoothing: float = 1.0):
+#: Largest vocabulary of a bag of words: above any real one, so that no term is dropped.
+VOCABULARY = 1 << 28
+
+
+def fit_naive_bayes(train: DataFrame, text: str, label: str, smoothing: float = 1.0, vocabulary: int = VOCABULARY):
     """Bag of words (lower-cased tokens of >= 2 word characters) + multinomial
     naive Bayes with additive smoothing."""
     from pyspark.ml import Pipeline
@@ -215,14 +204,15 @@ def fit_naive_bayes(train: DataFrame, text: str, label: str, smoothing: float =
     from pyspark.ml.feature import CountVectorizer, RegexTokenizer, StringIndexer
     return Pipeline(stages=[
         StringIndexer(inputCol=label, outputCol="label_idx", stringOrderType="alphabetAsc"),
-        RegexTokenizer(inputCol=text, outputCol="tok_", pattern=r"(?U)\b\w\w+\b", gaps=False, toLowercase=True),
-        CountVectorizer(inputCol="tok_", outputCol="bow_"),
+        RegexTokenizer(inputCol=text, outputCol="tok_", pattern=r"[\p{L}\p{N}_]{2,}", gaps=False, toLowercase=True),
+        CountVectorizer(inputCol="tok_", outputCol="bow_", vocabSize=vocabulary),
         NaiveBayes(featuresCol="bow_", labelCol="label_idx", smoothing=smoothing, modelType="multinomial"),
     ]).fit(train)
 
 
-def fit_forest(train: DataFrame, text: str, label: str, seed: int = 42, trees: int = 100):
-    """Bag of words over X12-preprocessed text + random forest."""
+def fit_forest(train: DataFrame, text: str, label: str, seed: int = 42, trees: int = 100, depth: int = 12,
+               vocabulary: int = VOCABULARY):
+    """Bag of words over X12-preprocessed text + random forest of ``trees`` trees, at most ``depth`` deep."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import CountVectorizer, SQLTransformer, StringIndexer
@@ -232,8 +222,8 @@ def fit_forest(train: DataFrame, text: str, label: str, seed: int = 42, trees: i
         "'[^\\\\p{L}\\\\p{N}_]+', ' '))), '[^a-z0-9]+'), x -> x != '') AS tok_ FROM __THIS__"))
     return Pipeline(stages=[
         StringIndexer(inputCol=label, outputCol="label_idx", stringOrderType="alphabetAsc"),
-        prep, CountVectorizer(inputCol="tok_", outputCol="bow_"),
-        RandomForestClassifier(featuresCol="bow_", labelCol="label_idx", numTrees=trees, seed=seed),
+        prep, CountVectorizer(inputCol="tok_", outputCol="bow_", vocabSize=vocabulary),
+        RandomForestClassifier(featuresCol="bow_", labelCol="label_idx", numTrees=trees, maxDepth=depth, seed=seed),
     ]).fit(train)
 
 
@@ -262,6 +252,18 @@ def fit_ngram_linear(train: DataFrame, text: str, label: str, word_ngrams: int =
     ]).fit(train)
 
 
+def save_model(model, path: str) -> str:
+    """Write a fitted pipeline to the shared file system."""
+    model.write().overwrite().save(path)
+    return path
+
+
+def load_model(path: str):
+    """A fitted pipeline as it was written."""
+    from pyspark.ml import PipelineModel
+    return PipelineModel.load(path)
+
+
 def decode_predictions(scored: DataFrame, model, out: str = "prediction") -> DataFrame:
     """Map a Spark ML index prediction back to its label string."""
     from pyspark.ml.feature import IndexToString
@@ -278,38 +280,35 @@ def argmax(scores: DataFrame, keys: list[str], candidate: str, p: str) -> DataFr
         F.max(p).alias(p))
 
 
-_LEAF_BITS = 22   # leaf ids below 2**22 fit beside a 12-digit score in one long
-
-
 def path_product(scores: DataFrame, nodes: DataFrame, item: list[str], node: str = "node_id",
-                 logit: str = "logit", digits: int = 12) -> DataFrame:
+                 logit: str = "logit") -> DataFrame:
     """Score of a leaf = product of sigmoid(node logit) over its path; a leaf
     is a candidate when every node on its path is scored. Returns the argmax leaf
-    per item (``leaf_id``, ``score`` rounded to ``digits``; ties to the lowest
-    leaf id).
+    per item (``leaf_id``, ``score``, ``log_score``); ranked on the unrounded sum of
+    log sigmoids, so small products keep their order; ties go to the lowest leaf id.
+    An item has at most one score per node.
 
-    Candidates start from scored leaves only (no fan-out from inner nodes to the
-    leaves below them), pick up their ancestors from the broadcast closure, and
-    join back to the scores: work linear in candidates x depth. The argmax is a
-    hash ``max`` over one long packing the rounded score and the leaf id.
+    One shuffle: an item's scores (bounded by the label space) form a map, the scored
+    leaves are exploded from it and add up their paths, and the argmax runs on the
+    same partitioning.
     """
-    digits = min(digits, 12)      # scores are <= 1, so 10**12 << 22 stays within a long
     lv = tx.leaves(nodes).where(F.col("depth") > 0).select(F.col("id").alias("leaf_id"))
-    clo = checked_broadcast(tx.closure(nodes).join(lv.withColumnRenamed("leaf_id", "id"), "id", "left_semi")
-                              .select(F.col("id").alias("leaf_id"), F.col("anc_id").alias(node), "anc_depth"))
-    depth = F.broadcast(clo.groupBy("leaf_id").agg(F.max("anc_depth").alias("leaf_depth")))
-    s = scores.select(*item, node, (1 / (1 + F.exp(-F.col(logit)))).alias("sig"))
-    cand = s.join(checked_broadcast(lv, bound=nodes), s[node] == lv["leaf_id"]).select(*item, "leaf_id")
-    need = cand.join(clo, "leaf_id").select(*item, "leaf_id", node)
-    per_leaf = (need.join(s, [*item, node])
-                    .groupBy(*item, "leaf_id").agg(F.product("sig").alias("score"), F.count("*").alias("n_"))
-                    .join(depth, "leaf_id").where(F.col("n_") == F.col("leaf_depth")))
-    low = (1 << _LEAF_BITS) - 1
-    key = (F.shiftleft(F.round(F.col("score") * 10 ** digits).cast("long"), _LEAF_BITS)
-           + (F.lit(low) - F.col("leaf_id")))
-    best = per_leaf.groupBy(*item).agg(F.max(key).alias("k_"))
-    return best.select(*item, (F.lit(low) - (F.col("k_") % (1 << _LEAF_BITS))).cast("int").alias("leaf_id"),
-                       (F.shiftright("k_", _LEAF_BITS).cast("double") / 10 ** digits).alias("score"))
+    paths = (tx.closure(nodes).join(lv.withColumnRenamed("leaf_id", "id"), "id", "left_semi")
+               .groupBy(F.col("id").alias("leaf_id"))
+               .agg(F.transform(F.sort_array(F.collect_list(F.struct("anc_depth", "anc_id"))),
+                                lambda x: x["anc_id"]).alias("path")))
+    x = F.col(logit).cast("double")
+    log_sigmoid = F.when(x >= 0, -F.log1p(F.exp(-x))).otherwise(x - F.log1p(F.exp(x)))
+    per_item = scores.groupBy(*item).agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col(node), log_sigmoid))).alias("m_"))
+    cand = per_item.select(*item, "m_", F.explode(F.map_keys("m_")).alias("leaf_id"))
+    cand = cand.join(checked_broadcast(paths, bound=nodes), "leaf_id")
+    m = F.col("m_")
+    cand = cand.where(F.forall("path", lambda a: F.map_contains_key(m, a))).select(
+        *item, "leaf_id", F.aggregate("path", F.lit(0.0), lambda acc, a: acc + F.element_at(m, a)).alias("log_score"))
+    best = cand.groupBy(*item).agg(F.max(F.struct("log_score", F.negative("leaf_id").alias("neg_"))).alias("b_"))
+    return best.select(*item, F.negative("b_.neg_").alias("leaf_id"), F.exp("b_.log_score").alias("score"),
+                       F.col("b_.log_score").alias("log_score"))
 
 
 def greedy_decode(level_scores: DataFrame, item: list[str], level: str = "level",

@@ -219,11 +219,11 @@ def mask_tokens(tokens: Column, row_id: Column, p: float = 0.15, seed: int = 42)
     """Replace each token with ``<mask>`` with probability ``p`` (decided by
     md5 of ``seed|row|position``, so it is reproducible anywhere); returns the
     masked tokens and the labels (the original token where masked, else NULL)."""
-    thr = format(int(p * 16 ** 4), "04x")
+    below = round(p * 16 ** 4)
 
     def masked(i):
         h = F.md5(F.concat_ws("|", F.lit(str(seed)), row_id.cast("string"), i.cast("string")))
-        return F.substring(h, 1, 4) < F.lit(thr)
+        return F.conv(F.substring(h, 1, 4), 16, 10).cast("int") < below
     toks = F.transform(tokens, lambda t, i: F.when(masked(i), F.lit(MASK_TOKEN)).otherwise(t))
     labels = F.transform(tokens, lambda t, i: F.when(masked(i), t))
     return toks, labels

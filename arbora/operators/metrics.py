@@ -85,7 +85,8 @@ def attach_paths(items: DataFrame, nodes: DataFrame, label: str = "label_id",
     lp = paths.select(F.col("id").alias(label), F.col("path").alias("label_path"))
     pp = paths.select(F.col("id").alias(pred), F.col("path").alias("pred_path"))
     out = items.join(lp, label, "left").join(pp, pred, "left")
-    # unknown ids have no path: treat like a root (out of category)
+    # unknown ids have no path: a level path of their own, and an empty hierarchical set
+    out = out.withColumns({"label_known": F.col("label_path").isNotNull(), "pred_known": F.col("pred_path").isNotNull()})
     return (out.withColumn("label_path", scorer_path(F.coalesce("label_path", F.array().cast("array<int>")), F.col(label)))
                .withColumn("pred_path", scorer_path(F.coalesce("pred_path", F.array().cast("array<int>")), F.col(pred))))
 
@@ -105,20 +106,6 @@ def _h_set(path: Column, compat: bool) -> Column:
     return clean
 
 
-def align_levels(label_path: Column, pred_path: Column, dummy: Column) -> Column:
-    """M6: pad the shorter of the two paths with ``dummy`` so both have equal
-    length; returns ``array<struct<level, label, pred>>`` (no -1 padding needed:
-    absent levels are simply not emitted)."""
-    lt, lp_ = F.size(label_path), F.size(pred_path)
-    n = F.greatest(lt, lp_)
-    lab = F.concat(label_path, F.array_repeat(dummy, n - lt))
-    prd = F.concat(pred_path, F.array_repeat(dummy, n - lp_))
-    return F.transform(F.sequence(F.lit(1), n),
-                       lambda k: F.struct(k.cast("int").alias("level"),
-                                          F.element_at(lab, k).alias("label"),
-                                          F.element_at(prd, k).alias("pred")))
-
-
 def level_counts(items: DataFrame, nodes: DataFrame, keys: list[str] | tuple = (),
                  label: str = "label_id", pred: str = "pred_id",
                  compat: bool = False) -> DataFrame:
@@ -141,7 +128,9 @@ def level_counts(items: DataFrame, nodes: DataFrame, keys: list[str] | tuple = (
     lpath, ppath = F.col("label_path"), F.col("pred_path")
     lt, lp_ = F.size(lpath), F.size(ppath)
     n = F.greatest(lt, lp_)
-    ht, hp = _h_set(lpath, compat), _h_set(ppath, compat)
+    none = F.array().cast("array<int>")
+    ht = F.when(F.col("label_known"), _h_set(lpath, compat)).otherwise(none)
+    hp = F.when(F.col("pred_known"), _h_set(ppath, compat)).otherwise(none)
     i = F.col("i_")
     # index layout: 0 leaf truth, 1 leaf prediction, 2 hierarchical, then per level (truth, prediction)
     lvl = F.floor((i - 3) / 2) + 1
@@ -161,7 +150,7 @@ def level_counts(items: DataFrame, nodes: DataFrame, keys: list[str] | tuple = (
     np_ = (F.when(i == 2, F.size(hp).cast("long")).when(truth_row, F.lit(0).cast("long"))
             .otherwise(F.lit(1).cast("long"))) * w
     idx = F.explode(F.array(*[F.lit(x) for x in range(3 + 2 * max_depth)]))
-    rows = (withp.select(*k, label, pred, "label_path", "pred_path", "dummy_", "n_", idx.alias("i_"))
+    rows = (withp.select(*k, label, pred, "label_path", "pred_path", "label_known", "pred_known", "dummy_", "n_", idx.alias("i_"))
                  .select(*k, code.alias("code"), lab_out.cast("int").alias("label"), tp.alias("tp"),
                          sup.alias("sup"), np_.alias("np"))
                  .where(F.col("code").isNotNull()))

@@ -17,6 +17,9 @@ one task.
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from arbora.functions import text as tf
@@ -32,8 +35,9 @@ OFFER_COLUMNS = ["Title", "Description", "Category", "Breadcrumb", "BreadcrumbLi
                  "Breadcrumb_Predicate", "URL", "Host"]
 # N-Quads line: subject predicate object graph .  The object may be a quoted
 # literal (greedy, so inner quotes need no escaping: the graph is the last token).
-QUAD_PATTERN = r'^\s*(\S+)\s+(\S+)\s+(".*"(?:@[\w-]+|\^\^\S+)?|\S+)\s+(\S+)\s*\.?\s*$'
+QUAD_PATTERN = r'^\s*(\S+)\s+(\S+)\s+(".*"(?:@[\w-]+|\^\^\S+)?|\S+)\s+(\S+)\s+\.\s*$'
 
+HOSTS_MAX_BYTES = 256 << 20   # of a host list that is shipped to the tasks (F1)
 CHUNK_LINES = 1_000_000   # lines of one file ordered together in W1
 
 
@@ -44,7 +48,7 @@ def read_quads(spark, path: str) -> DataFrame:
 
     ``line_no`` is ``monotonically_increasing_id``: increasing inside a file because
     a file's splits are laid out in offset order (gz files are one split). Lines
-    that do not parse into four fields are dropped (F2).
+    that do not hold four terms and the final dot are dropped (F2).
     """
     raw = spark.read.text(path).select(
         F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line_no"),
@@ -91,11 +95,30 @@ def searched_host_filter(df: DataFrame, hosts: DataFrame | None, url: str = "url
                          host_col: str = "host") -> DataFrame:
     """Keep rows whose URL contains any of the hosts (all rows if no list).
 
-    Left-semi theta join against the size-checked, broadcast host list."""
+    Each URL is scanned once for all hosts (an Aho-Corasick automaton of the host list,
+    built once per worker), so the work doesn't grow with rows x hosts. The list's bytes
+    are checked before it is shipped."""
     if hosts is None:
         return df
-    h = checked_broadcast(hosts.select(F.col(host_col).alias("h_")).distinct())
-    return df.join(h, F.contains(F.col(url), F.col("h_")), "left_semi")
+    h = hosts.select(F.col(host_col).alias("h_")).where("h_ is not null").distinct()
+    size = h.agg(F.sum(F.octet_length("h_") + 32)).first()[0] or 0
+    if size > HOSTS_MAX_BYTES:
+        raise ValueError(f"host list of {size} bytes; at most {HOSTS_MAX_BYTES} are shipped to the tasks")
+    shared = df.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [r["h_"] for r in h.collect()]))
+    names = df.columns
+
+    def keep(batches):
+        import pyarrow as pa
+        from arbora.operators.classify import _automaton
+        key, words = shared.value
+        anything = "" in words
+        auto = _automaton(key, [w for w in words if w])
+        for batch in batches:
+            urls = batch.column("__searched").to_pylist()
+            hit = [u is not None and (anything or (len(auto) > 0 and next(auto.iter(u), None) is not None)) for u in urls]
+            yield batch.filter(pa.array(hit, pa.bool_())).select(names)
+
+    return df.withColumn("__searched", F.col(url)).mapInArrow(keep, df.schema)
 
 
 # ---------------------------------------------------------------- F3 / F4
@@ -235,13 +258,14 @@ def shuffle_key(seed: int | str, id_col: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_col).cast("string")))
 
 
-def cap_per_group(df: DataFrame, by: str, n: int, seed: int = 42, id_col: str = "offer_id") -> DataFrame:
-    """A group with more than ``n`` rows keeps ``n`` pseudo-random ones; NULL
-    groups are never capped."""
-    w = Window.partitionBy(by).orderBy(shuffle_key(seed, id_col), F.col(id_col))
-    capped = df.where(F.col(by).isNotNull()).withColumn("rn_", F.row_number().over(w)) \
-               .where(F.col("rn_") <= n).drop("rn_")
-    return capped.unionByName(df.where(F.col(by).isNull()))
+def cap_per_group(df: DataFrame, by: str | list[str], n: int, seed: int = 42, id_col: str = "offer_id") -> DataFrame:
+    """A group with more than ``n`` rows keeps ``n`` pseudo-random ones; groups
+    with a NULL in any of the ``by`` columns are never capped."""
+    keys = [by] if isinstance(by, str) else list(by)
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    w = Window.partitionBy(*keys).orderBy(shuffle_key(seed, id_col), F.col(id_col))
+    capped = df.where(known).withColumn("rn_", F.row_number().over(w)).where(F.col("rn_") <= n).drop("rn_")
+    return capped.unionByName(df.where(~known))
 
 
 def cap_heavy_groups(df: DataFrame, by: str, hi: int, lo: int, seed: int = 42,
@@ -268,9 +292,11 @@ def sample_for_hosts(df: DataFrame, hosts: DataFrame, n: int, seed: int = 42, re
     """J2+W5: for every host pattern, up to ``n`` pseudo-random offers whose host
     matches it (substring, or regex with ``regex=True``); an offer matching several
     patterns appears once per pattern."""
+    # patterns are compared with distinct hosts only; rows follow by an equi-join on the host
     pats = checked_broadcast(hosts.select(F.col(pattern_col).alias("pattern")).distinct())
-    cond = F.regexp_like(F.col(host), F.col("pattern")) if regex else F.contains(F.col(host), F.col("pattern"))
-    matched = df.join(pats, cond, "inner")
+    cond = F.regexp_like(F.col("host_"), F.col("pattern")) if regex else F.contains(F.col("host_"), F.col("pattern"))
+    fits = df.select(F.col(host).alias("host_")).distinct().join(pats, cond, "inner")
+    matched = df.join(fits, F.col(host) == F.col("host_")).drop("host_")
     w = Window.partitionBy("pattern").orderBy(shuffle_key(seed, id_col), F.col(id_col))
     return matched.withColumn("rn_", F.row_number().over(w)).where(F.col("rn_") <= n).drop("rn_")
 

@@ -28,16 +28,15 @@ def run_keys(df: DataFrame, key: str = "run_key") -> DataFrame:
 def key_checks(df: DataFrame, key: list[str], payload: list[str] | None = None,
                ref: DataFrame | None = None, ref_key: list[str] | None = None, name: str = "table") -> DataFrame:
     """Rows of ``(check, n)``: duplicate keys, duplicate payloads and, with a
-    reference table, orphan rows whose key is missing there (a left-anti join)."""
-    dup_keys = df.groupBy(*key).count().where(F.col("count") > 1)
-    rows = [dup_keys.select(F.lit(f"{name}_duplicate_key").alias("check"), F.col("count"))]
+    reference table, orphan rows whose key is missing there (a left-anti join). Every
+    check has its row, with n = 0 for a clean table."""
+    def repeated(columns: list[str], check: str) -> DataFrame:
+        groups = df.groupBy(*columns).agg(F.count("*").alias("n_"))
+        return groups.agg(F.count_if(F.col("n_") > 1).cast("long").alias("n")).select(F.lit(f"{name}_{check}").alias("check"), "n")
+
+    agg = repeated(key, "duplicate_key")
     if payload:
-        dup_pay = df.groupBy(*payload).count().where(F.col("count") > 1)
-        rows.append(dup_pay.select(F.lit(f"{name}_duplicate_payload").alias("check"), F.col("count")))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    agg = out.groupBy("check").agg(F.count("*").cast("long").alias("n"))
+        agg = agg.unionByName(repeated(payload, "duplicate_payload"))
     if ref is not None:
         rk = ref_key or key
         ref_cols = key[:len(rk)]

@@ -53,7 +53,7 @@ def unify(df: DataFrame, source: str, null_literal: str | None = None) -> DataFr
                         F.lit(None).cast("string").alias("brand"), c("CategoryName").alias("category"),
                         c("pathlist_names").alias("path_list"))
     else:
-        raise ValueError(f"Dataset {source} is not defined!")
+        raise ValueError(f"no unified schema for source {source!r}")
     out = out.select(*[F.col(x).cast("string").alias(x) for x in UNIFIED])
     if null_literal is not None:
         out = out.select(*[F.coalesce(F.col(x), F.lit(null_literal)).alias(x) for x in UNIFIED])
@@ -113,13 +113,15 @@ def _quotas(counts: DataFrame, by: str, frac: float) -> DataFrame:
 def stratified_split(df: DataFrame, by: str = "path_list", frac: float = 0.2, seed: int = 42,
                      id_col: str = "offer_id", out: str = "is_test") -> DataFrame:
     """Flag ``frac`` of the rows as test, stratified by ``by`` (see module doc)."""
+    source, by = by, "cls_"      # NULL is a class of its own
+    df = df.withColumn(by, F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("")))
     counts = class_counts(df, by)
     big = counts.where(F.col("n_c") >= 2)
     quotas = checked_broadcast(_quotas(big, by, frac))
     h = F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_col).cast("string")))
     rows = df.withColumn("h_", h).withColumn("b_", F.conv(F.substring("h_", 1, 4), 16, 10).cast("int"))
     # per (class, bucket) counts -> boundary bucket and how many rows it still owes
-    bc = rows.join(F.broadcast(quotas.select(by)), by, "left_semi").groupBy(by, "b_").agg(F.count("*").alias("nb"))
+    bc = rows.join(quotas.select(by), by, "left_semi").groupBy(by, "b_").agg(F.count("*").alias("nb"))
     wcum = Window.partitionBy(by).orderBy("b_").rowsBetween(Window.unboundedPreceding, 0)
     bc = bc.withColumn("cum", F.sum("nb").over(wcum)).join(quotas, by)
     boundary = (bc.where(F.col("cum") >= F.col("quota"))
@@ -133,7 +135,7 @@ def stratified_split(df: DataFrame, by: str = "path_list", frac: float = 0.2, se
     at_b = at_b.withColumn(out, F.row_number().over(w_b) <= F.col("need"))
     rest = tagged.where(~(F.col("b_") == F.col("bstar")) | F.col("bstar").isNull()).withColumn(
         out, F.coalesce(F.col("b_") < F.col("bstar"), F.lit(False)))
-    return at_b.unionByName(rest).drop("h_", "b_", "bstar", "need")
+    return at_b.unionByName(rest).drop("h_", "b_", "bstar", "need", "cls_")
 
 
 def train_validate_test(df: DataFrame, by: str = "path_list", seed: int = 42,

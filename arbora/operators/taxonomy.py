@@ -276,8 +276,9 @@ def prefixes_per_level(paths: DataFrame, path_col: str = "path") -> DataFrame:
 # ---------------------------------------------------------------- lookups / diffs
 
 def encode_names(df: DataFrame, name_col: str, nodes: DataFrame, out_col: str = "node_id",
-                 how: str = "inner") -> DataFrame:
-    """Name -> id lookup against a (checked, broadcast) node table."""
+                 how: str = "left") -> DataFrame:
+    """Name -> id lookup against a (checked, broadcast) node table. Labels that the
+    taxonomy lacks keep their rows with a NULL id; :func:`unknown_names` lists them."""
     from arbora.operators.guards import checked_broadcast
     lookup = checked_broadcast(nodes.select(F.col("name").alias(name_col),
                                             F.col("id").alias(out_col)), bound=nodes)

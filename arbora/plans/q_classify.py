@@ -9,8 +9,9 @@ from arbora.operators import metrics as m
 from arbora.operators import splits as sp
 from arbora.operators import taxonomy as tx
 from arbora.plans import standins as st
+from arbora.plans.q_splits import _sql_split
 from arbora.plans.registry import query
-from arbora.session import table
+from arbora.session import scratch_path, table
 
 T2_WORDS = r"[\s_/]+"   # T2 leaf names are path-qualified with '/'
 
@@ -97,6 +98,10 @@ def _noun_options(spark, sf):
     return opts, default
 
 
+#: Stand-in for a trained fallback: a class by the length of the text (C4, V3).
+_FALLBACK_CLASSES = ["alpha", "beta", "gamma"]
+
+
 @query("classify_sweep_documents", r"""
 WITH nouns AS (SELECT split_part(p_name, ' ', 2) AS name, min(p_partkey) AS ord FROM part GROUP BY 1),
 syn AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS name, split_part(p_name, ' ', 1) AS s FROM part
@@ -118,13 +123,23 @@ sc AS (
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, option ORDER BY score DESC, ord) AS rn FROM sc) WHERE rn = 1)
 SELECT doc_id, option, CASE WHEN score > 0 THEN name ELSE (SELECT d FROM dflt) END AS prediction, round(score, 6) AS score
 FROM best
+UNION ALL
+SELECT doc_id, option || '_fallback', CASE WHEN score > 0 THEN name ELSE ['alpha', 'beta', 'gamma'][length(text) % 3 + 1] END, round(score, 6)
+FROM best JOIN documents USING (doc_id)
 """)
 def classify_sweep_documents(spark, sf):
-    """Whole documents scored under four vocabularies (synonyms x
-    lemmas) in one pass; classes are the part nouns."""
+    """Whole documents scored under eight options: four vocabularies
+    (synonyms x lemmas), scanned in one pass, each with the most frequent class or a
+    fallback model for rows that no class fits; classes are the part nouns."""
+    from pyspark.ml.feature import SQLTransformer
     opts, default = _noun_options(spark, sf)
     d = table(spark, sf, "documents").select("doc_id", "text")
-    out = cl.sweep(d, "text", opts, default, id_col="doc_id")
+    scored = cl.sweep(d, "text", opts)
+    names = ", ".join(f"'{c}'" for c in _FALLBACK_CLASSES)
+    model = SQLTransformer(statement=f"SELECT *, element_at(array({names}), cast(length(text) % 3 + 1 AS int)) AS fallback_prediction FROM __THIS__")
+    fell = cl.with_fallback(scored, "text", model).withColumn("option", F.concat("option", F.lit("_fallback")))
+    plain = scored.withColumn("prediction", F.when(F.col("score") > 0, F.col("prediction")).otherwise(default))
+    out = plain.unionByName(fell)
     return out.select("doc_id", "option", "prediction", F.round("score", 6).alias("score"))
 
 
@@ -140,28 +155,29 @@ def _node_scores(spark, sf):
     withp = m.attach_paths(items, nodes)
     s = withp.select(*st.ITEM_KEY,
                      F.explode(F.array_distinct(F.concat("label_path", "pred_path"))).alias("node_id"))
-    # node probabilities are two-decimal values, fed to the decoder as logits
-    prob = ((F.col("l_orderkey") * 31 + F.col("node_id") * 17) % 97 + 1) / 100.0
-    s = s.withColumn("logit", F.ln(prob / (1 - prob)))
+    # node logits in about -7..7 without equal sums (a term of their own for each node)
+    s = s.withColumn("logit", ((F.col("l_orderkey") * 31 + F.col("node_id") * 17) % 97 - 48) / 7.0 + F.col("node_id") / 1e5)
     return nodes, withp, s
 
 
 @query("classify_path_product", _SQL_PATHS + """,
 sc AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, unnest(list_distinct(list_concat(lp, pp))) AS node_id FROM withp),
-sc2 AS (SELECT *, ln(p / (1 - p)) AS logit FROM (SELECT *, ((l_orderkey * 31 + node_id * 17) % 97 + 1) / 100.0 AS p FROM sc)),
+sc2 AS (SELECT *, CAST((l_orderkey * 31 + node_id * 17) % 97 - 48 AS DOUBLE) / 7.0 + CAST(node_id AS DOUBLE) / 1e5 AS logit FROM sc),
 leaves AS (SELECT * FROM t2_paths WHERE depth > 0 AND id NOT IN (SELECT parent_id FROM t2_nodes WHERE parent_id IS NOT NULL)),
-clo AS (SELECT id AS leaf_id, unnest(path) AS anc, len(path) AS leaf_depth FROM leaves),
-pl AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, leaf_id, round(product(1 / (1 + exp(-logit))), 9) AS score
+clo AS (SELECT id AS leaf_id, path[lvl] AS anc, lvl, len(path) AS leaf_depth FROM (SELECT *, unnest(range(1, len(path) + 1)) AS lvl FROM leaves)),
+pl AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, leaf_id,
+              list_reduce(list(CASE WHEN logit >= 0 THEN -ln(1 + exp(-logit)) ELSE logit - ln(1 + exp(logit)) END ORDER BY lvl), lambda a, b: a + b) AS score
        FROM sc2 JOIN clo ON clo.anc = sc2.node_id
        GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, leaf_id, leaf_depth HAVING count(*) = leaf_depth),
 best AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity ORDER BY score DESC, leaf_id) AS rn FROM pl)
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, leaf_id, round(score, 6) AS score FROM best WHERE rn = 1
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, leaf_id, round(exp(score), 6) AS score, round(score, 6) AS log_score FROM best WHERE rn = 1
 """)
 def classify_path_product(spark, sf):
     """Leaf score = product of node sigmoids along its path; argmax leaf."""
     nodes, _, s = _node_scores(spark, sf)
-    out = cl.path_product(s, nodes, st.ITEM_KEY, digits=9)
-    return out.select(*st.ITEM_KEY, "leaf_id", F.round("score", 6).alias("score"))
+    out = cl.path_product(s, nodes, st.ITEM_KEY)
+    return out.select(*st.ITEM_KEY, "leaf_id", F.round("score", 6).alias("score"),
+                      F.round("log_score", 6).alias("log_score"))
 
 
 @query("classify_greedy_decode", _SQL_PATHS + """,
@@ -222,11 +238,27 @@ def _labelled_docs(spark, sf):
     return sp.stratified_split(x, "quality", 0.2, 42, "doc_id")
 
 
-@query("classify_naive_bayes_documents", note="Spark ML fit; rows-only check")
+@query("classify_naive_bayes_documents", "WITH src AS (SELECT doc_id AS id, CAST(quality AS VARCHAR) AS cls FROM labels JOIN documents USING (doc_id)),"
+       + _sql_split("src", "s") + r""",
+tok AS (SELECT s.id, s.cls, s.is_test, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS w FROM s JOIN documents ON doc_id = s.id),
+cw AS (SELECT cls, w, count(*) AS n FROM tok WHERE NOT is_test GROUP BY ALL),
+ct AS (SELECT cls, sum(n) AS t FROM cw GROUP BY cls),
+voc AS (SELECT DISTINCT w FROM cw), v AS (SELECT count(*) AS v FROM voc),
+prior AS (SELECT cls, ln(count(*) + 1.0) - ln((SELECT count(*) FROM s WHERE NOT is_test) + (SELECT count(DISTINCT cls) FROM s WHERE NOT is_test)) AS pi
+          FROM s WHERE NOT is_test GROUP BY cls),
+tf AS (SELECT id, w, count(*) AS f FROM tok JOIN voc USING (w) WHERE is_test GROUP BY ALL),
+like_ AS (SELECT tf.id, p.cls, sum(f * (ln(coalesce(cw.n, 0) + 1.0) - ln(ct.t + v.v))) AS l
+          FROM tf CROSS JOIN prior p JOIN ct ON ct.cls = p.cls CROSS JOIN v LEFT JOIN cw ON cw.cls = p.cls AND cw.w = tf.w GROUP BY ALL),
+best AS (SELECT s.id, arg_max(p.cls, p.pi + coalesce(l.l, 0)) AS predicted
+         FROM s CROSS JOIN prior p LEFT JOIN like_ l ON l.id = s.id AND l.cls = p.cls WHERE s.is_test GROUP BY s.id)
+SELECT id AS doc_id, cls AS quality, predicted FROM s JOIN best USING (id)
+""".replace(chr(92) * 2, chr(92)))
 def classify_naive_bayes_documents(spark, sf):
-    """Bag-of-words naive Bayes on document quality, test split predicted."""
+    """Bag-of-words naive Bayes on document quality; the fitted model is saved,
+    loaded again and applied to the test split."""
     x = _labelled_docs(spark, sf)
     model = cl.fit_naive_bayes(x.where(~F.col("is_test")), "text", "quality")
+    model = cl.load_model(cl.save_model(model, scratch_path(spark, "naive-bayes")))
     out = cl.decode_predictions(model.transform(x.where(F.col("is_test"))), model)
     return out.select("doc_id", "quality", F.col("prediction_label").alias("predicted"))
 
@@ -242,7 +274,7 @@ def _labelled_parts(spark, sf):
 def classify_forest_parts(spark, sf):
     """Preprocessed bag of words + random forest, part titles -> type."""
     x = _labelled_parts(spark, sf)
-    model = cl.fit_forest(x.where(~F.col("is_test")), "title", "label", trees=20)
+    model = cl.fit_forest(x.where(~F.col("is_test")), "title", "label")
     out = cl.decode_predictions(model.transform(x.where(F.col("is_test"))), model)
     return out.select("offer_id", "label", F.col("prediction_label").alias("predicted"))
 
@@ -251,6 +283,6 @@ def classify_forest_parts(spark, sf):
 def classify_ngram_linear_parts(spark, sf):
     """Word + character n-gram linear classifier, part titles -> type."""
     x = _labelled_parts(spark, sf)
-    model = cl.fit_ngram_linear(x.where(~F.col("is_test")), "title", "label", features=1 << 16)
+    model = cl.fit_ngram_linear(x.where(~F.col("is_test")), "title", "label")
     out = cl.decode_predictions(model.transform(x.where(F.col("is_test"))), model)
     return out.select("offer_id", "label", F.col("prediction_label").alias("predicted"))

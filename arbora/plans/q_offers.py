@@ -192,7 +192,7 @@ def offers_aggregate_job(spark, sf):
     """E2 step 3: per file W2 -> W3 -> T2 (head 150), then global W2 -> W3."""
     o = st.offers_from_documents(spark, sf)
     per_file = of.dedupe_keep_first(o, ["file", "Title"], ORDER, empty="last")
-    per_file = of.cap_per_group(per_file.withColumn("fh_", F.concat_ws("|", "file", "Host")), "fh_", 15).drop("fh_")
+    per_file = of.cap_per_group(per_file, ["file", "Host"], 15)
     per_file = of.head_per_group(per_file, "file", ORDER, 150)
     merged = of.dedupe_keep_first(per_file, "Title", ORDER, empty="last")
     return of.cap_per_group(merged, "Host", 15).select("offer_id", "file", "Host")
@@ -216,16 +216,24 @@ page_offers AS (
     url AS URL
   FROM pages
 ),
-patterns AS (SELECT DISTINCT split_part(Host, '.', 1) AS host FROM page_offers WHERE strpos(URL, '/en/') > 0)"""
+patterns AS (SELECT DISTINCT split_part(Host, '.', 1) AS host FROM page_offers)"""
+# the searched-host filter (F1) looks for a subset of the hosts
+_SEARCHED_SQL = _PAGE_OFFERS_SQL.replace("FROM page_offers)", "FROM page_offers WHERE strpos(URL, '/en/') > 0)")
 
 
 def _page_offers(spark, sf):
     p = table(spark, sf, "pages")
     o = p.select(F.col("page_id").alias("offer_id"), tf.extract_host("url").alias("Host"),
                  F.col("url").alias("URL"))
-    pats = o.where(F.contains("URL", F.lit("/en/"))).select(
-        F.split_part("Host", F.lit("."), F.lit(1)).alias("host")).distinct()
-    return o, pats
+    return o, _patterns(o)
+
+
+def _patterns(o):
+    return o.select(F.split_part("Host", F.lit("."), F.lit(1)).alias("host")).distinct()
+
+
+def _searched(o):
+    return _patterns(o.where(F.contains("URL", F.lit("/en/"))))
 
 
 @query("offers_sample_for_hosts", "WITH " + _PAGE_OFFERS_SQL + """,
@@ -271,14 +279,14 @@ def offers_host_summary(spark, sf):
     return of.host_summary(s, pats).select("n_offers", F.round("mean_per_host", 6).alias("mean_per_host"))
 
 
-@query("offers_searched_hosts", "WITH " + _PAGE_OFFERS_SQL + """
+@query("offers_searched_hosts", "WITH " + _SEARCHED_SQL + """
 SELECT o.offer_id, o.URL FROM page_offers o
 WHERE EXISTS (SELECT 1 FROM patterns p WHERE strpos(o.URL, p.host) > 0)
 """)
 def offers_searched_hosts(spark, sf):
-    """Left-semi theta join, URL contains any searched host."""
-    o, pats = _page_offers(spark, sf)
-    return of.searched_host_filter(o, pats, url="URL").select("offer_id", "URL")
+    """Rows whose URL contains any searched host."""
+    o, _ = _page_offers(spark, sf)
+    return of.searched_host_filter(o, _searched(o), url="URL").select("offer_id", "URL")
 
 
 @query("offers_distinct_hosts", """

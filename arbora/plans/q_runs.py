@@ -18,21 +18,24 @@ from arbora.session import table
 MODELS = [("a", 7, 1), ("b", 3, 5)]
 SEEDS = [9, 13, 42]
 ITEM = st.ITEM_KEY
+LEVELS = (1, 2, 3)
 
 
-def seed_run_items(spark, sf, nodes):
-    """Items x (model, seed): prediction = T2 leaf of part
+def seed_run_items(spark, sf, nodes, keep=(*ITEM, "l_returnflag")):
+    """Columns ``keep`` of items x (model, seed): prediction = T2 leaf of part
     ``(l_partkey * x + l_suppkey * y + seed) % count(part)``."""
     li = table(spark, sf, "lineitem")
     n_parts = table(spark, sf, "part").select(F.count("*")).scalar()
     grid = F.array(*[F.struct(F.lit(mo).alias("model"), F.lit(x).alias("x"), F.lit(y).alias("y"),
                               F.lit(s).alias("seed")) for mo, x, y in MODELS for s in SEEDS])
-    runs = li.select(*ITEM, "l_returnflag", F.inline(grid)).withColumn(
-        "pred_partkey", (F.col("l_partkey") * F.col("x") + F.col("l_suppkey") * F.col("y") + F.col("seed")) % n_parts)
     pl = st.part_leaf(spark, sf, nodes)
     lab = pl.select(F.col("partkey").alias("l_partkey"), F.col("leaf_id").alias("label_id"))
     prd = pl.select(F.col("partkey").alias("pred_partkey"), F.col("leaf_id").alias("pred_id"))
-    return runs.join(lab, "l_partkey").join(prd, "pred_partkey").drop("x", "y", "pred_partkey")
+    # the label is joined once per item, before the rows multiply by the runs
+    labelled = li.select(*ITEM, "l_returnflag").join(lab, "l_partkey")
+    runs = labelled.select("*", F.inline(grid)).withColumn(
+        "pred_partkey", (F.col("l_partkey") * F.col("x") + F.col("l_suppkey") * F.col("y") + F.col("seed")) % n_parts)
+    return runs.select(*keep, "label_id", "model", "seed", "pred_partkey").join(prd, "pred_partkey").drop("pred_partkey")
 
 
 _SQL_RUNS = "WITH RECURSIVE " + st.SQL_T2_NODES + "," + st.SQL_PREDICTIONS.split("items AS")[0].rstrip().rstrip(",") + """,
@@ -85,8 +88,11 @@ def significance_majority_votes(spark, sf):
 
 
 def _contingency(spark, sf):
-    """Both models' runs co-grouped by (item, level): votes and alignment in one pass."""
-    return sg.paired_contingency(_level_runs(spark, sf), ITEM + ["level"], "model", "a", "b")
+    """Both models' runs grouped by item once, with sums for each level: votes and alignment
+    in one shuffle of one row per run."""
+    nodes = st.t2_nodes(spark, sf)
+    wide = m.level_columns(seed_run_items(spark, sf, nodes, ITEM), nodes, len(LEVELS))
+    return sg.paired_contingency_wide(wide, ITEM, {k: f"correct_{k}" for k in LEVELS}, "model", "a", "b")
 
 
 @query("significance_contingency", _SQL_VOTES + """
@@ -117,7 +123,7 @@ st AS (
 st2 AS (SELECT *, CASE WHEN n = 0 THEN 1.0 ELSE """ + _d_erfc("sqrt(stat_chi2 / 2)") + """ END AS p_chi2 FROM st),
 modes AS (SELECT 'auto' AS mode, n <= 25 AS exact, * FROM st2 UNION ALL SELECT 'exact', true, * FROM st2
           UNION ALL SELECT 'chi2', false, * FROM st2)
-SELECT mode, n11, n10, n01, n00, k AS stat_exact, round(stat_chi2, 6) AS stat_chi2, round(p_exact, 6) AS p_exact,
+SELECT mode, n11, n10, n01, n00, k AS stat_exact, round(stat_chi2, 6) AS stat_chi2, CASE WHEN exact THEN round(p_exact, 6) END AS p_exact,
        round(p_chi2, 6) AS p_chi2, exact, round(CASE WHEN exact THEN p_exact ELSE p_chi2 END, 6) AS p_value,
        CASE WHEN exact THEN p_exact ELSE p_chi2 END <= 0.05 AS reject_005,
        CASE WHEN exact THEN p_exact ELSE p_chi2 END <= 0.01 AS reject_001
@@ -159,7 +165,7 @@ def runs_metric_report(spark, sf):
     pass, keyed as ``exp+split`` (train runs unsuffixed), parsed back and pivoted
     into one wide row per run."""
     nodes = st.t2_nodes(spark, sf)
-    items = seed_run_items(spark, sf, nodes).select(
+    items = seed_run_items(spark, sf, nodes, ["l_returnflag"]).select(
         F.concat_ws("_", "model", F.col("seed").cast("string")).alias("experiment"),
         _split_col().alias("split"), "label_id", "pred_id")
     long = m.bundle(items, nodes, ["experiment", "split"])
@@ -232,12 +238,12 @@ WITH cfg AS (
          CASE WHEN event_type = 'view' THEN 'exp_' || CAST(event_id - 1 AS VARCHAR) END AS original_experiment,
          CASE WHEN event_type = 'view' THEN 'ds_' || CAST((user_id + 1) % 4 AS VARCHAR) END AS original_dataset,
          CASE WHEN CAST(json_extract(props, '$.k') AS INTEGER) % 2 = 0 THEN 'True' ELSE 'false' END AS flag_text
-  FROM events WHERE event_type IN ('view', 'purchase')
+  FROM events
 )"""
 
 
 def _configs(spark, sf):
-    e = table(spark, sf, "events").where(F.col("event_type").isin("view", "purchase"))
+    e = table(spark, sf, "events")
     parsed = F.from_json("props", "k INT")   # S8: nested JSON with an explicit schema
     is_eval = F.col("event_type") == "view"
     return e.select(

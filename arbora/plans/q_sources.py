@@ -30,8 +30,7 @@ def sources_quoted_csv_documents(spark, sf):
     """Multi-line texts through a fully quoted CSV and back."""
     path = scratch_path(spark, "quoted-csv")
     d = table(spark, sf, "documents").select("doc_id", "text", "lang")
-    (d.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"')
-      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    fs.write_quoted_csv(d, path)
     back = fs.read_quoted_csv(spark, path, fs.string_schema(["doc_id", "text", "lang"]))
     return back.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
 
@@ -46,7 +45,7 @@ def sources_offer_files_events(spark, sf):
     """Folded offers written as ``;`` files (several parts) and re-read."""
     path = scratch_path(spark, "offer-files")
     offers = of.fold_offers(st.quads_from_events(spark, sf), chunk_lines=qo.RUN_CHUNK)
-    fs.write_offer_files(offers.repartition(4), path)
+    fs.write_offer_files(offers, path)
     back = fs.read_offer_files(spark, path)
     return back.select(*[F.nullif(F.col(c), F.lit("")).alias(c) for c in of.OFFER_COLUMNS])
 
@@ -94,31 +93,33 @@ SELECT n.id, n.name, CASE WHEN n.parent = 'Root' THEN 0 ELSE p.id END, n.depth
 FROM num n LEFT JOIN num p ON n.parent = p.name
 """)
 def sources_hierarchy_tsv(spark, sf):
-    """code/name hierarchy rows written as one TSV file (in customer order)
-    and read back; the tree follows file order."""
+    """code/name hierarchy rows (distinct, in the order of their first customer)
+    written as one TSV file, bounded by the label space, and read back; the tree follows
+    file order."""
     path = scratch_path(spark, "hierarchy-tsv")
     c = table(spark, sf, "customer")
     n = table(spark, sf, "nation")
     r = table(spark, sf, "region")
     rows = (c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
-             .orderBy("c_custkey")
-             .select(F.col("r_regionkey").cast("string").alias("code1"), F.col("r_name").alias("name1"),
+             .select("c_custkey", F.col("r_regionkey").cast("string").alias("code1"), F.col("r_name").alias("name1"),
                      F.col("n_nationkey").cast("string").alias("code2"), F.col("n_name").alias("name2"),
                      F.col("c_nationkey").cast("string").alias("code3"), F.col("c_mktsegment").alias("name3")))
-    rows.coalesce(1).write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
+    codes = [c for c in rows.columns if c != "c_custkey"]
+    rows = rows.groupBy(*codes).agg(F.min("c_custkey").alias("first_")).coalesce(1).sortWithinPartitions("first_").select(*codes)
+    rows.write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
     back = fs.read_hierarchy_tsv(spark, path).withColumn("row", F.monotonically_increasing_id())
     return tx.taxonomy_from_codes(back, [("code1", "name1"), ("code2", "name2"), ("code3", "name3")], "row")
 
 
-@query("sources_host_list_pages", "WITH " + qo._PAGE_OFFERS_SQL + """
+@query("sources_host_list_pages", "WITH " + qo._SEARCHED_SQL + """
 SELECT o.offer_id FROM page_offers o WHERE EXISTS (SELECT 1 FROM patterns p WHERE strpos(o.URL, p.host) > 0)
 """)
 def sources_host_list_pages(spark, sf):
     """A host list file (padded lines, blank lines) read back and used as
     the searched-host filter."""
     path = scratch_path(spark, "host-list")
-    o, pats = qo._page_offers(spark, sf)
-    padded = pats.select(F.concat(F.lit("  "), F.col("host"), F.lit(" \n")).alias("value"))
+    o, _ = qo._page_offers(spark, sf)
+    padded = qo._searched(o).select(F.concat(F.lit("  "), F.col("host"), F.lit(" \n")).alias("value"))
     padded.coalesce(1).write.mode("overwrite").text(path)
     hosts = fs.read_host_list(spark, path)
     return of.searched_host_filter(o, hosts, url="URL").select("offer_id")
@@ -175,8 +176,11 @@ _CFG_SCHEMA = T.StructType([
         T.StructField("fallback", T.BooleanType())])))])
 
 
+_CONFIGS_A_FILE = 20_000
+
+
 @query("sources_configs_json", """
-WITH e AS (SELECT event_id, user_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events WHERE event_type = 'purchase')
+WITH e AS (SELECT event_id, user_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events)
 SELECT 'exp_' || CAST(event_id AS VARCHAR) AS experiment_name, 'ds_' || CAST(user_id % 4 AS VARCHAR) AS dataset,
        'dict' AS type, CAST(o AS INTEGER) AS option,
        CASE WHEN o = 0 THEN k % 2 = 0 ELSE k % 2 = 1 END AS synonyms, k % 3 = 0 AS lemmatizing,
@@ -184,10 +188,10 @@ SELECT 'exp_' || CAST(event_id AS VARCHAR) AS experiment_name, 'ds_' || CAST(use
 FROM e, range(0, 2) t(o)
 """)
 def sources_configs_json(spark, sf):
-    """Whole-file JSON configs (one JSON array per dataset file) with an array
-    ``parameter``, read with a schema and exploded to one row per option."""
+    """Whole-file JSON configs (JSON arrays of at most ``_CONFIGS_A_FILE`` configs of a
+    dataset) with an array ``parameter``, read with a schema and exploded to one row per option."""
     path = scratch_path(spark, "configs")
-    e = table(spark, sf, "events").where(F.col("event_type") == "purchase")
+    e = table(spark, sf, "events")
     k = F.from_json("props", "k INT")["k"]
     cfg = e.select(
         F.concat(F.lit("exp_"), F.col("event_id").cast("string")).alias("experiment_name"),
@@ -196,13 +200,33 @@ def sources_configs_json(spark, sf):
         F.array(F.struct((k % 2 == 0).alias("synonyms"), (k % 3 == 0).alias("lemmatizing"), F.lit(False).alias("fallback")),
                 F.struct((k % 2 == 1).alias("synonyms"), (k % 3 == 0).alias("lemmatizing"), (k % 5 == 0).alias("fallback"))
                 ).alias("parameter"))
-    docs = cfg.groupBy("dataset").agg(F.to_json(F.collect_list(F.struct(*cfg.columns))).alias("value"))
-    docs.select("dataset", "value").write.mode("overwrite").partitionBy("dataset").text(path)
+    cfg = cfg.withColumn("part", F.floor(F.substring("experiment_name", 5, 20).cast("long") / _CONFIGS_A_FILE))
+    docs = cfg.groupBy("dataset", "part").agg(
+        F.to_json(F.collect_list(F.struct(*[c for c in cfg.columns if c != "part"]))).alias("value"))
+    docs.select("part", F.concat("dataset", F.lit("-"), "part").alias("file"), "value").write.mode("overwrite").partitionBy("part", "file").text(path)
     back = fs.read_configs(spark, path, _CFG_SCHEMA)
     return back.select("experiment_name", "dataset", "type", F.col("option").cast("int").alias("option"),
                        "synonyms", "lemmatizing", "fallback")
 
 
+@query("sources_quad_lines_events", "WITH " + st.SQL_QUADS + """
+SELECT subject, predicate, object, '<' || url || '>' AS url FROM quads
+""")
+def sources_quad_lines_events(spark, sf):
+    """N-Quads lines written as gz text beside malformed ones (four fields, no graph,
+    blank), read back: only whole quads come through."""
+    path = scratch_path(spark, "quad-lines")
+    q = st.quads_from_events(spark, sf)
+    graph = F.concat(F.lit("<"), F.col("url"), F.lit(">"))
+    good = F.concat_ws(" ", "subject", "predicate", "object", graph, F.lit("."))
+    bad = F.when(F.col("line_no") % 7 == 0, F.concat_ws(" ", "subject", "predicate", F.lit('"cut"'), F.lit("."))) \
+           .when(F.col("line_no") % 7 == 1, F.concat_ws(" ", "subject", "predicate", F.lit("<o>"), graph)) \
+           .when(F.col("line_no") % 7 == 2, F.lit("")).when(F.col("line_no") % 7 == 3, F.lit("junk"))
+    lines = q.select(F.explode(F.array(good, bad)).alias("value")).where("value is not null")
+    lines.write.mode("overwrite").option("compression", "gzip").text(path)
+    return of.read_quads(spark, path).select("subject", "predicate", "object", "url")
+
+
 @query("sources_labelled_lines_parts", """
 SELECT concat_ws(' ', p_name, '__label__' || replace(p_type || '/' || p_brand || '/' || split_part(p_name, ' ', 2), ' ', '_')) AS line,
        p_type

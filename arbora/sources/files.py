@@ -34,17 +34,31 @@ def read_quoted_csv(spark: SparkSession, path: str, schema: T.StructType) -> Dat
 def write_quoted_csv(df: DataFrame, path: str, sep: str = ",", mode: str = "overwrite") -> None:
     """prediction/offer CSV with every field quoted."""
     (df.write.mode(mode).option("header", True).option("sep", sep).option("quoteAll", True)
-       .option("escape", '"').csv(path))
+       .option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+       .csv(path))
 
 
 # ---------------------------------------------------------------- S2 / S11
 
+_CORRUPT = "__corrupt"
+
+
+def _offer_file_rows(spark: SparkSession, path: str) -> DataFrame:
+    header_schema = T.StructType([T.StructField(c, T.StringType()) for c in [*OFFER_FILE_HEADER, _CORRUPT]])
+    return (spark.read.schema(header_schema).option("header", True).option("sep", ";").option("escape", '"')
+                 .option("multiLine", True).option("ignoreLeadingWhiteSpace", False)
+                 .option("ignoreTrailingWhiteSpace", False).option("columnNameOfCorruptRecord", _CORRUPT).csv(path))
+
+
+def dropped_offer_rows(spark: SparkSession, path: str) -> DataFrame:
+    """One row with the number of malformed rows that :func:`read_offer_files` leaves out."""
+    return _offer_file_rows(spark, path).agg(F.count(_CORRUPT).alias("n_dropped"))
+
 def read_offer_files(spark: SparkSession, path: str) -> DataFrame:
-    """``;``-separated offer files with header; malformed rows are dropped and
-    empty files contribute nothing."""
-    header_schema = T.StructType([T.StructField(c, T.StringType()) for c in OFFER_FILE_HEADER])
-    df = (spark.read.schema(header_schema).option("header", True).option("sep", ";")
-               .option("mode", "DROPMALFORMED").csv(path))
+    """``;``-separated offer files with header; quoted fields may hold quotes, separators,
+    line breaks and blanks at their ends. Malformed rows are dropped (counted by
+    :func:`dropped_offer_rows`) and empty files contribute nothing."""
+    df = _offer_file_rows(spark, path).where(F.col(_CORRUPT).isNull()).drop(_CORRUPT)
     return df.withColumnRenamed("Breadcrumb-Predicate", "Breadcrumb_Predicate")
 
 
@@ -54,7 +68,8 @@ def write_offer_files(df: DataFrame, path: str, mode: str = "overwrite", fmt: st
     if fmt == "parquet":
         out.write.mode(mode).parquet(path)
     else:
-        out.write.mode(mode).option("header", True).option("sep", ";").option("escape", '"').csv(path)
+        (out.write.mode(mode).option("header", True).option("sep", ";").option("escape", '"').option("quoteAll", True)
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 # ---------------------------------------------------------------- S3 / S8
@@ -66,12 +81,13 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> Dat
 
 def read_configs(spark: SparkSession, path: str, schema: T.StructType, explode_parameter: bool = True) -> DataFrame:
     """Whole-file JSON configs; a ``parameter`` array of structs becomes one
-    row per option (a struct ``parameter`` is flattened)."""
+    row per option (a struct ``parameter`` is flattened); a config whose array is empty
+    or missing keeps one row with NULLs."""
     df = spark.read.schema(schema).option("multiLine", True).json(path).withColumn("file", F.input_file_name())
     p = [f for f in schema.fields if f.name == "parameter"]
     if explode_parameter and p:
         if isinstance(p[0].dataType, T.ArrayType):
-            return df.select("*", F.posexplode("parameter").alias("option", "p_")).select(
+            return df.select("*", F.posexplode_outer("parameter").alias("option", "p_")).select(
                 *[c for c in df.columns if c != "parameter"], "option", "p_.*")
         return df.select(*[c for c in df.columns if c != "parameter"], "parameter.*")
     return df
@@ -100,17 +116,25 @@ def write_report(wide: DataFrame, path: str, mode: str = "overwrite") -> None:
 def read_results(spark: SparkSession, groups: dict[str, tuple[str, T.StructType]],
                  skip_marker: str = "aggregated") -> DataFrame:
     """Result reports of several layouts (one ``(path, schema)`` per group)
-    with their file name; files whose name contains ``skip_marker`` are skipped;
-    layouts are unioned by column name."""
+    with their file name; reports whose own name contains ``skip_marker`` are skipped
+    (names of the folders above the group's path don't count); layouts are unioned by
+    column name."""
     out = None
     for _, (path, schema) in groups.items():
         df = (spark.read.schema(schema).option("header", True).option("sep", ";").csv(path)
                    .withColumn("file", F.input_file_name())
-                   .where(~F.contains(F.col("file"), F.lit(skip_marker))))
+                   .where(~F.contains(_below(path, F.col("file")), F.lit(skip_marker))))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out
 
 
+def _below(path: str, file):
+    """The part of a file's path from the last name of ``path`` on."""
+    above = path.rstrip("/").rsplit("/", 1)[0].split("://")[-1]
+    above = (above[5:] if above.startswith("file:") else above).rstrip("/") + "/"
+    return F.when(F.contains(file, F.lit(above)), F.substring_index(file, above, -1)).otherwise(F.substring_index(file, "/", -2))
+
+
 # ---------------------------------------------------------------- S9 / S10
 
 def write_split_dataset(df: DataFrame, path: str, mode: str = "overwrite") -> None:
