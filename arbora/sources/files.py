@@ -40,25 +40,26 @@ def write_quoted_csv(df: DataFrame, path: str, sep: str = ",", mode: str = "over
 
 # ---------------------------------------------------------------- S2 / S11
 
-_CORRUPT = "__corrupt"
-
-
-def _offer_file_rows(spark: SparkSession, path: str) -> DataFrame:
-    header_schema = T.StructType([T.StructField(c, T.StringType()) for c in [*OFFER_FILE_HEADER, _CORRUPT]])
-    return (spark.read.schema(header_schema).option("header", True).option("sep", ";").option("escape", '"')
-                 .option("multiLine", True).option("ignoreLeadingWhiteSpace", False)
-                 .option("ignoreTrailingWhiteSpace", False).option("columnNameOfCorruptRecord", _CORRUPT).csv(path))
+def _offer_file_reader(spark: SparkSession, columns: list[str]):
+    # all columns are parsed even if few are asked for: a row is malformed or not as a whole
+    return (spark.read.schema(string_schema(columns)).option("header", True).option("sep", ";").option("escape", '"')
+                 .option("multiLine", True).option("columnPruning", False).option("ignoreLeadingWhiteSpace", False)
+                 .option("ignoreTrailingWhiteSpace", False))
 
 
 def dropped_offer_rows(spark: SparkSession, path: str) -> DataFrame:
     """One row with the number of malformed rows that :func:`read_offer_files` leaves out."""
-    return _offer_file_rows(spark, path).agg(F.count(_CORRUPT).alias("n_dropped"))
+    every = _offer_file_reader(spark, OFFER_FILE_HEADER).option("mode", "PERMISSIVE").csv(path)
+    whole = read_offer_files(spark, path)
+    return every.agg(F.count(F.lit(1)).alias("n")).select(
+        (F.col("n") - whole.select(F.count(F.lit(1))).scalar()).alias("n_dropped"))
+
 
 def read_offer_files(spark: SparkSession, path: str) -> DataFrame:
     """``;``-separated offer files with header; quoted fields may hold quotes, separators,
     line breaks and blanks at their ends. Malformed rows are dropped (counted by
     :func:`dropped_offer_rows`) and empty files contribute nothing."""
-    df = _offer_file_rows(spark, path).where(F.col(_CORRUPT).isNull()).drop(_CORRUPT)
+    df = _offer_file_reader(spark, OFFER_FILE_HEADER).option("mode", "DROPMALFORMED").csv(path)
     return df.withColumnRenamed("Breadcrumb-Predicate", "Breadcrumb_Predicate")
 
 

@@ -83,8 +83,9 @@ def test_token_packing_drops_remainders(spark):
 @pytest.mark.parametrize("b,c,exact,chi", [(6, 14, 0.1153, 0.1175), (40, 70, 0.00545, 0.00569)])
 def test_mcnemar_values(spark, b, c, exact, chi):
     t = spark.createDataFrame([(0, b, c, 0)], "n11 long, n10 long, n01 long, n00 long")
-    r = sg.mcnemar(t).first()
+    r = sg.mcnemar(t, exact=True).first()
     assert round(r.p_exact, 4 if exact > 0.01 else 5) == exact
+    assert (sg.mcnemar(t).first().p_exact is None) == (b + c > sg.EXACT_MAX_DISCORDANT)
     assert round(r.p_chi2, 4 if chi > 0.01 else 5) == chi
 
 
