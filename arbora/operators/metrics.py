@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from arbora.operators.guards import checked_broadcast
+from arbora.operators.guards import checked_broadcast, keep
 from arbora.operators.taxonomy import depth_of, scorer_path, with_paths
 
 # Fixed metric names of the bundle (values must match the reference's report keys).
@@ -180,8 +180,7 @@ def bundle(items: DataFrame, nodes: DataFrame, keys: list[str] | tuple = (),
     below is computed from that small table.
     """
     k = list(keys)
-    counts = level_counts(items, nodes, k, label, pred, compat).persist()
-    counts.count()  # the single pass over the items; every metric reads the cached counts
+    counts = keep(level_counts(items, nodes, k, label, pred, compat))  # one pass over the items, read by every metric
     scored = prf(counts.where(F.col("scope") != "h"), k + ["scope"])
     hier = hierarchical_f(counts, k)
     metric_cols = [f"{avg}_{m}" for avg in ("weighted", "macro") for m in ("prec", "rec", "f1")]

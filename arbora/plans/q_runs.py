@@ -9,6 +9,7 @@ from arbora.functions import text as tf
 from arbora.operators import metrics as m
 from arbora.operators import runs as rn
 from arbora.operators import significance as sg
+from arbora.operators.guards import keep
 from arbora.plans import standins as st
 from arbora.plans.q_metrics import METRIC_NAMES, bundle_sql
 from arbora.plans.registry import query
@@ -132,7 +133,7 @@ FROM modes
 def significance_mcnemar(spark, sf):
     """McNemar test (rule-based, always exact, always chi-square) with
     verdicts at alpha .05 and .01."""
-    t = _contingency(spark, sf).persist()
+    t = keep(_contingency(spark, sf))
     out = None
     for mode, exact in (("auto", None), ("exact", True), ("chi2", False)):
         r = sg.mcnemar(t, exact).select(F.lit(mode).alias("mode"), "*")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F, types as T
 
 from arbora.operators import offers as of
 from arbora.operators import splits as sp
+from arbora.operators.guards import keep
 from arbora.operators import taxonomy as tx
 from arbora.plans import q_offers as qo
 from arbora.plans import q_runs as qr
@@ -138,10 +139,10 @@ def sources_result_reports(spark, sf):
     base = scratch_path(spark, "reports")
     nodes = st.t2_nodes(spark, sf)
     items = qr.seed_run_items(spark, sf, nodes)
-    acc = items.groupBy("model", F.concat_ws("_", "model", F.col("seed").cast("string")).alias("experiment"),
+    acc = keep(items.groupBy("model", F.concat_ws("_", "model", F.col("seed").cast("string")).alias("experiment"),
                         qr._split_col().alias("split")).agg(
         F.round(F.avg((F.col("label_id") == F.col("pred_id")).cast("double")), 6).alias("accuracy"),
-        F.count("*").cast("long").alias("n_items")).persist()
+        F.count("*").cast("long").alias("n_items")))
     fs.write_report(acc.where(F.col("model") == "a").drop("model"), f"{base}/layout_a")
     fs.write_report(acc.where(F.col("model") == "b").select("experiment", "split", "accuracy"), f"{base}/layout_b")
     fs.write_report(acc.drop("model"), f"{base}/layout_a_aggregated")

@@ -175,13 +175,15 @@ def taxonomy_prefixes_t2(spark, sf):
     return u.select(F.col("level").cast("int").alias("level"), _s("prefix").alias("prefix"))
 
 
-@query("taxonomy_reid_bfs_t1", _T1 + """
-SELECT CAST(row_number() OVER (ORDER BY depth, opath) - 1 AS INTEGER) AS id, replace(name, ' ', '_') AS name, depth
-FROM t1_paths
+@query("taxonomy_reid_bfs_t1", _T1 + """,
+bfs AS (SELECT p.id AS old_id, n.parent_id AS old_parent, replace(p.name, ' ', '_') AS name, p.depth,
+               CAST(row_number() OVER (ORDER BY p.depth, p.opath) - 1 AS INTEGER) AS id
+        FROM t1_paths p JOIN t1_nodes n ON n.id = p.id)
+SELECT b.id, b.name, b.depth, p.id AS parent_id FROM bfs b LEFT JOIN bfs p ON p.old_id = b.old_parent
 """)
 def taxonomy_reid_bfs_t1(spark, sf):
     """H3: breadth-first re-numbering (parent ids re-mapped alongside)."""
-    return tx.reid_breadth_first(st.t1_nodes(spark, sf)).select("id", "name", "depth")
+    return tx.reid_breadth_first(st.t1_nodes(spark, sf)).select("id", "name", "depth", "parent_id")
 
 
 @query("taxonomy_padded_leaf_t2", _T2 + _LEAVES_T2 + """

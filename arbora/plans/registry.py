@@ -7,10 +7,13 @@ columns are rounded to 6 decimals on both sides so results compare exactly.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from arbora.operators.guards import release
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 NOTES: dict[str, str] = {}
@@ -21,7 +24,12 @@ def query(name: str, sql: str | None = None, note: str | None = None):
     def deco(fn):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def run(spark, sf_dir):
+            release()   # tables that earlier queries kept
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql
         if note:

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from arbora.operators import taxonomy as tx
+from arbora.operators.guards import keep
 from arbora.session import table
 
 T_LEVELS = ["lvl1", "lvl2", "lvl3"]
@@ -55,11 +56,11 @@ def t2_offers(spark: SparkSession, sf: str) -> DataFrame:
 
 def t1_nodes(spark: SparkSession, sf: str) -> DataFrame:
     # the node table is bounded by the label space; keep it once it is built
-    return tx.taxonomy_from_levels(t1_offers(spark, sf), T_LEVELS, "offer_id").persist()
+    return keep(tx.taxonomy_from_levels(t1_offers(spark, sf), T_LEVELS, "offer_id"))
 
 
 def t2_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    return tx.taxonomy_from_levels(t2_offers(spark, sf), T_LEVELS, "offer_id").persist()
+    return keep(tx.taxonomy_from_levels(t2_offers(spark, sf), T_LEVELS, "offer_id"))
 
 
 def part_leaf(spark: SparkSession, sf: str, nodes: DataFrame) -> DataFrame:
