@@ -109,7 +109,8 @@ def _hashed(entries: DataFrame, kind: str, k: int, tables: int) -> DataFrame:
             for dim in {len(r) for r in rows}:
                 at = [i for i, r in enumerate(rows) if len(r) == dim]
                 x = padded(np.stack([rows[i] for i in at]).astype(np.float64))
-                for i, b in zip(at, np.concatenate([table_buckets(x, k, t, PROBES) for t in range(tables)], axis=1)):
+                found = np.concatenate([table_buckets(x, k, t, PROBES) for t in range(tables)], axis=1)
+                for i, b in zip(at, found ^ (dim * 0x9E3779B97F4A7C15 & (1 << 63) - 1)):  # other dimensions, other buckets
                     buckets[i] = b
             own = [int(b[0]) for b in buckets]
             yield pa.RecordBatch.from_arrays(

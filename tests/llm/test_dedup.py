@@ -121,3 +121,9 @@ def test_vectors_match_brute_force(frame, dim, spread, kind):
         assert (out[i].n_links, out[i].component_id, out[i].kept) == (0, i, True)
     assert out[None].component_id is None and out[None].kept
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_dimensions_do_not_meet(frame):
+    rows = [(1, [1.0, 2.0, 3.0, 0.5, 1.0]), (2, [1.0, 2.0, 3.0, 0.5, 1.0, 0.0, 0.0, 0.0]), (3, [2.0, 4.0, 6.0, 1.0, 2.0]), (4, [7.0]), (5, [0.1])]
+    out = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(frame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert out == {1: (1, 1), 2: (0, 2), 3: (1, 1), 4: (1, 4), 5: (1, 4)}
