@@ -27,6 +27,8 @@ SAMPLE, PIVOTS, WINDOW, BLOCK = 1024, 160, 160, 8192
 CANDIDATES, LEAST = 0.06, 256
 #: Vectors within NEAR of the mean footrule distance of unrelated vectors and within STRETCH times the k-th least count as about as near.
 NEAR, STRETCH = 0.4, 2.0
+#: Queries that walk a posting list together.
+BATCH = 64
 VECTORS, POSTINGS, QUERIES = 0, 1, 2
 
 
@@ -126,19 +128,28 @@ class Block:
         self.x = np.stack([self.vecs[i] for i in self.order]).astype(np.float64)
         self.ids, self.vecs = ids[self.order], []
         self.norm = np.linalg.norm(self.x, axis=1)
-        # the position of each posting, for the slices
-        self.at = [np.repeat(np.arange(self.pivots, dtype=np.int32), np.diff(t)) for t in self.starts]
-
-    def footrule(self, at: np.ndarray, window: int) -> np.ndarray:
-        """Footrule distances, terms at most ``window``, of all vectors from a query with pivot positions ``at``."""
-        near = np.zeros(len(self.ids), dtype=np.int32)
-        for p, r in enumerate(at):
-            a, b = self.starts[p][max(0, r - window + 1)], self.starts[p][min(self.pivots, r + window)]
-            near[self.slots[p][a:b]] += window - np.abs(self.at[p][a:b] - r, dtype=np.int32)
-        return window * self.pivots - near
-
-    def search(self, vec: np.ndarray, query: int, at: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-        d = self.footrule(at, window)
+
+    def footrules(self, at: np.ndarray, window: int) -> np.ndarray:
+        """Footrule distances, terms at most ``window``, of all vectors from queries with pivot positions ``at`` (a row each).
+
+        Each posting list is walked once for all the queries: a position has one gain for each query.
+        """
+        near = np.zeros((len(self.ids), len(at)), dtype=np.int16 if window * self.pivots < 1 << 15 else np.int32)
+        for p in range(self.pivots):
+            low, high = max(0, at[:, p].min() - window + 1), min(self.pivots, at[:, p].max() + window)
+            a, b = self.starts[p][low], self.starts[p][high]
+            gain = np.maximum(0, window - np.abs(np.arange(low, high)[:, None] - at[:, p][None, :])).astype(near.dtype)
+            near[self.slots[p][a:b]] += np.repeat(gain, np.diff(self.starts[p][low:high + 1]), axis=0)
+        return window * self.pivots - near.T.astype(np.int32)
+
+    def search(self, vecs: np.ndarray, queries: list[int], at: np.ndarray, k: int, window: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        out = []
+        for start in range(0, len(vecs), BATCH):
+            part = slice(start, start + BATCH)
+            out += [self.ranked(d, v, q, k, window) for d, v, q in zip(self.footrules(at[part], window), vecs[part], queries[part])]
+        return out
+
+    def ranked(self, d: np.ndarray, vec: np.ndarray, query: int, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
         n = len(d)
         wanted = min(n, max(LEAST, int(np.ceil(CANDIDATES * n))) + 1)
         least = np.partition(d, (min(n, k + 1) - 1, wanted - 1))
@@ -200,8 +211,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", v
                         continue  # no vector fell into this block
                     block.ready()
                 vecs = np.stack(rows_of(part.column("vec"))).astype(np.float64)
-                found = [block.search(v, q, p, k, window) for v, q, p in
-                         zip(vecs, part.column("id").to_pylist(), positions(vecs / np.linalg.norm(vecs, axis=1, keepdims=True), pivots))]
+                found = block.search(vecs, part.column("id").to_pylist(), positions(_unit(list(vecs)), pivots), k, window)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat(part.column("id").to_numpy(), [len(f[0]) for f in found])),
                      pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]))], names=["query_id", "vec_id", "score"])
