@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, functions as F
 from arbora.llm.common import written
 from arbora.session import scratch_path
 
-#: Smallest payload that may become a revisit record; bytes after which a task begins another archive.
-LEAST_BYTES, ARCHIVE_BYTES = 100, 1 << 28
+#: Smallest payload that may become a revisit record; bytes after which a task begins another archive; payload bytes for a task.
+LEAST_BYTES, ARCHIVE_BYTES, TASK_BYTES = 100, 1 << 28, 1 << 26
 #: Bytes that one task reads in a row; a gap up to which two ranges are read as one; the longest range.
 STRETCH, GAP, RANGE = 1 << 25, 1 << 16, 1 << 23
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -123,6 +123,11 @@ def write_archives(typed: DataFrame, folder: str) -> DataFrame:
     return written(typed.mapInArrow(batches, INDEX), "warc-index")
 
 
+def _in_tasks(df: DataFrame, total: int, each: int) -> DataFrame:
+    """``df`` in no more tasks than ``total`` bytes need, but at least two for each core."""
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-total // each)))
+
+
 def coalesced(offsets: list[int], lengths: list[int]) -> Iterator[tuple[int, int, list[int]]]:
     """(start, end, records) of the ranges to read for records sorted by offset."""
     start = end = None
@@ -176,8 +181,10 @@ def read_records(index: DataFrame, folder: str, with_payload: bool = False) -> D
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)],
                                                      names=[f.split()[0] for f in schema.split(", ")])
 
+    total = index.agg(F.sum("length")).first()[0] or 0
     wanted = index.select("file", "offset", "length", F.floor(F.col("offset") / STRETCH).alias("stretch"))
-    return wanted.repartition("file", "stretch").sortWithinPartitions("file", "offset").mapInArrow(batches, schema)
+    wanted = _in_tasks(wanted.repartition("file", "stretch"), total, STRETCH)
+    return wanted.sortWithinPartitions("file", "offset").mapInArrow(batches, schema)
 
 
 def archived(pages: DataFrame, folder: str | None = None) -> DataFrame:
@@ -188,4 +195,5 @@ def archived(pages: DataFrame, folder: str | None = None) -> DataFrame:
     ``folder`` is a URI in the shared file system; unset, a fresh folder of the checkpoint folder.
     """
     folder = folder or scratch_path(pages.sparkSession, "warc")
-    return read_records(write_archives(record_types(pages), folder), folder)
+    total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    return read_records(write_archives(_in_tasks(record_types(pages), total, TASK_BYTES), folder), folder)
