@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from arbora.llm.common import hash_sample
 from arbora.llm.dom import FEATURES, HINTS, MARK, TEXT, decoded, features, labels, main_text, parse
 
 #: Sampled pages, composed layouts, trees and their depth.
@@ -180,7 +181,7 @@ def train(pages: DataFrame, key: str = "page_id", text: str = "html") -> Trees:
     """Trees fitted on a sample of ``pages``."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
-    sample = pages.where(F.col(text).isNotNull()).orderBy(F.xxhash64(key), key).limit(SAMPLE).select(text).collect()  # SAMPLE pages
+    sample = hash_sample(pages.where(F.col(text).isNotNull()), F.col(key), SAMPLE).select(text).collect()  # SAMPLE pages
     nodes = [parse(p) for p in training_pages([r[0] for r in sample])]
     x, y = np.concatenate([features(n)[1:] for n in nodes]), np.concatenate([labels(n)[1:] for n in nodes])
     rows = pa.Table.from_arrays([pa.array(y), pa.array(list(x), pa.list_(pa.float32()))], names=["label", "x"])

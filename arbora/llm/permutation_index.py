@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from arbora.llm.common import written
+from arbora.llm.common import hash_sample, written
 from arbora.llm.vectors import column_array, element_type, rows_of, takes_part
 
 SAMPLE, PIVOTS, WINDOW, BLOCK = 1024, 160, 160, 8192
@@ -179,7 +179,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", v
         return x.where(F.col("id").isNotNull() & takes_part(F.col("vec")))
 
     rows = written(valid(df), "permutation-vectors")
-    chosen = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()  # SAMPLE rows
+    chosen = hash_sample(rows, F.col("id"), SAMPLE).collect()  # SAMPLE rows
     if not chosen:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = len(chosen[0]["vec"])
