@@ -31,7 +31,7 @@ BANDS, ROWS = 40, 7
 ROUNDS = ((0, 4), (4, 12), (12, BANDS))
 #: Documents of a side of a block.
 BLOCK = 512
-WORD_CACHE = 1 << 20
+WORD_CACHE = 1 << 18
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLDEN = 0x9E3779B97F4A7C15
 

@@ -30,7 +30,7 @@ CATEGORIES = (("low_quality", "quality = 0"), ("toxic", "toxic = 1"), ("toxic_lo
 TRAIN_ROWS, TOP_FEATURES, FOLDS = 20_000, 512, 5
 STARTS = (4, 5, 6)
 WORD = re.compile(r"[^\W\d_]+")
-CACHE = 1 << 19
+CACHE = 1 << 17
 
 
 class Features(dict):
