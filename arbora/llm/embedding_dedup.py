@@ -2,7 +2,8 @@
 
 A hash rotates a vector (three times: random signs, then the Hadamard transform) and
 takes the nearest of the 2d signed axes. A table joins k hashes to a bucket; a vector
-also looks into the PROBES next likely buckets. k follows the number of vectors, and as
+also looks into the PROBES next likely buckets (NEXT - 1 if k = 1, as a hash has only NEXT
+likely axes). k follows the number of vectors, and as
 many tables are made as bring the chance to miss a pair at the threshold below MISS,
 by a simulation with vectors of the same dimension.
 
@@ -100,24 +101,25 @@ def plan(n: int, dim: int, cosine: float) -> tuple[int, int]:
 
 
 def _hashed(entries: DataFrame, kind: str, k: int, tables: int) -> DataFrame:
-    """Entries (id, vec, size) with their cell and buckets (own first in each table)."""
+    """Entries (id, vec, size) with their cell and buckets: ``per`` of each table, the own first."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             rows = rows_of(batch.column("vec"))
-            buckets = [None] * len(rows)
+            buckets, per = [None] * len(rows), [0] * len(rows)
             for dim in {len(r) for r in rows}:
                 at = [i for i, r in enumerate(rows) if len(r) == dim]
                 x = padded(np.stack([rows[i] for i in at]).astype(np.float64))
                 found = np.concatenate([table_buckets(x, k, t, PROBES) for t in range(tables)], axis=1)
                 for i, b in zip(at, found ^ (dim * 0x9E3779B97F4A7C15 & (1 << 63) - 1)):  # other dimensions, other buckets
-                    buckets[i] = b
+                    buckets[i], per[i] = b, found.shape[1] // tables
             own = [int(b[0]) for b in buckets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("vec"), batch.column("size"), pa.array(own, pa.int64()), pa.array(buckets, pa.list_(pa.int64()))],
-                names=["id", "vec", "size", "cell", "buckets"])
+                [batch.column("id"), batch.column("vec"), batch.column("size"), pa.array(own, pa.int64()), pa.array(buckets, pa.list_(pa.int64())),
+                 pa.array(per, pa.int32())],
+                names=["id", "vec", "size", "cell", "buckets", "per"])
 
-    return entries.mapInArrow(batches, f"id long, vec {kind}, size long, cell long, buckets array<long>")
+    return entries.mapInArrow(batches, f"id long, vec {kind}, size long, cell long, buckets array<long>, per int")
 
 
 def _centroids(members: DataFrame, kind: str) -> DataFrame:
@@ -269,8 +271,8 @@ def near_duplicates(df: DataFrame, cosine: float = 0.95, key: str = "vec_id", ve
     units = hashed.where("ball is null").select("id", "vec", "size", F.lit(0.0).alias("radius")).unionByName(
         balls.select(F.col("ball").alias("id"), F.col("centre").alias("vec"), F.col("ball_size").alias("size"), (F.col("radius") + 1e-6).alias("radius")))
     # buckets
-    posted = hashed.select(F.col("unit").alias("id"), F.posexplode("buckets").alias("at", "key"))
-    posted = posted.groupBy("key", "id").agg(F.max(F.col("at") % (1 + PROBES) == 0).alias("own"))
+    posted = hashed.select(F.col("unit").alias("id"), "per", F.posexplode("buckets").alias("at", "key"))
+    posted = posted.groupBy("key", "id").agg(F.max(F.col("at") % F.col("per") == 0).alias("own"))
     posted = written(posted, "vector-postings")
     crowded = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("any")).where("n > 1 and any").drop("any")
     blocks = _block_rows(posted.join(crowded, "key")).join(units.drop("size"), "id").select("key", "i", "j", "side", "id", "own", "radius", "vec")

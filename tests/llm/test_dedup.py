@@ -127,3 +127,19 @@ def test_dimensions_do_not_meet(frame):
     rows = [(1, [1.0, 2.0, 3.0, 0.5, 1.0]), (2, [1.0, 2.0, 3.0, 0.5, 1.0, 0.0, 0.0, 0.0]), (3, [2.0, 4.0, 6.0, 1.0, 2.0]), (4, [7.0]), (5, [0.1])]
     out = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(frame(rows, "vec_id long, embedding array<float>")).collect()}
     assert out == {1: (1, 1), 2: (0, 2), 3: (1, 1), 4: (1, 4), 5: (1, 4)}
+
+
+def test_one_hash_a_table_misses_no_pairs(frame, monkeypatch):
+    """With k = 1 a table has fewer buckets than with probes; pairs that meet in any own bucket count."""
+    k, tables = embedding_dedup.plan(1000, 64, 0.95)
+    assert k == 1
+    monkeypatch.setattr(embedding_dedup, "plan", lambda *_: (k, tables))
+    rng, pairs = np.random.default_rng(5), 4000
+    a, z = rng.normal(size=(2, pairs, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    z -= np.sum(z * a, axis=1, keepdims=True) * a
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    b = 0.9501 * a + np.sqrt(1 - 0.9501**2) * z
+    rows = [(2 * i + j, v.tolist()) for i in range(pairs) for j, v in enumerate((a[i], b[i]))]
+    out = embedding_dedup.near_duplicates(frame(rows, "vec_id long, embedding array<double>"))
+    assert out.where("n_links = 0").count() <= 2
