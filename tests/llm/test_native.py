@@ -59,6 +59,26 @@ def test_mixture_deviates_less_than_a_block(frame):
         assert r["index"] * cycle // r.share <= r.slot < math.ceil((r["index"] + 1) * cycle / r.share)
 
 
+def test_mixture_deviates_less_than_two_blocks_from_targets(spark, frame):
+    """Against the targets themselves, over many cycles and with more sources than slots of a cycle."""
+    many = "if(id % 100 < 29, 'hot', concat('s', id % 19))"
+    small = "if(id < 900, 'hot', concat('s', id))"
+    for n, source in ((20000, many), (3000, small)):
+        rows = spark.range(n).selectExpr("id AS doc_id", f"{source} AS source")
+        out = mixing.mix(rows, block_rows=1).select("source", "mix_slot").collect()
+        assert sorted(r.mix_slot for r in out) == list(range(n))
+        order = [r.source for r in sorted(out, key=lambda r: r.mix_slot)]
+        assert _deviation(order, Counter(order), n) < 2
+    # weights given as targets, partial blocks and a null source
+    targets = frame([("a", 0, 2999), ("b", 0, 4001), (None, 0, 17), ("d", 0, 1), ("e", 0, 0), ("f", 0, 1203)], "source string, n long, target long")
+    plan = mixing.edf_blocks(targets, 4, slots=50).collect()
+    shares = Counter(r.source for r in plan)
+    assert shares == {"a": 750, "b": 1001, None: 5, "d": 1, "f": 301}
+    assert len({(r.source, r["index"]) for r in plan}) == len(plan) and all(0 <= r["index"] < shares[r.source] for r in plan)
+    order = [r.source for r in sorted(plan, key=lambda r: r.slot)]
+    assert sorted(r.slot for r in plan) == list(range(len(plan))) and _deviation(order, shares, len(plan)) < 2
+
+
 def test_mixture_targets(frame):
     rows = docs(frame, [(i, "t", "hot" if i % 3 else f"s{i % 7}") for i in range(2100)])
     out = mixing.mix(rows, max_share=0.4, block_rows=4, slots=50).collect()
