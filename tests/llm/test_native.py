@@ -5,6 +5,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from arbora.llm import mixing, sharding, url_rules
 
 DOCS = "doc_id long, text string, source string, shard string"
@@ -79,6 +80,11 @@ def test_mixture_deviates_less_than_two_blocks_from_targets(spark, frame):
     assert sorted(r.slot for r in plan) == list(range(len(plan))) and _deviation(order, shares, len(plan)) < 2
 
 
+def test_pipeline_mixture_keeps_every_document(spark, frame):
+    rows = docs(frame, [(i, "t", "hot" if i % 10 < 6 else f"s{i % 7}") for i in range(700)])
+    assert {r.doc_id for r in corpus_pipeline.mixture(spark, rows, "").collect()} == set(range(700))
+
+
 def test_mixture_targets(frame):
     rows = docs(frame, [(i, "t", "hot" if i % 3 else f"s{i % 7}") for i in range(2100)])
     out = mixing.mix(rows, max_share=0.4, block_rows=4, slots=50).collect()
