@@ -11,6 +11,3 @@ def spark():
     from arbora.session import local_session
     s = local_session(cores=8, shuffle_partitions=8)
     yield s
-
-
-SF_SMALL = "/root/testdata/sf0.001"

@@ -10,7 +10,7 @@ from arbora.operators import significance as sg
 from arbora.operators import splits as sp
 from arbora.session import table
 
-from conftest import SF_SMALL
+from small_tables import SF_SMALL
 
 
 def test_unknown_source_raises(spark):

@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as entry_mod
 from tools.oracle_check import TABLES, compare
 
-from conftest import SF_SMALL
+from small_tables import SF_SMALL
 
 FAST = ["metrics_bundle_t2", "taxonomy_level_paths_t2", "text_preprocess_documents", "offers_fold_events",
         "classify_dictionary_parts", "corpus_pack_tokens", "significance_mcnemar", "split_stratified_customers",
