@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from arbora.llm import bpe, embedding_dedup, html_text, minhash, mixing, permutation_index, sharding, toxicity, url_rules, warc
+from arbora.llm import bpe, conversations, embedding_dedup, html_text, minhash, mixing, permutation_index, sharding, toxicity, url_rules, warc
 from arbora.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -183,3 +183,71 @@ SELECT h.page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
 def op10_judge_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_rules.judge_urls(pages, url_rules.rule_table(spark, URL_RULES)).drop("url")
+
+
+#: crc32 in SQL: the table of all bytes, then the fold over the ASCII codes of a text {text}.
+_CRC_TABLE = """
+SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t
+FROM (SELECT unnest(range(256)) AS i)
+"""
+_CRC = """xor(list_reduce(list_transform(string_split({text}, ''), lambda ch: CAST(ord(ch) AS BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295)"""
+
+
+def _edits_sql(state: str, follows: dict[str, str], row: str = "x") -> str:
+    """The lightest of Delete, Keep and Rerole of a row in a state; ``follows``: role initial -> next state."""
+    ways = [f"{{'c': v.{state}.c + 3, 'a': 'D' || v.{state}.a}}"]
+    for initial, after in follows.items():
+        keep = f"{{'c': v.{after}.c + {row}.extra + CASE WHEN {row}.doomed OR {row}.i <> '{initial}' THEN 1000000000 ELSE 0 END, 'a': 'K' || v.{after}.a}}"
+        ways.append(keep)
+        if initial != "s":
+            ways.append(f"{{'c': v.{after}.c + 2 + {row}.extra + CASE WHEN {row}.doomed THEN 1000000000 ELSE 0 END, 'a': 'R' || v.{after}.a}}")
+    return f"list_min([{', '.join(ways)}])"
+
+
+_CONV_SQL = f"""
+WITH crc AS ({_CRC_TABLE}),
+d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             {_CRC.format(text="coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS code
+      FROM conversations, crc),
+r AS (SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+             CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+      FROM d, (SELECT unnest([1, 2]) AS copy) WHERE code <> 0 AND (copy = 1 OR code = 3)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS k FROM r),
+f AS (SELECT conv_id, turn, role, text, k, left(role, 1) AS i, trim(text, E' \t\n\x0b\x0c\r') AS bare,
+             row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 AS again,
+             lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY k) || left(role, 1) AS pair FROM o),
+g AS (SELECT *, bare = '' AS blank, bare <> '' AND again AS duplicate,
+             bare <> '' AND NOT again AND right(bare, 1) NOT IN ('.', '!', '?') AS truncated FROM f),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+             count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+             count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal,
+             list({{'i': i, 'doomed': blank OR duplicate, 'extra': CAST(truncated AS BIGINT), 'role': role, 'text': text}} ORDER BY k) AS held
+      FROM g GROUP BY conv_id),
+e AS (SELECT *, list_reduce([{{'s0': {{'c': CAST(0 AS BIGINT), 'a': ''}}, 's1': {{'c': CAST(4 AS BIGINT), 'a': 'II'}},
+                              's2': {{'c': CAST(2 AS BIGINT), 'a': 'I'}}, 's3': {{'c': CAST(0 AS BIGINT), 'a': ''}},
+                              'x': CAST(NULL AS STRUCT(i VARCHAR, doomed BOOLEAN, extra BIGINT, role VARCHAR, text VARCHAR))}}]
+                             || list_transform(list_reverse(held), lambda x: {{'s0': NULL, 's1': NULL, 's2': NULL, 's3': NULL, 'x': x}}),
+               lambda v, y: list_transform([{{'s0': {_edits_sql('s0', {'s': 's1', 'u': 's2'}, 'y.x')}, 's1': {_edits_sql('s1', {'u': 's2'}, 'y.x')},
+                                             's2': {_edits_sql('s2', {'a': 's3'}, 'y.x')}, 's3': {_edits_sql('s3', {'u': 's2'}, 'y.x')}}}],
+                 lambda w: {{'s0': list_min([w.s0, {{'c': w.s2.c + 2, 'a': 'I' || w.s2.a}}, {{'c': w.s3.c + 4, 'a': 'II' || w.s3.a}}]),
+                            's1': list_min([w.s1, {{'c': w.s2.c + 2, 'a': 'I' || w.s2.a}}, {{'c': w.s3.c + 4, 'a': 'II' || w.s3.a}}]),
+                            's2': list_min([w.s2, {{'c': w.s3.c + 2, 'a': 'I' || w.s3.a}}]),
+                            's3': list_min([w.s3, {{'c': w.s2.c + 2, 'a': 'I' || w.s2.a}}]), 'x': y.x}})[1]) AS best FROM c),
+u AS (SELECT conv_id, held, unnest(string_split(best.s0.a, '')) AS edit, generate_subscripts(string_split(best.s0.a, ''), 1) AS j FROM e WHERE best.s0.a <> ''),
+p AS (SELECT conv_id, edit, j, held[count(*) FILTER (edit <> 'I') OVER (PARTITION BY conv_id ORDER BY j)] AS x FROM u),
+q AS (SELECT conv_id, edit, j, x, row_number() OVER (PARTITION BY conv_id ORDER BY j) - 1 AS m FROM p WHERE edit <> 'D'),
+t AS (SELECT *, max(CASE WHEN m = 0 AND edit = 'K' AND x.i = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS has_s FROM q),
+s AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN x.role WHEN (m - has_s) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':'
+                                 || CASE WHEN edit = 'I' THEN '' ELSE x.text END, chr(10) ORDER BY j) AS lines FROM t GROUP BY conv_id)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(best.s0.c, 0) AS cost, coalesce(best.s0.a, '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS a LEFT JOIN e ON a.conv_id IS NOT DISTINCT FROM e.conv_id
+LEFT JOIN s ON a.conv_id IS NOT DISTINCT FROM s.conv_id
+"""
+
+
+@_query("op11_repair_conversations", _CONV_SQL)
+def op11_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversations.damaged(table(spark, sf_dir, "conversations"))
+    return conversations.summary(conversations.repair(rows, present=F.col("present")))
