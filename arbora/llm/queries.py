@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from arbora.llm import bpe, conversations, embedding_dedup, html_text, minhash, mixing, permutation_index, sharding, toxicity, url_rules, warc
+from arbora.llm import bpe, conversations, embedding_dedup, html_text, language_id, minhash, mixing, periodic_runs, permutation_index, sharding, toxicity, url_rules, warc
 from arbora.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -251,3 +251,38 @@ LEFT JOIN s ON a.conv_id IS NOT DISTINCT FROM s.conv_id
 def op11_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = conversations.damaged(table(spark, sf_dir, "conversations"))
     return conversations.summary(conversations.repair(rows, present=F.col("present")))
+
+
+@_query("op12_language_id")
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(language_id.fold("doc_id") == 0, F.lit(False)))
+    profiles = language_id.learn(docs.where(language_id.fold("doc_id") != 0))
+    return language_id.predict(docs.select("doc_id", "held_out", "text"), profiles).drop("text")
+
+
+_RUNS_SQL = f"""
+WITH crc AS ({_CRC_TABLE}),
+d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+             CAST({_CRC.format(text="CAST(doc_id AS VARCHAR)")} AS BIGINT) AS h FROM documents, crc),
+a AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d),
+b AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM a),
+c AS (SELECT rid, doc_id, n, CASE WHEN a IS NULL THEN w
+             ELSE list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END) END AS w FROM b),
+x AS (SELECT rid, n, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM c WHERE n > 0),
+m AS (SELECT x.rid, y.i - x.i AS d, x.i FROM x JOIN x AS y ON x.rid = y.rid AND x.word = y.word AND y.i > x.i WHERE 2 * (y.i - x.i) <= x.n),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY rid, d ORDER BY i) AS g FROM m),
+s AS (SELECT rid, min(i) AS start, count(*) + d AS length, d FROM g GROUP BY rid, d, g HAVING count(*) + d >= greatest(12, 2 * d)),
+r AS (SELECT rid, start, length, min(d) AS period FROM s GROUP BY ALL),
+o AS (SELECT rid, count(*) AS n_runs, arg_min({{'s': start, 'n': length, 'p': period}}, {{'n': -length, 's': start, 'p': period}}) AS best,
+             string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM r GROUP BY rid),
+z AS (SELECT DISTINCT x.rid, x.i FROM x JOIN r ON x.rid = r.rid AND x.i >= r.start + r.period AND x.i < r.start + r.length),
+k AS (SELECT x.rid, string_agg(word, ' ' ORDER BY x.i) AS kept FROM x ANTI JOIN z ON x.rid = z.rid AND x.i = z.i GROUP BY x.rid)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.n AS length, best.p AS period, 1000 * best.n // best.p AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM c LEFT JOIN o USING (rid) LEFT JOIN k USING (rid)
+"""
+
+
+@_query("op13_periodic_runs", _RUNS_SQL)
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.collapse(table(spark, sf_dir, "documents"), periodic_runs.planted_tail))

@@ -7,7 +7,7 @@ import __spark_entry__ as entry_mod
 from tools.oracle_check import TABLES, compare
 
 SF = "/root/testdata/sf0.001"
-TWINS = ["op1_embedding_dedup", "op2_warc_pages", "op4_shard_documents", "op5_minhash_documents", "op6_mix_sources", "op10_judge_urls", "op11_repair_conversations"]
+TWINS = ["op1_embedding_dedup", "op2_warc_pages", "op4_shard_documents", "op5_minhash_documents", "op6_mix_sources", "op10_judge_urls", "op11_repair_conversations", "op13_periodic_runs"]
 
 
 @pytest.fixture(scope="module")
@@ -26,4 +26,4 @@ def test_twin(spark, duck, name):
 
 def test_all_registered():
     names = entry_mod.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 12)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
