@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 #: Characters of text handled at a time, symbols of a window within one word, words whose tokens are remembered.
 CHUNK, WINDOW, CACHE = 1 << 16, 4096, 1 << 18
@@ -248,10 +249,11 @@ def decode(df: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> D
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(ids).alias("ids")).mapInArrow(batches, "doc_id long, text string")
 
 
-def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", with_ids: bool = False,
+            keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode and decode in one pass, holding one list of ids at a time.
 
-    ``with_ids`` adds the ids themselves. One row for each input row; a null text counts as
+    ``with_ids`` adds the ids themselves, ``keep`` columns of ``df``. One row for each input row; a null text counts as
     empty. Repeated rows are each encoded; an empty table gives an empty result.
     """
 
@@ -270,12 +272,12 @@ def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", w
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()),
                  *[pa.array([r[k] for r in rows], pa.string()) for k in (1, 2)],
-                 *([pa.array([r[3] for r in rows], pa.list_(pa.int32()))] if with_ids else [])],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])])
+                 *([pa.array([r[3] for r in rows], pa.list_(pa.int32()))] if with_ids else []), *map(batch.column, keep)],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else []), *keep])
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return _two(df, key, text).mapInArrow(batches, schema)
+    schema = StructType.fromDDL("doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return _two(df, key, text, keep).mapInArrow(batches, StructType([*schema.fields, *[df.schema[c] for c in keep]]))
 
 
-def _two(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+def _two(df: DataFrame, key: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *keep)

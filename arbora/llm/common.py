@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from arbora.session import scratch_path
@@ -22,6 +23,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def placed(df: DataFrame, part: str, row: str) -> DataFrame:
+    """``df`` with the places of its rows: sorted by (``part``, ``row``) they are as they were written.
+
+    A reread Parquet table hands out its files in any order; the place is the number in a
+    row's file name and the row's number in the file. Rows that come from no file are
+    numbered as they are handed out.
+    """
+    try:
+        read = df.select("*", F.col("_metadata.file_name").alias(part), F.col("_metadata.row_index").alias(row))
+    except AnalysisException:
+        return df.withColumn(part, F.spark_partition_id()).withColumn(row, F.monotonically_increasing_id())
+    return read.withColumn(part, F.regexp_extract(part, "part-([0-9]+)", 1).cast("int"))
+
+
 def packed(df: DataFrame) -> DataFrame:
     """The whole row as one struct column, so no input name can clash with an operator's own."""
     return df.select(F.struct(*[F.col(_quoted(c)) for c in df.columns]).alias(ROW))

@@ -109,8 +109,8 @@ def op5_minhash_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
-#: Largest share of one source, rows in a block and slots in a cycle of the mixture.
-MIX = {"max_share": 0.3, "block_rows": 16, "slots": 1000}
+#: Target weights: a source's share of the rows, but at most ``max_share``; and least rows in a block of the mixture.
+MIX = {"max_share": 0.3, "block_rows": 16}
 
 _MIX_SQL = f"""
 WITH RECURSIVE c AS (SELECT source, count(*) AS n FROM documents GROUP BY ALL),
@@ -121,23 +121,21 @@ m AS (SELECT (total - larger) / (1 - (k - 1) * {MIX['max_share']}) AS size FROM
       WHERE (k - 1) * {MIX['max_share']} < 1 AND n <= {MIX['max_share']} * (total - larger) / (1 - (k - 1) * {MIX['max_share']})
       ORDER BY k LIMIT 1),
 g AS (SELECT source, n, least(n, coalesce(CAST(floor({MIX['max_share']} * (SELECT size FROM m)) AS BIGINT), n)) AS target FROM c),
-w AS (SELECT source, target, CAST(greatest(1, round({MIX['slots']} * target / sum(target) OVER ())) AS INTEGER) AS p,
-             row_number() OVER (ORDER BY source) AS k FROM g WHERE target > 0),
-a AS (SELECT list(p ORDER BY k) AS p, CAST(sum(p) AS BIGINT) AS q FROM w),
-e AS (SELECT CAST(-1 AS BIGINT) AS t, [CAST(0 AS BIGINT) FOR x IN p] AS done, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS i FROM a
+z AS (SELECT greatest({MIX['block_rows']}, CAST(-(-sum(target) // {mixing.BLOCKS}) AS BIGINT)) AS per FROM g),
+w AS (SELECT source, CAST((target + per - 1) // per AS BIGINT) AS b, row_number() OVER (ORDER BY source NULLS FIRST) AS k FROM g, z WHERE target > 0),
+a AS (SELECT list(b ORDER BY k) AS b, CAST(sum(b) AS BIGINT) AS q FROM w),
+e AS (SELECT CAST(-1 AS BIGINT) AS t, [CAST(0 AS BIGINT) FOR x IN b] AS done, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS i FROM a
       UNION ALL
-      SELECT t + 1, [d + CASE WHEN j = b.k THEN 1 ELSE 0 END FOR d, j IN done], b.k, done[b.k]
-      FROM (SELECT e.t, e.done, list_min([{{'d': -((-(done[j] + 1) * q) // p[j]), 'k': j}}
-              FOR j IN range(1, len(p) + 1) IF done[j] < p[j] AND (done[j] * q) // p[j] <= e.t + 1]) AS b
+      SELECT t + 1, [d + CASE WHEN j = f.k THEN 1 ELSE 0 END FOR d, j IN done], f.k, done[f.k]
+      FROM (SELECT e.t, e.done, list_min([{{'d': -((-(done[j] + 1) * q) // b[j]), 'k': j}}
+              FOR j IN range(1, len(b) + 1) IF done[j] < b[j] AND (done[j] * q) // b[j] <= e.t + 1]) AS f
             FROM e, a WHERE e.t + 1 < q)),
 r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS rank FROM documents),
-x AS (SELECT r.doc_id, r.rank, g.target, w.p, w.k, r.rank // {MIX['block_rows']} AS block
-      FROM r JOIN g ON r.source IS NOT DISTINCT FROM g.source LEFT JOIN w ON r.source IS NOT DISTINCT FROM w.source)
-SELECT doc_id, x.rank < x.target AS mix_selected,
-       CASE WHEN x.rank < x.target THEN (x.block // x.p) * (SELECT q FROM a) + e.t END AS mix_slot,
-       CASE WHEN x.rank < x.target THEN CAST(x.rank % {MIX['block_rows']} AS INTEGER) END AS mix_offset,
-       CAST(x.target AS BIGINT) AS mix_target
-FROM x LEFT JOIN e ON e.t >= 0 AND e.k = x.k AND e.i = x.block % x.p
+x AS (SELECT r.doc_id, r.rank, g.target, w.k, z.per, r.rank // z.per AS block
+      FROM r JOIN g ON r.source IS NOT DISTINCT FROM g.source LEFT JOIN w ON r.source IS NOT DISTINCT FROM w.source, z)
+SELECT doc_id, x.rank < x.target AS mix_selected, CASE WHEN x.rank < x.target THEN e.t END AS mix_slot,
+       CASE WHEN x.rank < x.target THEN CAST(x.rank % x.per AS INTEGER) END AS mix_offset, CAST(x.target AS BIGINT) AS mix_target
+FROM x LEFT JOIN e ON e.t >= 0 AND e.k = x.k AND e.i = x.block
 """
 
 

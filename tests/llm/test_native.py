@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from arbora.llm import mixing, sharding, url_rules
+from arbora.llm.common import written
 
 DOCS = "doc_id long, text string, source string, shard string"
 
@@ -49,45 +50,47 @@ def _deviation(order, shares, cycle):
     return worst
 
 
-def test_mixture_deviates_less_than_a_block(frame):
-    targets = frame([("a", 500, 500), ("b", 300, 300), ("c", 120, 120), (None, 79, 79), ("e", 1, 1)], "source string, n long, target long")
-    plan = mixing.edf_cycle(targets, 97).collect()
-    shares, cycle = {r.source: r.share for r in plan}, plan[0].cycle
-    order = [r.source for r in sorted(plan, key=lambda r: r.slot)]
-    assert sorted(r.slot for r in plan) == list(range(cycle)) and sum(shares.values()) == cycle
-    assert _deviation(order, shares, cycle) < 1
-    for r in plan:
-        assert r["index"] * cycle // r.share <= r.slot < math.ceil((r["index"] + 1) * cycle / r.share)
+def test_schedule_meets_windows_and_deviates_less_than_a_block(frame):
+    targets = frame([("a", 500), ("b", 300), ("c", 120), (None, 79), ("e", 1), ("f", 0)], "source string, target long")
+    for rows in (1, 7):
+        plan = mixing.schedule(targets, rows).collect()
+        shares = Counter(r.source for r in plan)
+        assert shares == {s: -(-n // rows) for s, n in (("a", 500), ("b", 300), ("c", 120), (None, 79), ("e", 1))}
+        order, total = [r.source for r in sorted(plan, key=lambda r: r.slot)], len(plan)
+        assert sorted(r.slot for r in plan) == list(range(total)) and _deviation(order, shares, total) < 1
+        for r in plan:
+            assert r["index"] * total // shares[r.source] <= r.slot < math.ceil((r["index"] + 1) * total / shares[r.source])
 
 
-def test_mixture_deviates_less_than_two_blocks_from_targets(spark, frame):
-    """Against the targets themselves, over many cycles and with more sources than slots of a cycle."""
-    many = "if(id % 100 < 29, 'hot', concat('s', id % 19))"
-    small = "if(id < 900, 'hot', concat('s', id))"
-    for n, source in ((20000, many), (3000, small)):
-        rows = spark.range(n).selectExpr("id AS doc_id", f"{source} AS source")
+def test_mixture_deviates_less_than_a_block_from_targets(spark):
+    """Every prefix against the targets, at two sizes and with a hot source."""
+    for n in (3000, 12000):
+        rows = spark.range(n).selectExpr("id AS doc_id", "if(id % 100 < 29, 'hot', concat('s', id % 19)) AS source")
         out = mixing.mix(rows, block_rows=1).select("source", "mix_slot").collect()
         assert sorted(r.mix_slot for r in out) == list(range(n))
-        order = [r.source for r in sorted(out, key=lambda r: r.mix_slot)]
-        assert _deviation(order, Counter(order), n) < 2
-    # weights given as targets, partial blocks and a null source
-    targets = frame([("a", 0, 2999), ("b", 0, 4001), (None, 0, 17), ("d", 0, 1), ("e", 0, 0), ("f", 0, 1203)], "source string, n long, target long")
-    plan = mixing.edf_blocks(targets, 4, slots=50).collect()
-    shares = Counter(r.source for r in plan)
-    assert shares == {"a": 750, "b": 1001, None: 5, "d": 1, "f": 301}
-    assert len({(r.source, r["index"]) for r in plan}) == len(plan) and all(0 <= r["index"] < shares[r.source] for r in plan)
-    order = [r.source for r in sorted(plan, key=lambda r: r.slot)]
-    assert sorted(r.slot for r in plan) == list(range(len(plan))) and _deviation(order, shares, len(plan)) < 2
+        assert _deviation([r.source for r in sorted(out, key=lambda r: r.mix_slot)], Counter(r.source for r in out), n) < 1
 
 
-def test_pipeline_mixture_keeps_every_document(spark, frame):
-    rows = docs(frame, [(i, "t", "hot" if i % 10 < 6 else f"s{i % 7}") for i in range(700)])
-    assert {r.doc_id for r in corpus_pipeline.mixture(spark, rows, "").collect()} == set(range(700))
+def test_many_sources_are_scheduled_in_groups(spark):
+    rows = spark.range(3000).selectExpr("id AS doc_id", "if(id < 900, 'hot', concat('s', id)) AS source")
+    out = mixing.mix(rows, block_rows=1).select("source", "mix_slot").collect()
+    assert sorted(r.mix_slot for r in out) == list(range(3000))
+    assert _deviation([r.source for r in sorted(out, key=lambda r: r.mix_slot)], Counter(r.source for r in out), 3000) < 3
+
+
+def test_pipeline_mixture_is_in_the_final_table(spark, frame):
+    rows = docs(frame, [(i, f"text {i}", "hot" if i % 10 < 6 else f"s{i % 7}") for i in range(2700)])
+    mixed = written(corpus_pipeline.mixture(spark, rows, ""), "mixed")
+    final = corpus_pipeline.tokenized(spark, mixed, "").join(rows.select("doc_id", "source"), "doc_id").collect()
+    order = [r.source for r in sorted(final, key=lambda r: (r.mix_part, r.mix_row))]
+    assert mixed.columns == rows.columns and {r.doc_id for r in final} == set(range(2700))
+    assert _deviation(order, Counter(order), 2700) < 2 * 16  # a block of a prefix may be cut
+    assert corpus_pipeline.tokenized(spark, rows, "").select("mix_row").distinct().count() == 2700  # rows from no file
 
 
 def test_mixture_targets(frame):
     rows = docs(frame, [(i, "t", "hot" if i % 3 else f"s{i % 7}") for i in range(2100)])
-    out = mixing.mix(rows, max_share=0.4, block_rows=4, slots=50).collect()
+    out = mixing.mix(rows, max_share=0.4, block_rows=4).collect()
     taken = Counter(r.source for r in out if r.mix_selected)
     total = sum(taken.values())
     assert len(out) == 2100 and abs(taken["hot"] / total - 0.4) < 0.01 and total - taken["hot"] == 700
@@ -97,7 +100,7 @@ def test_mixture_targets(frame):
 
 def test_mixture_with_given_weights_and_odd_rows(frame):
     rows = docs(frame, [(1, None, None), (1, None, None), (None, "", "a"), (2, "x", "a"), (3, "x", "b")])
-    weights = frame([("a", 2.0), ("b", 1.0), ("absent", 1.0), (None, 2.0)], "source string, weight double")
+    weights = frame([("a", 1.5), ("a", 0.5), ("b", 1.0), ("absent", 1.0), (None, 2.0)], "source string, weight double")
     out = mixing.mix(rows, weights=weights).collect()
     assert len(out) == 5 and Counter(r.source for r in out if r.mix_selected) == {"a": 2, "b": 1, None: 2}
     assert mixing.mix(rows.limit(0)).count() == 0
