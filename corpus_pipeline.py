@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from arbora.llm import bpe, minhash, mixing, toxicity
-from arbora.llm.common import written
+from arbora.llm.common import placed, written
 from arbora.llm.queries import MIX, vocabulary_path
 from arbora.session import table
 
@@ -21,14 +21,17 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing: every document, in an order that interleaves the sources by their own shares."""
+    """Mixing: every document, written in an order that interleaves the sources by their own shares."""
     mixed = mixing.mix(docs, block_rows=MIX["block_rows"])
     return mixed.repartitionByRange("mix_slot", "mix_offset").sortWithinPartitions("mix_slot", "mix_offset").select(docs.columns)
 
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """BPE: ids of every whole text, with digests of the ids and of what they decode to."""
-    return bpe.digests(docs, vocabulary_path(), with_ids=True)
+    """BPE: ids of every whole text, with digests of the ids and of what they decode to.
+
+    ``mix_part`` and ``mix_row`` say where the mixture has the document: rows sorted by them are the mixture.
+    """
+    return bpe.digests(placed(docs, "mix_part", "mix_row"), vocabulary_path(), with_ids=True, keep=("mix_part", "mix_row"))
 
 
 STAGES = [("toxicity", detoxified), ("minhash", deduplicated), ("mixing", mixture), ("bpe", tokenized)]
