@@ -1,13 +1,14 @@
-"""Title classification into a taxonomy.
+"""Title classification into a taxonomy.
 
 The dictionary classifier (C1-C3) is a single scan of each text against an
 inverted index of the class words (bounded by the label space and checked in
 bytes); no cross join and no shuffle. Learned baselines (C5-C7) are Spark ML pipelines. Decoders of model
-scores (C9-C11) are joins against the small, size-checked taxonomy tables.
+scores (C9-C12) are joins against the small, size-checked taxonomy tables.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -330,3 +331,47 @@ def decode_level_ordinals(pred: DataFrame, nodes: DataFrame, level: str = "level
         F.col("depth").alias(level), F.col("level_ord").alias(ordinal), F.col("id").alias(out)))
     return pred.join(lo, [level, ordinal], "left").withColumn(
         out, F.when(F.col(ordinal) == 0, F.lit(0)).otherwise(F.col(out)))
+
+
+def successor_decode(level_scores: DataFrame, nodes: DataFrame, item: list[str], certainty: float,
+                     level: str = "level", ordinal: str = "ordinal", logp: str = "logp") -> DataFrame:
+    """Top-down decoding in which each level's argmax is masked by the level above.
+
+    ``level_scores`` holds log probabilities of level ordinals (0 = out of category). If the
+    node chosen above is sure (its probability exceeds ``certainty``), only its
+    children (H11) and 0 are allowed, after a sure 0 only 0; below an unsure node the argmax is
+    free, as it is where none of the allowed labels is scored. Ties go to the lowest ordinal.
+    Returns per item the ordinals of its path, the id of the last node that is not out of
+    category (else 0), the sum of the log probabilities and the number of levels on which the
+    mask overruled the free argmax. Rows without a log probability don't count.
+
+    One shuffle: an item's scores (bounded by the label space) are gathered once, each with its
+    parent's ordinal, and the levels are folded from the top.
+    """
+    lo = tx.level_ordinals(nodes).where(F.col("depth") > 0).select("id", "parent_id", "depth", "level_ord")
+    above = lo.select(F.col("id").alias("parent_id"), F.col("level_ord").alias("above_"))
+    labels = lo.join(above, "parent_id", "left").select(
+        F.col("depth").alias(level), F.col("level_ord").alias(ordinal), F.col("id").alias("node_"), "above_")
+    rows = level_scores.where(F.col(logp).isNotNull()).join(checked_broadcast(labels, bound=nodes), [level, ordinal], "left")
+    scored = rows.groupBy(*item).agg(F.collect_list(F.struct(
+        F.col(level).cast("int").alias("level"), F.col(logp).cast("double").alias("logp"), F.negative(F.col(ordinal).cast("int")).alias("neg"),
+        F.when(F.col(ordinal) == 0, 0).otherwise(F.col("node_")).alias("node"), F.coalesce("above_", F.lit(-1)).alias("above"))).alias("c_"))
+
+    def choose(acc: Column, at: Column) -> Column:
+        here = F.filter("c_", lambda x: x["level"] == at)
+        allowed = F.filter(here, lambda x: ~acc["sure"] | (x["neg"] == 0) | ((acc["label"] != 0) & (x["above"] == acc["label"])))
+        best = lambda some: F.array_max(F.transform(some, lambda x: F.struct(x["logp"], x["neg"], x["node"])))
+        both = F.array(F.struct(F.coalesce(best(allowed), best(here)).alias("b"), best(here).alias("free")))
+        return F.element_at(F.transform(both, lambda x: F.struct(
+            (-x["b"]["neg"]).alias("label"), (x["b"]["logp"] > math.log(certainty)).alias("sure"),
+            (acc["logp"] + x["b"]["logp"]).alias("logp"),
+            F.concat(acc["path"], F.array(-x["b"]["neg"])).alias("path"),
+            F.when(x["b"]["neg"] != 0, x["b"]["node"]).otherwise(acc["leaf"]).alias("leaf"),
+            (acc["forced"] + (x["b"]["neg"] != x["free"]["neg"]).cast("int")).alias("forced"))), 1)
+
+    start = F.struct(F.lit(0).alias("label"), F.lit(False).alias("sure"), F.lit(0.0).alias("logp"),
+                     F.array().cast("array<int>").alias("path"), F.lit(0).alias("leaf"), F.lit(0).alias("forced"))
+    levels = F.array_sort(F.array_distinct(F.transform("c_", lambda x: x["level"])))
+    folded = scored.select(*item, F.aggregate(levels, start, choose).alias("f_"))
+    return folded.select(*item, F.array_join("f_.path", ",").alias("path"), F.col("f_.leaf").alias("leaf_id"),
+                         F.col("f_.logp").alias("log_score"), F.col("f_.forced").alias("n_forced"))

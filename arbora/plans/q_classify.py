@@ -1,4 +1,4 @@
-"""Classification queries."""
+"""Classification queries."""
 
 from __future__ import annotations
 
@@ -231,6 +231,55 @@ def classify_decode_level_ordinals(spark, sf):
     return out.select(*st.ITEM_KEY, "level", "ordinal", "node_id")
 
 
+#: Probability above which a level's label restricts the next level.
+CERTAINTY = 0.5
+
+
+def _sql_masked(k: int) -> str:
+    """Level ``k`` of the constrained decode: the free and the masked argmax."""
+    return f"""
+w{k} AS (SELECT c.*, b.label, b.path, b.leaf, b.total, b.forced,
+                b.logp <= ln({CERTAINTY}) OR c.ordinal = 0 OR (b.label <> 0 AND coalesce(c.above, -1) = b.label) AS allowed
+         FROM c JOIN b{k - 1} b USING (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) WHERE c.level = {k}),
+g{k} AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, any_value(path) AS path, any_value(leaf) AS leaf,
+                any_value(total) AS total, any_value(forced) AS forced,
+                max({{'p': logp, 'n': -ordinal, 'id': node_id}}) AS free,
+                coalesce(max({{'p': logp, 'n': -ordinal, 'id': node_id}}) FILTER (allowed), max({{'p': logp, 'n': -ordinal, 'id': node_id}})) AS best
+         FROM w{k} GROUP BY ALL),
+b{k} AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, -best.n AS label, best.p AS logp, path || [-best.n] AS path,
+                CASE WHEN best.n <> 0 THEN best.id ELSE leaf END AS leaf, total + best.p AS total,
+                forced + CASE WHEN best.n <> free.n THEN 1 ELSE 0 END AS forced FROM g{k})"""
+
+
+@query("classify_successor_decode", _SQL_PATHS + """,
+lo AS (SELECT id, parent_id, depth, row_number() OVER (PARTITION BY depth ORDER BY opath) AS level_ord FROM t2_paths WHERE depth > 0),
+lab AS (SELECT a.id, a.depth, a.level_ord, p.level_ord AS above FROM lo a LEFT JOIN lo p ON p.id = a.parent_id),
+cand AS (
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, k AS level, lp[k] AS node_id FROM (SELECT *, unnest(range(1, 4)) AS k FROM withp)
+  UNION SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, k, pp[k] FROM (SELECT *, unnest(range(1, 4)) AS k FROM withp)
+  UNION SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, k, 0 FROM (SELECT *, unnest(range(1, 4)) AS k FROM withp)
+),
+c AS (SELECT cand.*, coalesce(lab.level_ord, 0) AS ordinal, above,
+             ln(((l_orderkey * 13 + level * 7 + coalesce(lab.level_ord, 0) * 3) % 89 + 1) / 90.0) AS logp
+      FROM cand LEFT JOIN lab ON lab.id = cand.node_id),
+b0 AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, 0 AS label, CAST(-1000 AS DOUBLE) AS logp,
+              CAST([] AS BIGINT[]) AS path, 0 AS leaf, CAST(0 AS DOUBLE) AS total, 0 AS forced FROM withp),""" + ",".join(_sql_masked(k) for k in (1, 2, 3)) + """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, array_to_string(path, ',') AS path, leaf AS leaf_id,
+       round(total, 6) AS log_score, forced AS n_forced FROM b3
+""")
+def classify_successor_decode(spark, sf):
+    """Top-down decoding of all items; a sure label admits only its children and 0."""
+    nodes, withp, _ = _node_scores(spark, sf)
+    lo = tx.level_ordinals(nodes).where(F.col("depth") > 0).select(F.col("id").alias("node_id"), F.col("level_ord").alias("ordinal"))
+    lv = withp.select(*st.ITEM_KEY, "label_path", "pred_path", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("level"))
+    cand = lv.select(*st.ITEM_KEY, "level", F.explode(F.array_distinct(F.array(
+        F.element_at("label_path", F.col("level")), F.element_at("pred_path", F.col("level")), F.lit(0)))).alias("node_id"))
+    cand = cand.join(lo, "node_id", "left").select(*st.ITEM_KEY, "level", F.coalesce("ordinal", F.lit(0)).alias("ordinal"))
+    place = (F.col("l_orderkey") * 13 + F.col("level") * 7 + F.col("ordinal") * 3) % 89 + 1
+    out = cl.successor_decode(cand.withColumn("logp", F.log(place / 90.0)), nodes, st.ITEM_KEY, CERTAINTY)
+    return out.select(*st.ITEM_KEY, "path", "leaf_id", F.round("log_score", 6).alias("log_score"), "n_forced")
+
+
 def _labelled_docs(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
     lab = table(spark, sf, "labels").select("doc_id", F.col("quality").cast("string").alias("quality"))

@@ -169,3 +169,24 @@ def test_searched_hosts(spark):
     hosts = spark.createDataFrame([("a.b",), (None,)], "host string")
     assert sorted(r.i for r in of.searched_host_filter(rows, hosts).collect()) == [1, 2]
     assert of.searched_host_filter(rows, hosts.limit(0)).count() == 0
+
+
+#: tree: level 1 has a = 1, b = 2; level 2 has ax = 1, ay = 2 (children of a) and bx = 3 (child of b).
+@pytest.mark.parametrize("scores, expected", [
+    ({1: {1: .9, 2: .1}, 2: {3: .8, 1: .15, 0: .05}}, ("1,1", 2, 1)),        # a sure: bx is masked
+    ({1: {1: .4, 2: .3, 0: .3}, 2: {3: .8, 1: .2}}, ("1,3", 4, 0)),          # a unsure: the argmax is free
+    ({1: {0: .9, 1: .1}, 2: {3: .6, 0: .4}}, ("0,0", 0, 1)),                 # surely out of category
+    ({1: {1: .9, 2: .1}, 2: {3: 1.0}}, ("1,3", 4, 0)),                       # no child of a is scored
+    ({1: {1: .5, 2: .5}, 2: {1: .25, 2: .25, 3: .25, 0: .25}}, ("1,0", 1, 0)),   # ties; .5 isn't above the threshold
+    ({1: {1: .9, 2: .1}, 2: {1: .5, 2: .5, 9: .0}}, ("1,1", 2, 0)),          # an ordinal that the tree lacks
+])
+def test_successor_decode(spark, tree, scores, expected):
+    rows = [("x", k, o, math.log(p) if p else -99.0) for k, level in scores.items() for o, p in level.items()]
+    df = spark.createDataFrame([*rows, ("x", 1, 2, None)], "item string, level int, ordinal int, logp double")
+    r = cl.successor_decode(df, tree, ["item"], 0.5).first()
+    assert (r.path, r.leaf_id, r.n_forced) == expected
+
+
+def test_successor_decode_of_no_scores(spark, tree):
+    none = spark.createDataFrame([], "item string, level int, ordinal int, logp double")
+    assert cl.successor_decode(none, tree, ["item"], 0.5).count() == 0
