@@ -6,8 +6,8 @@ one task.
 
 * Run detection (W1) orders lines inside bounded chunks of a file and stitches
   chunk borders through a small per-chunk table (a parallel prefix sum).
-* The fold (A3) pre-aggregates repeated values per run before the ordered fold,
-  which is exact because a value seen once is never appended again.
+* The fold (A3) works on the same chunks, in the same shuffle: each part of a run gets a
+  mergeable state, and only the parts that touch a chunk's border are merged.
 * Keep-first dedupe (W2) is a ``min(struct(order..., row))`` aggregate, so a hot
   title is reduced map-side.
 * Per-group caps (W3-W5) use ``row_number() <= n``, which Spark plans with a
@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from arbora.functions import text as tf
-from arbora.operators.guards import checked_broadcast
+from arbora.operators.guards import checked_broadcast, keep
 
 # ---------------------------------------------------------------- fixed values
 NAME_PREDICATE = "<http://schema.org/Product/name>"
@@ -38,7 +38,7 @@ OFFER_COLUMNS = ["Title", "Description", "Category", "Breadcrumb", "BreadcrumbLi
 QUAD_PATTERN = r'^\s*(\S+)\s+(\S+)\s+(".*"(?:@[\w-]+|\^\^\S+)?|\S+)\s+(\S+)\s+\.\s*$'
 
 HOSTS_MAX_BYTES = 256 << 20   # of a host list that is shipped to the tasks (F1)
-CHUNK_LINES = 1_000_000   # lines of one file ordered together in W1
+CHUNK_LINES = 1 << 16   # lines of one file ordered and folded together (W1, A3)
 
 
 # ---------------------------------------------------------------- S4 / F2
@@ -50,7 +50,12 @@ def read_quads(spark, path: str) -> DataFrame:
     a file's splits are laid out in offset order (gz files are one split). Lines
     that do not hold four terms and the final dot are dropped (F2).
     """
-    raw = spark.read.text(path).select(
+    return parse_quad_lines(spark.read.text(path))
+
+
+def parse_quad_lines(lines: DataFrame) -> DataFrame:
+    """text rows (``value``) of files, read or streamed, as quads."""
+    raw = lines.select(
         F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line_no"),
         F.col("value"))
     parts = [F.regexp_extract("value", QUAD_PATTERN, i) for i in range(1, 5)]
@@ -61,32 +66,40 @@ def read_quads(spark, path: str) -> DataFrame:
 
 # ---------------------------------------------------------------- W1
 
+def _chunk_runs(lines: DataFrame, file: str, order: str, key: str, chunk_lines: int) -> DataFrame:
+    """Lines with their chunk and the number of their run inside it (from 1)."""
+    w = Window.partitionBy(file, "chunk_").orderBy(order)
+    changed = F.coalesce((F.lag(key).over(w) != F.col(key)).cast("int"), F.lit(1))
+    x = lines.withColumn("chunk_", F.floor(F.col(order) / chunk_lines)).withColumn("chg_", changed)
+    return x.withColumn("local_run_", F.sum("chg_").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("chg_")
+
+
+def _chunk_offsets(ends: DataFrame, file: str) -> DataFrame:
+    """What to add to a chunk's run numbers, from (file, chunk_, first_, last_, n_runs_): a
+    run that continues the one before the border isn't counted anew. One row a chunk."""
+    w = Window.partitionBy(file).orderBy("chunk_")
+    cont = F.coalesce((F.lag("last_").over(w) == F.col("first_")).cast("long"), F.lit(0))
+    return ends.withColumn("cont_", cont).select(
+        file, "chunk_", "n_runs_",
+        (F.coalesce(F.sum("n_runs_").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+         - F.sum("cont_").over(w.rowsBetween(Window.unboundedPreceding, 0))).alias("offset_"))
+
+
 def run_ids(lines: DataFrame, file: str = "file", order: str = "line_no", key: str = "url",
             chunk_lines: int = CHUNK_LINES) -> DataFrame:
     """Number the maximal runs of equal ``key`` in ``order`` within each file.
 
     Lines are ordered only inside chunks of ``chunk_lines`` (so a huge file is
     spread over many tasks); runs that continue across a chunk border are joined
-    through a per-chunk summary and a prefix sum over it.
+    through a per-chunk summary and a prefix sum over it. Both sides of that join read
+    the one shuffle by (file, chunk), and the lines stay where they are.
     """
-    chunk = F.floor(F.col(order) / chunk_lines)
-    x = lines.withColumn("chunk_", chunk)
-    w = Window.partitionBy(file, "chunk_").orderBy(order)
-    x = x.withColumn("chg_", F.coalesce((F.lag(key).over(w) != F.col(key)).cast("int"), F.lit(1))) \
-         .withColumn("local_run_", F.sum("chg_").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    summary = x.groupBy(file, "chunk_").agg(
-        F.min_by(key, order).alias("first_"), F.max_by(key, order).alias("last_"),
-        F.max("local_run_").alias("n_runs_"))
-    ws = Window.partitionBy(file).orderBy("chunk_")
-    cont = F.coalesce((F.lag("last_").over(ws) == F.col("first_")).cast("long"), F.lit(0))
-    summary = summary.withColumn("cont_", cont).select(
-        file, "chunk_",
-        (F.coalesce(F.sum("n_runs_").over(ws.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-         - F.sum("cont_").over(ws.rowsBetween(Window.unboundedPreceding, 0))).alias("offset_"))
-    # one row per chunk of input: size-checked before it is broadcast
-    out = x.join(checked_broadcast(summary), [file, "chunk_"])
+    x = _chunk_runs(lines, file, order, key, chunk_lines)
+    ends = x.groupBy(file, "chunk_").agg(F.min_by(key, order).alias("first_"), F.max_by(key, order).alias("last_"),
+                                         F.max("local_run_").alias("n_runs_"))
+    out = x.join(_chunk_offsets(ends, file).drop("n_runs_"), [file, "chunk_"])
     return out.withColumn("run", (F.col("offset_") + F.col("local_run_")).cast("long")) \
-              .drop("chunk_", "chg_", "local_run_", "offset_")
+              .drop("chunk_", "local_run_", "offset_")
 
 
 # ---------------------------------------------------------------- F1 / J3
@@ -158,6 +171,54 @@ def _append_unless_contained(acc: Column, x: Column) -> Column:
     return F.when(F.contains(acc, x), acc).otherwise(F.ltrim(F.concat(acc, F.lit(" "), x)))
 
 
+#: Between the values of a state; no cleaned value holds it.
+_BETWEEN = "\x00"
+
+
+def _appendable(values: Column) -> Column:
+    """The values (o, v, p), in order, that no single earlier one contains.
+
+    The others are never appended, whatever comes before: what contains them was
+    appended itself or was contained. So these lists can be joined part by part."""
+    start = F.struct(F.lit("").alias("s"), F.array().cast("array<struct<o:bigint,v:string,p:string>>").alias("l"))
+    return F.aggregate(F.array_sort(values), start, lambda acc, x: F.when(F.contains(acc["s"], x["v"]), acc).otherwise(
+        F.struct(F.concat(acc["s"], F.lit(_BETWEEN), x["v"]).alias("s"), F.concat(acc["l"], F.array(x)).alias("l"))), lambda acc: acc["l"])
+
+
+def fold_parts(quads: DataFrame, file: str = "file", order: str = "line_no", chunk_lines: int = CHUNK_LINES,
+               lemma_map: Column | None = None) -> DataFrame:
+    """The state of every run in every chunk of a file, one row each.
+
+    Chunk, order and fold need one shuffle by (file, chunk): lines are sorted there once and
+    the states are aggregated where the lines are. A state holds the last Title and
+    Description with their places, the appendable categories and breadcrumbs, and the
+    breadcrumb list as one text; it is as large as what it makes of its run.
+    """
+    routed = route(_chunk_runs(quads, file, order, "url", chunk_lines), lemma_map)
+    value = F.struct(F.col(order).cast("long").alias("o"), F.col("value").alias("v"), F.col("predicate").alias("p"))
+    of = lambda slot: F.when(F.col("slot") == slot, value)
+    states = routed.groupBy(file, "chunk_", "local_run_").agg(
+        F.first("url").alias("url"), F.max(of("Title")).alias("title"), F.max(of("Description")).alias("description"),
+        *[F.collect_list(of(slot)).alias(name) for slot, name in
+          (("Category", "categories"), ("Breadcrumb", "breadcrumbs"), ("BreadcrumbList", "lists"))])
+    return states.select(file, "chunk_", "local_run_", "url", "title", "description", _appendable("categories").alias("categories"),
+                         _appendable("breadcrumbs").alias("breadcrumbs"),
+                         F.array_join(F.transform(F.array_sort("lists"), lambda x: F.concat(F.lit(" "), x["v"])), "").alias("list"))
+
+
+def _closed(states: DataFrame, file: str) -> DataFrame:
+    """Offers of whole runs from their states."""
+    empty = F.struct(F.lit("").alias("bc"), F.lit("").alias("bcp"))
+    crumbs = F.aggregate("breadcrumbs", empty, lambda acc, x: F.when(F.contains(acc["bc"], x["v"]), acc).otherwise(
+        F.struct(F.ltrim(F.concat(acc["bc"], F.lit(" "), x["v"])).alias("bc"),
+                 F.ltrim(F.concat(acc["bcp"], F.lit(" "), x["p"])).alias("bcp"))))
+    return states.withColumn("b_", crumbs).select(
+        file, "run", F.coalesce("title.v", F.lit("")).alias("Title"), F.coalesce("description.v", F.lit("")).alias("Description"),
+        F.aggregate("categories", F.lit(""), lambda acc, x: _append_unless_contained(acc, x["v"])).alias("Category"),
+        F.col("b_.bc").alias("Breadcrumb"), F.ltrim("list").alias("BreadcrumbList"), F.col("b_.bcp").alias("Breadcrumb_Predicate"),
+        F.col("url").alias("URL"), tf.extract_host("url").alias("Host"))
+
+
 def fold_offers(quads: DataFrame, hosts: DataFrame | None = None, file: str = "file",
                 order: str = "line_no", chunk_lines: int = CHUNK_LINES,
                 lemma_map: Column | None = None) -> DataFrame:
@@ -167,56 +228,30 @@ def fold_offers(quads: DataFrame, hosts: DataFrame | None = None, file: str = "f
     append a value unless it is already a substring; BreadcrumbList always
     appends; the predicate of every appended breadcrumb is kept beside it. A run
     becomes an offer if it has a Title, one of the other text fields and a URL
-    containing a dot. Every run is independent (no carry-over) and the last run
-    of a file is kept.
+    containing a dot (and one of ``hosts``, if given). Every run is independent (no
+    carry-over) and the last run of a file is kept.
+
+    The quads are read and shuffled once, for the states of :func:`fold_parts` (kept). Runs
+    inside a chunk are done then; the two at its ends are merged with their
+    continuations, so a run over any number of chunks is folded by as many tasks.
     """
-    runs = run_ids(quads, file, order, "url", chunk_lines)
-    searched = searched_host_filter(runs, hosts)
-    routed = route(searched, lemma_map).where(F.col("slot").isNotNull())
-    key = [file, "run"]
-
-    # last-value fields: partial aggregation, no ordering of the run needed
-    last_vals = routed.where(F.col("slot").isin("Title", "Description")).groupBy(*key).agg(*[
-        F.max(F.when(F.col("slot") == c, F.struct(F.col(order).alias("o"), F.col("value").alias("v"))))
-         ["v"].alias(c) for c in ("Title", "Description")])
-
-    # appending fields: a repeated value can only ever be appended at its first
-    # occurrence, so reduce repeats map-side before the ordered fold
-    firsts = (routed.where(F.col("slot").isin("Category", "Breadcrumb"))
-                    .groupBy(*key, "slot", "value")
-                    .agg(F.min(F.struct(F.col(order).alias("o"), F.col("predicate").alias("p"))).alias("f")))
-    dedup_fold = firsts.groupBy(*key).agg(
-        F.array_sort(F.collect_list(F.when(F.col("slot") == "Category",
-                                           F.struct(F.col("f.o").alias("o"), F.col("value").alias("v"))))).alias("cat_"),
-        F.array_sort(F.collect_list(F.when(F.col("slot") == "Breadcrumb",
-                                           F.struct(F.col("f.o").alias("o"), F.col("value").alias("v"),
-                                                    F.col("f.p").alias("p"))))).alias("bc_"))
-    empty_bc = F.struct(F.lit("").alias("bc"), F.lit("").alias("bcp"))
-    folded = dedup_fold.select(
-        *key,
-        F.aggregate("cat_", F.lit(""), lambda acc, x: _append_unless_contained(acc, x["v"])).alias("Category"),
-        F.aggregate("bc_", empty_bc, lambda acc, x: F.when(F.contains(acc["bc"], x["v"]), acc).otherwise(
-            F.struct(F.ltrim(F.concat(acc["bc"], F.lit(" "), x["v"])).alias("bc"),
-                     F.ltrim(F.concat(acc["bcp"], F.lit(" "), x["p"])).alias("bcp")))).alias("b_"))
-    lists = (routed.where(F.col("slot") == "BreadcrumbList").groupBy(*key)
-                   .agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"),
-                                                             F.col("value").alias("v")))).alias("l_"))
-                   .select(*key, F.aggregate("l_", F.lit(""), lambda acc, x: F.ltrim(
-                       F.concat(acc, F.lit(" "), x["v"]))).alias("BreadcrumbList")))
-    url = searched.groupBy(*key).agg(F.max_by("url", order).alias("URL"))
-
-    offers = (url.join(last_vals, key, "left").join(folded, key, "left").join(lists, key, "left")
-                 .select(*key,
-                         *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ["Title", "Description", "Category"]],
-                         F.coalesce(F.col("b_.bc"), F.lit("")).alias("Breadcrumb"),
-                         F.coalesce(F.col("BreadcrumbList"), F.lit("")).alias("BreadcrumbList"),
-                         F.coalesce(F.col("b_.bcp"), F.lit("")).alias("Breadcrumb_Predicate"),
-                         "URL", tf.extract_host("URL").alias("Host")))
+    parts = keep(fold_parts(quads, file, order, chunk_lines, lemma_map))
+    ends = parts.groupBy(file, "chunk_").agg(F.min_by("url", "local_run_").alias("first_"), F.max_by("url", "local_run_").alias("last_"),
+                                             F.max("local_run_").alias("n_runs_"))
+    numbered = parts.join(_chunk_offsets(ends, file), [file, "chunk_"]) \
+                    .withColumn("run", (F.col("offset_") + F.col("local_run_")).cast("long"))
+    at_border = (F.col("local_run_") == 1) | (F.col("local_run_") == F.col("n_runs_"))
+    pieces = F.array_sort(F.collect_list(F.struct("chunk_", "categories", "breadcrumbs", "list")))
+    merged = numbered.where(at_border).groupBy(file, "run").agg(
+        F.first("url").alias("url"), F.max("title").alias("title"), F.max("description").alias("description"), pieces.alias("s_")).select(
+        file, "run", "url", "title", "description", _appendable(F.flatten("s_.categories")).alias("categories"),
+        _appendable(F.flatten("s_.breadcrumbs")).alias("breadcrumbs"), F.array_join("s_.list", "").alias("list"))
+    offers = _closed(numbered.where(~at_border).select(*merged.columns).unionByName(merged), file)
     complete = ((F.length("Title") > 0)
                 & ((F.length("Category") > 0) | (F.length("Breadcrumb") > 0)
                    | (F.length("Description") > 0) | (F.length("BreadcrumbList") > 0))
                 & F.contains(F.col("URL"), F.lit(".")))
-    return offers.where(complete)
+    return searched_host_filter(offers.where(complete), hosts, url="URL")
 
 
 # ---------------------------------------------------------------- W2 / T1

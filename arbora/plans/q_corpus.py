@@ -78,7 +78,7 @@ def corpus_lines_documents(spark, sf):
     """Corpus lines of two variants over the train/validate
     splits of document offers, plus the quad-extracted offers (L2) once for train."""
     offers = _doc_offers_split(spark, sf)
-    extra = of.fold_offers(st.quads_from_events(spark, sf), chunk_lines=qo.RUN_CHUNK)
+    extra = of.fold_offers(st.quads_from_events(spark, sf))
     return cp.corpus(offers, CONFIGS, extra=extra, suffix=SUFFIX)
 
 

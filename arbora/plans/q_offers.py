@@ -12,7 +12,6 @@ from arbora.plans.registry import query
 from arbora.session import table
 
 ORDER = ["Category", "Breadcrumb", "BreadcrumbList", "Description"]
-RUN_CHUNK = 4096   # small chunks in the registered query so border stitching is exercised
 
 
 def d_preprocess_value(x):
@@ -99,7 +98,7 @@ SELECT file, line_no, CAST(run AS BIGINT) AS run FROM runs
 def offers_runs_events(spark, sf):
     """Run ids of consecutive equal URLs, chunked and stitched."""
     q = st.quads_from_events(spark, sf)
-    return of.run_ids(q, chunk_lines=RUN_CHUNK).select("file", "line_no", "run")
+    return of.run_ids(q).select("file", "line_no", "run")
 
 
 @query("offers_fold_events", "WITH " + st.SQL_QUADS + "," + _RUNS + "," + _ROUTED + "," + _FOLD + """
@@ -109,7 +108,7 @@ SELECT file, CAST(run AS BIGINT) AS run, Title, Description, Category, Breadcrum
 def offers_fold_events(spark, sf):
     """Quads folded into offers, one per URL run."""
     q = st.quads_from_events(spark, sf)
-    return of.fold_offers(q, chunk_lines=RUN_CHUNK).select(
+    return of.fold_offers(q).select(
         "file", "run", "Title", "Description", "Category", "Breadcrumb", "BreadcrumbList",
         "Breadcrumb_Predicate", "URL", "Host")
 

@@ -45,7 +45,7 @@ SELECT {_NULLIF} FROM offers
 def sources_offer_files_events(spark, sf):
     """Folded offers written as ``;`` files (several parts) and re-read."""
     path = scratch_path(spark, "offer-files")
-    offers = of.fold_offers(st.quads_from_events(spark, sf), chunk_lines=qo.RUN_CHUNK)
+    offers = of.fold_offers(st.quads_from_events(spark, sf))
     fs.write_offer_files(offers, path)
     back = fs.read_offer_files(spark, path)
     return back.select(*[F.nullif(F.col(c), F.lit("")).alias(c) for c in of.OFFER_COLUMNS])

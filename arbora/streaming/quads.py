@@ -11,18 +11,10 @@ overwrite, which makes a replayed batch idempotent.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from arbora.operators.offers import QUAD_PATTERN, fold_offers
-
-
-def parse_quad_lines(lines: DataFrame) -> DataFrame:
-    """Text rows (``value``) -> quads with file and in-batch line order."""
-    raw = lines.select(F.input_file_name().alias("file"),
-                       F.monotonically_increasing_id().alias("line_no"), "value")
-    parts = [F.regexp_extract("value", QUAD_PATTERN, i) for i in range(1, 5)]
-    q = raw.select("file", "line_no", *[p.alias(n) for p, n in zip(parts, ["subject", "predicate", "object", "url"])])
-    return q.where(F.col("url") != "")
+from arbora.operators.guards import release
+from arbora.operators.offers import fold_offers, parse_quad_lines
 
 
 def start_offer_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
@@ -38,6 +30,7 @@ def start_offer_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoin
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         offers = fold_offers(parse_quad_lines(batch), hosts)
         offers.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/batch_id={batch_id}")
+        release()   # the states that the fold of this batch kept
 
     w = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")

@@ -99,3 +99,58 @@ def test_report_keys_and_columns(spark):
     got = {r.experiment: r.split for r in wide.collect()}
     assert got == {"First Experiment": "train", "Second Experiment": "all"}
     assert len(wide.columns) == 20
+
+
+def _fold_by_hand(rows):
+    """The fold as one pass over the lines of a file, runs of equal URLs."""
+    import itertools
+    out = []
+    for k, (url, run) in enumerate(itertools.groupby(rows, key=lambda r: r[2]), 1):
+        offer = {"Title": "", "Description": "", "Category": "", "Breadcrumb": "", "BreadcrumbList": "", "Breadcrumb_Predicate": ""}
+        for predicate, value, _ in run:
+            add = lambda field, x: (offer[field] + " " + x).lstrip(" ")
+            if predicate == of.NAME_PREDICATE:
+                offer["Title"] = value
+            elif predicate == of.DESCRIPTION_PREDICATE:
+                offer["Description"] = value
+            elif "category" in predicate:
+                if value not in offer["Category"]:
+                    offer["Category"] = add("Category", value)
+            elif predicate == of.BREADCRUMB_PREDICATE:
+                if value not in offer["Breadcrumb"]:
+                    offer["Breadcrumb"], offer["Breadcrumb_Predicate"] = add("Breadcrumb", value), add("Breadcrumb_Predicate", predicate)
+            else:
+                offer["BreadcrumbList"] = add("BreadcrumbList", value)
+        if offer["Title"] and any(offer[c] for c in ("Description", "Category", "Breadcrumb", "BreadcrumbList")):
+            out.append((k, *offer.values(), url))
+    return sorted(out)
+
+
+def test_fold_of_runs_over_chunk_borders_equals_one_pass(spark):
+    import random
+    pick = random.Random(8)
+    predicates = [of.NAME_PREDICATE, of.DESCRIPTION_PREDICATE, "<http://schema.org/Product/category>", "<http://schema.org/Product/category>",
+                  of.BREADCRUMB_PREDICATE, of.BREADCRUMB_PREDICATE, "<http://schema.org/BreadcrumbList/itemListElement>"]
+    # values that are contained in others and across the border of two others
+    values = ["a", "b", "a b", "b c", "c", "b a", "c a b", "bb", "a b c"]
+    rows = []
+    for _ in range(60):
+        url = f"http://www.s{pick.randrange(2)}.com/x"
+        rows += [(pick.choice(predicates), pick.choice(values), url) for _ in range(pick.choice([1, 2, 5, 30]))]
+    df = spark.createDataFrame([("f", i, "_:n", p, f'"{v}"@en', u) for i, (p, v, u) in enumerate(rows)],
+                               "file string, line_no long, subject string, predicate string, object string, url string")
+    cols = ["run", "Title", "Description", "Category", "Breadcrumb", "BreadcrumbList", "Breadcrumb_Predicate", "URL"]
+    want = _fold_by_hand(rows)
+    assert len(want) > 10
+    for chunk in (1, 3, 16, of.CHUNK_LINES):
+        assert sorted(map(tuple, of.fold_offers(df, chunk_lines=chunk).select(cols).collect())) == want, chunk
+    runs = [r.run for r in of.run_ids(df, chunk_lines=4).orderBy("line_no").collect()]
+    assert runs == [r.run for r in of.run_ids(df).orderBy("line_no").collect()] and max(runs) == sum(1 for i, r in enumerate(rows) if not i or r[2] != rows[i - 1][2])
+    hosts = spark.createDataFrame([("s1",)], "host string")
+    assert sorted(map(tuple, of.fold_offers(df, hosts, chunk_lines=5).select(cols).collect())) == [w for w in want if "s1" in w[-1]]
+
+
+def test_fold_reads_and_shuffles_quads_once(spark):
+    q = spark.range(1000).selectExpr("'f' AS file", "id AS line_no", "'s' AS subject", "'p' AS predicate", "'o' AS object", "concat('u.', id div 9) AS url")
+    plan = of.fold_parts(q)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
