@@ -322,17 +322,71 @@ def head_per_group(df: DataFrame, by: str, order: list[str], n: int, tie: str =
 
 # ---------------------------------------------------------------- J2
 
+#: Length of the pieces under which host patterns are posted; parts over which patterns without a piece are spread.
+GRAM, SPREAD = 3, 64
+#: Regular expressions in which a plain text isn't sought: groups, choices, classes, counts, escapes of letters and backslashes.
+_NO_PLAIN_TEXT = r"[|()\[\]{}]|\\[\p{L}\p{N}\\]"
+
+
+def required_texts(pattern: Column, regex: bool) -> Column:
+    """Texts that every match of a pattern contains (none for a regular expression that isn't simple)."""
+    if not regex:
+        return F.array(pattern)
+    p = F.regexp_replace(pattern, r"(\\.|[^\\])[?*]", _BETWEEN)             # what may be left out
+    p = F.regexp_replace(p, r"(?<!\\)[?*+^$.]", _BETWEEN)                   # anchors, wildcards, repeats
+    texts = F.split(F.regexp_replace(p, r"\\(.)", "$1"), _BETWEEN)
+    return F.when(F.regexp_like(pattern, F.lit(_NO_PLAIN_TEXT)), F.array(F.lit(""))).otherwise(texts)
+
+
+def _grams(text: Column, n: Column) -> Column:
+    """All pieces of ``n`` characters of a text."""
+    last = F.length(text) - n + 1
+    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, n))) \
+            .otherwise(F.array().cast("array<string>"))
+
+
+def matching_patterns(hosts: DataFrame, patterns: DataFrame, regex: bool = False, host: str = "host",
+                      pattern: str = "pattern") -> DataFrame:
+    """``(host, pattern)`` of distinct hosts that contain a pattern (or match it, as a regular expression).
+
+    Each pattern is posted under the one of its ``GRAM``-character pieces that the fewest hosts
+    hold; shorter ones under a piece as long as they are, and those without any (an empty
+    pattern, a regular expression without plain text) under the empty piece, which every host
+    has. Hosts meet their candidates by an equi-join on pieces and are verified then.
+    """
+    pats = patterns.select(F.col(pattern).alias("pattern")).where("pattern IS NOT NULL").distinct()
+    texts = pats.select("pattern", required_texts(F.col("pattern"), regex).alias("t_"))
+    n = F.least(F.lit(GRAM), F.array_max(F.transform("t_", lambda t: F.length(t))))
+    pieces = texts.withColumn("n_", n).select("pattern", "n_", F.explode(F.when(F.col("n_") == 0, F.array(F.lit(""))).otherwise(
+        F.flatten(F.transform("t_", lambda t: _grams(t, F.col("n_")))))).alias("gram")).distinct()
+    held = hosts.select(F.col(host).alias("host_")).where("host_ IS NOT NULL")
+    held = held.select("host_", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *[_grams(F.col("host_"), F.lit(k)) for k in range(1, GRAM + 1)]))).alias("gram"))
+    sought = held.join(pieces.select("gram").distinct(), "gram", "left_semi")
+    counts = sought.groupBy("gram").agg(F.count("*").alias("hosts_"))
+    posted = pieces.join(counts, "gram").groupBy("pattern").agg(F.min_by("gram", F.struct("hosts_", "gram")).alias("gram"))
+    # every host has the empty piece: its hosts are spread, its patterns are in every part
+    parts = F.when(F.col("gram") == "", F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
+    posted = posted.withColumn("part_", F.explode(parts))
+    held = held.withColumn("part_", F.when(F.col("gram") == "", F.pmod(F.xxhash64("host_"), F.lit(SPREAD)).cast("int")).otherwise(0))
+    fits = F.regexp_like(F.col("host_"), F.col("pattern")) if regex else F.contains(F.col("host_"), F.col("pattern"))
+    return held.join(posted, ["gram", "part_"]).where(fits).select("host_", "pattern")
+
+
 def sample_for_hosts(df: DataFrame, hosts: DataFrame, n: int, seed: int = 42, regex: bool = False,
                      host: str = "Host", pattern_col: str = "host", id_col: str = "offer_id") -> DataFrame:
     """J2+W5: for every host pattern, up to ``n`` pseudo-random offers whose host
     matches it (substring, or regex with ``regex=True``); an offer matching several
-    patterns appears once per pattern."""
-    # patterns are compared with distinct hosts only; rows follow by an equi-join on the host
-    pats = checked_broadcast(hosts.select(F.col(pattern_col).alias("pattern")).distinct())
-    cond = F.regexp_like(F.col("host_"), F.col("pattern")) if regex else F.contains(F.col("host_"), F.col("pattern"))
-    fits = df.select(F.col(host).alias("host_")).distinct().join(pats, cond, "inner")
-    matched = df.join(fits, F.col(host) == F.col("host_")).drop("host_")
-    w = Window.partitionBy("pattern").orderBy(shuffle_key(seed, id_col), F.col(id_col))
+    patterns appears once per pattern.
+
+    A host's offers beyond its own first ``n`` are in no sample, so they go first, before
+    the shuffle: no host brings more than ``n`` rows to the join with its patterns.
+    """
+    order = (shuffle_key(seed, id_col), F.col(id_col))
+    few = df.where(F.col(host).isNotNull()).withColumn("rn_", F.row_number().over(Window.partitionBy(host).orderBy(*order))) \
+            .where(F.col("rn_") <= n).drop("rn_")
+    fits = matching_patterns(few.select(host).distinct(), hosts, regex, host, pattern_col)
+    matched = few.join(fits, F.col(host) == F.col("host_")).drop("host_")
+    w = Window.partitionBy("pattern").orderBy(*order)
     return matched.withColumn("rn_", F.row_number().over(w)).where(F.col("rn_") <= n).drop("rn_")
 
 

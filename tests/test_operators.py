@@ -154,3 +154,21 @@ def test_fold_reads_and_shuffles_quads_once(spark):
     q = spark.range(1000).selectExpr("'f' AS file", "id AS line_no", "'s' AS subject", "'p' AS predicate", "'o' AS object", "concat('u.', id div 9) AS url")
     plan = of.fold_parts(q)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+HOSTS = ["shop.example.org", "www.shop.com", "a.b", "ab", "x", "", "sh.op", "shopping.net", "ex.am", "b.a.b.c"]
+
+
+@pytest.mark.parametrize("regex, patterns", [
+    (False, ["shop", "example.org", "a", "ab", ".", "", "nothing", "shopping.net.long", "b.a", None]),
+    (True, ["^shop", "shop.", r"shop\.", "ex.*org$", "a?b", "b+", "(net|org)$", "[xy]", "^$", "", "s.*h", r"\.c", "zz*", None]),
+])
+def test_hosts_meet_their_patterns(spark, regex, patterns):
+    import re
+    hosts = spark.createDataFrame([(h,) for h in [*HOSTS, None]], "host string")
+    pats = spark.createDataFrame([(p,) for p in patterns * 2], "pattern string")
+    out = of.matching_patterns(hosts, pats, regex)
+    want = {(h, p) for h in HOSTS for p in patterns if p is not None and (re.search(p, h) if regex else p in h)}
+    got = [tuple(r) for r in out.collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
