@@ -77,8 +77,8 @@ def _automaton(key: str, vocab: list):
     return _AUTOMATA[key]
 
 
-def _scan_and_score(df: DataFrame, text: str, index_rows: list, options: list[str], out: str) -> DataFrame:
-    """Per row and option: the row with the best class under the dictionary score.
+def _scan_and_score(df: DataFrame, text: str, index_rows: list, options: list[str]) -> DataFrame:
+    """``df`` with ``__scored``: for each option the best class under the dictionary score.
 
     ``index_rows`` is the inverted index ``(option, word, ord, nw, name)`` (bounded by
     the label space, size-checked before it is collected and shipped to tasks).
@@ -86,8 +86,8 @@ def _scan_and_score(df: DataFrame, text: str, index_rows: list, options: list[st
     (Python ``str.count`` semantics: case-sensitive, non-overlapping, leftmost);
     the counts of present words are added to the classes containing them, and
     the best class is chosen by exact integer comparison of ``s1 * n2`` against
-    ``s2 * n1`` (ties: lowest ordinal). Runs in Arrow batches via ``mapInPandas``;
-    every input row comes out once per option, so nothing is joined back.
+    ``s2 * n1`` (ties: lowest ordinal). Runs in Arrow batches; every input row comes out
+    once, with an array of (option, name, score), so nothing is joined back.
     """
     vocab = list(dict.fromkeys(r[1] for r in index_rows if r[1]))
     pos = {w: i for i, w in enumerate(vocab)}
@@ -130,17 +130,17 @@ def _scan_and_score(df: DataFrame, text: str, index_rows: list, options: list[st
                 for o in options:
                     b = best.get(o)
                     found.append((o, names[o, b[0]], b[1] / b[2]) if b else (o, None, 0.0))
-            rows = batch.take(pa.array(np.repeat(np.arange(batch.num_rows), len(options))))
-            yield pa.RecordBatch.from_arrays(
-                [*[c for c, n in zip(rows.columns, rows.schema.names) if n != "__scanned"],
-                 pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string()),
-                 pa.array([f[2] for f in found], pa.float64())],
-                names=[*[n for n in rows.schema.names if n != "__scanned"], "option", out, "score"])
+            scored = pa.StructArray.from_arrays(
+                [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string()),
+                 pa.array([f[2] for f in found], pa.float64())], names=["option", "name", "score"])
+            offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(options))
+            kept = [n for n in batch.schema.names if n != "__scanned"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in kept], pa.ListArray.from_arrays(offsets, scored)],
+                                             names=[*kept, "__scored"])
 
-    kept = df.drop("option", out, "score")
-    schema = T.StructType([*kept.schema.fields, T.StructField("option", T.StringType()),
-                           T.StructField(out, T.StringType()), T.StructField("score", T.DoubleType())])
-    return kept.withColumn("__scanned", F.col(text)).mapInArrow(scan, schema)
+    scored = T.StructField("__scored", T.ArrayType(T.StructType([
+        T.StructField("option", T.StringType()), T.StructField("name", T.StringType()), T.StructField("score", T.DoubleType())])))
+    return df.withColumn("__scanned", F.col(text)).mapInArrow(scan, T.StructType([*df.schema.fields, scored]))
 
 
 def _inverted_index(vocab: DataFrame, option: str = "") -> DataFrame:
@@ -168,13 +168,20 @@ def dictionary_classify(df: DataFrame, text: str, vocab: DataFrame, default: Col
     return sweep(df, text, {"": vocab}, default, out).drop("option")
 
 
-def with_fallback(classified: DataFrame, text: str, model, out: str = "prediction",
-                  model_out: str = "fallback_prediction") -> DataFrame:
-    """C4: rows the dictionary could not score are predicted by a fitted Spark ML
-    model (any Transformer whose output column is ``model_out``)."""
-    zero = classified.where(F.col("score") == 0)
-    fixed = model.transform(zero).withColumn(out, F.col(model_out).cast("string"))
-    return classified.where(F.col("score") > 0).unionByName(fixed.select(*classified.columns))
+def with_fallback(classified: DataFrame, text: str, model, out: str = "prediction", score: str = "score",
+                  reserved: str = "__own_text") -> DataFrame:
+    """C4/V3: rows that the dictionary could not score (0) are predicted by a fitted, or
+    loaded, pipeline of :func:`fit_naive_bayes` and its like.
+
+    One pass: the model sees the texts of those rows only (the others are empty to it), so
+    the rows are neither split nor scanned again.
+    """
+    zero = F.col(score) == 0
+    seen = classified.withColumn(reserved, F.col(text)).withColumn(text, F.when(zero, F.col(text)).otherwise(""))
+    seen = seen.withColumnRenamed(out, "__dictionary")
+    labelled = decode_predictions(model.transform(seen), model, "__model")
+    result = {out: F.when(zero, F.col("__model_label")).otherwise(F.col("__dictionary")), text: F.col(reserved)}
+    return labelled.select(*[result.get(c, F.col(c)).alias(c) for c in classified.columns])
 
 
 def sweep(df: DataFrame, text: str, options: dict[str, DataFrame], default: Column | str | None = None,
@@ -182,13 +189,36 @@ def sweep(df: DataFrame, text: str, options: dict[str, DataFrame], default: Colu
     """G1: score every row under several vocabularies in one pass; one output row
     per (option, input row). The text is scanned once for the union of all
     options' words; the option travels with the inverted index."""
+    res = _scored(df.drop("option", out, "score"), text, options)
+    res = res.select(*[c for c in res.columns if c != "__scored"], F.explode("__scored").alias("__s")).select(
+        "*", F.col("__s.option").alias("option"), F.col("__s.name").alias(out), F.col("__s.score").alias("score")).drop("__s")
+    d = F.lit(default) if isinstance(default, str) else default
+    return res if d is None else res.withColumn(out, F.when(F.col("score") > 0, F.col(out)).otherwise(d))
+
+
+def _scored(df: DataFrame, text: str, options: dict[str, DataFrame]) -> DataFrame:
     index = None
     for name, vocab in options.items():
         i = _inverted_index(vocab, name)
         index = i if index is None else index.unionByName(i)
-    res = _scan_and_score(df, text, _index_rows(index), list(options), out)
+    return _scan_and_score(df, text, _index_rows(index), list(options))
+
+
+def sweep_with_fallback(df: DataFrame, text: str, options: dict[str, DataFrame], default: Column | str, model,
+                        out: str = "prediction", suffix: str = "_fallback") -> DataFrame:
+    """G1/C4: like :func:`sweep`, with each option also in a variant ``suffix`` whose zero-score rows
+    are predicted by ``model``; a text is scanned once and seen by the model at most once, whatever
+    the number of options."""
+    rows = _scored(df.drop("option", out, "score"), text, options)
+    rows = rows.withColumn("__least", F.array_min(F.transform("__scored", lambda s: s["score"]))).withColumn("__model", F.lit(None).cast("string"))
+    rows = with_fallback(rows, text, model, "__model", "__least")
     d = F.lit(default) if isinstance(default, str) else default
-    return res if d is None else res.withColumn(out, F.when(F.col("score") > 0, F.col(out)).otherwise(d))
+    exploded = rows.select(*[c for c in rows.columns if not c.startswith("__")], "__model", F.explode("__scored").alias("__s"),
+                           ).select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("__falls"))
+    return exploded.select(
+        *[c for c in exploded.columns if not c.startswith("__")], F.concat("__s.option", F.when(F.col("__falls"), suffix).otherwise("")).alias("option"),
+        F.when(F.col("__s.score") > 0, F.col("__s.name")).when(F.col("__falls"), F.col("__model")).otherwise(d).alias(out),
+        F.col("__s.score").alias("score"))
 
 
 # ---------------------------------------------------------------- C5-C7 (Spark ML)
@@ -197,34 +227,40 @@ def sweep(df: DataFrame, text: str, options: dict[str, DataFrame], default: Colu
 VOCABULARY = 1 << 28
 
 
-def fit_naive_bayes(train: DataFrame, text: str, label: str, smoothing: float = 1.0, vocabulary: int = VOCABULARY):
-    """Bag of words (lower-cased tokens of >= 2 word characters) + multinomial
-    naive Bayes with additive smoothing."""
+def fit_naive_bayes(train: DataFrame, text: str, label: str, smoothing: float = 1.0, vocabulary: int = VOCABULARY,
+                    steps: tuple[str, ...] = ("lower",), grams: int = 0):
+    """Bag of words (lower-cased tokens of >= 2 word characters, or with ``grams``
+    character pieces) + multinomial naive Bayes with additive smoothing."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import NaiveBayes
-    from pyspark.ml.feature import CountVectorizer, RegexTokenizer, StringIndexer
+    from pyspark.ml.feature import CountVectorizer, StringIndexer
+    from arbora.functions.ml import TextTokens
     return Pipeline(stages=[
         StringIndexer(inputCol=label, outputCol="label_idx", stringOrderType="alphabetAsc"),
-        RegexTokenizer(inputCol=text, outputCol="tok_", pattern=r"[\p{L}\p{N}_]{2,}", gaps=False, toLowercase=True),
+        TextTokens(inputCol=text, outputCol="tok_", steps=list(steps), grams=grams),
         CountVectorizer(inputCol="tok_", outputCol="bow_", vocabSize=vocabulary),
         NaiveBayes(featuresCol="bow_", labelCol="label_idx", smoothing=smoothing, modelType="multinomial"),
     ]).fit(train)
 
 
-def fit_forest(train: DataFrame, text: str, label: str, seed: int = 42, trees: int = 100, depth: int = 12,
-               vocabulary: int = VOCABULARY):
-    """Bag of words over X12-preprocessed text + random forest of ``trees`` trees, at most ``depth`` deep."""
+#: Spark's greatest depth of a tree.
+DEEPEST = 30
+
+
+def fit_forest(train: DataFrame, text: str, label: str, seed: int = 42, trees: int = 100, depth: int = DEEPEST,
+               least_rows: int = 1, vocabulary: int = VOCABULARY, steps: tuple[str, ...] = ("preprocess",)):
+    """Bag of words over X12-preprocessed text + random forest of ``trees`` trees, at most
+    ``depth`` deep (no deeper than Spark allows), with ``least_rows`` rows in a leaf at least."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import CountVectorizer, SQLTransformer, StringIndexer
-    prep = SQLTransformer(statement=(
-        "SELECT *, filter(split(lower(trim(regexp_replace(regexp_replace(" + text + ", "
-        "'[\\\\p{L}\\\\p{N}_]+://[\\\\p{L}\\\\p{N}_-]+(\\\\.[\\\\p{L}\\\\p{N}_-]+)*(/[^\\\\s/]*)*', ''), "
-        "'[^\\\\p{L}\\\\p{N}_]+', ' '))), '[^a-z0-9]+'), x -> x != '') AS tok_ FROM __THIS__"))
+    from pyspark.ml.feature import CountVectorizer, StringIndexer
+    from arbora.functions.ml import TextTokens
     return Pipeline(stages=[
         StringIndexer(inputCol=label, outputCol="label_idx", stringOrderType="alphabetAsc"),
-        prep, CountVectorizer(inputCol="tok_", outputCol="bow_", vocabSize=vocabulary),
-        RandomForestClassifier(featuresCol="bow_", labelCol="label_idx", numTrees=trees, maxDepth=depth, seed=seed),
+        TextTokens(inputCol=text, outputCol="tok_", steps=list(steps)),
+        CountVectorizer(inputCol="tok_", outputCol="bow_", vocabSize=vocabulary),
+        RandomForestClassifier(featuresCol="bow_", labelCol="label_idx", numTrees=trees, maxDepth=depth,
+                               minInstancesPerNode=least_rows, seed=seed),
     ]).fit(train)
 
 
@@ -232,7 +268,8 @@ def fit_ngram_linear(train: DataFrame, text: str, label: str, word_ngrams: int =
                      minn: int = 4, maxn: int = 10, features: int = 1 << 18, max_iter: int = 30):
     """Words, word n-grams (2..``word_ngrams``) and character n-grams
     (``minn..maxn`` of ``<word>``) hashed into one sparse vector, then a
-    multinomial logistic regression (a linear n-gram classifier)."""
+    multinomial logistic regression (a linear n-gram classifier). ``features`` is the number
+    of hash buckets: grams that share one share a weight."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import HashingTF, RegexTokenizer, SQLTransformer, StringIndexer

@@ -38,7 +38,7 @@ OFFER_COLUMNS = ["Title", "Description", "Category", "Breadcrumb", "BreadcrumbLi
 QUAD_PATTERN = r'^\s*(\S+)\s+(\S+)\s+(".*"(?:@[\w-]+|\^\^\S+)?|\S+)\s+(\S+)\s+\.\s*$'
 
 HOSTS_MAX_BYTES = 256 << 20   # of a host list that is shipped to the tasks (F1)
-CHUNK_LINES = 1 << 16   # lines of one file ordered and folded together (W1, A3)
+CHUNK_LINES = 1 << 14   # lines of one file ordered and folded together (W1, A3)
 
 
 # ---------------------------------------------------------------- S4 / F2

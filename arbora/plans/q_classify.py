@@ -98,8 +98,24 @@ def _noun_options(spark, sf):
     return opts, default
 
 
-#: Stand-in for a trained fallback: a class by the length of the text (C4, V3).
-_FALLBACK_CLASSES = ["alpha", "beta", "gamma"]
+#: Characters of the pieces on which the fallback model is trained, so that texts of any words speak to it (C4, V3).
+FALLBACK_GRAMS = 3
+
+#: The fallback model: naive Bayes over character pieces of part titles (C5), applied to the texts that some option can't score.
+_SQL_FALLBACK = f"""
+train AS (SELECT split_part(p_name, ' ', 2) AS cls, lower(p_name || ' ' || p_brand) AS t FROM part),
+tok AS (SELECT cls, substr(t, CAST(unnest(range(1, length(t) - {FALLBACK_GRAMS} + 2)) AS BIGINT), {FALLBACK_GRAMS}) AS w FROM train),
+cw AS (SELECT cls, w, count(*) AS n FROM tok GROUP BY ALL),
+ct AS (SELECT cls, sum(n) AS t FROM cw GROUP BY cls),
+voc AS (SELECT DISTINCT w FROM cw), v AS (SELECT count(*) AS v FROM voc),
+prior AS (SELECT cls, ln(count(*) + 1.0) - ln((SELECT count(*) FROM train) + (SELECT count(DISTINCT cls) FROM train)) AS pi FROM train GROUP BY cls),
+unscored AS (SELECT doc_id, lower(text) AS t FROM documents WHERE doc_id IN (SELECT doc_id FROM best WHERE score = 0)),
+dtok AS (SELECT doc_id, substr(t, CAST(unnest(range(1, length(t) - {FALLBACK_GRAMS} + 2)) AS BIGINT), {FALLBACK_GRAMS}) AS w FROM unscored),
+tf AS (SELECT doc_id, w, count(*) AS f FROM dtok JOIN voc USING (w) GROUP BY ALL),
+like_ AS (SELECT tf.doc_id, p.cls, sum(f * (ln(coalesce(cw.n, 0) + 1.0) - ln(ct.t + v.v))) AS l
+          FROM tf CROSS JOIN prior p JOIN ct ON ct.cls = p.cls CROSS JOIN v LEFT JOIN cw ON cw.cls = p.cls AND cw.w = tf.w GROUP BY ALL),
+model AS (SELECT u.doc_id, arg_max(p.cls, p.pi + coalesce(l.l, 0)) AS cls
+          FROM unscored u CROSS JOIN prior p LEFT JOIN like_ l ON l.doc_id = u.doc_id AND l.cls = p.cls GROUP BY u.doc_id)"""
 
 
 @query("classify_sweep_documents", r"""
@@ -120,26 +136,25 @@ sc AS (
          list_sum(list_transform(o.w, lambda x: (length(d.text) - length(replace(d.text, x, ''))) // length(x))) / len(o.w) AS score
   FROM documents d, opts o
 ),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, option ORDER BY score DESC, ord) AS rn FROM sc) WHERE rn = 1)
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, option ORDER BY score DESC, ord) AS rn FROM sc) WHERE rn = 1),
+""" + _SQL_FALLBACK + """
 SELECT doc_id, option, CASE WHEN score > 0 THEN name ELSE (SELECT d FROM dflt) END AS prediction, round(score, 6) AS score
 FROM best
 UNION ALL
-SELECT doc_id, option || '_fallback', CASE WHEN score > 0 THEN name ELSE ['alpha', 'beta', 'gamma'][length(text) % 3 + 1] END, round(score, 6)
-FROM best JOIN documents USING (doc_id)
+SELECT doc_id, option || '_fallback', CASE WHEN score > 0 THEN name ELSE model.cls END, round(score, 6)
+FROM best LEFT JOIN model USING (doc_id)
 """)
 def classify_sweep_documents(spark, sf):
     """Whole documents scored under eight options: four vocabularies
     (synonyms x lemmas), scanned in one pass, each with the most frequent class or a
-    fallback model for rows that no class fits; classes are the part nouns."""
-    from pyspark.ml.feature import SQLTransformer
+    fallback model for rows that no class fits; classes are the part nouns. The model is
+    trained on part titles, saved and loaded."""
     opts, default = _noun_options(spark, sf)
     d = table(spark, sf, "documents").select("doc_id", "text")
-    scored = cl.sweep(d, "text", opts)
-    names = ", ".join(f"'{c}'" for c in _FALLBACK_CLASSES)
-    model = SQLTransformer(statement=f"SELECT *, element_at(array({names}), cast(length(text) % 3 + 1 AS int)) AS fallback_prediction FROM __THIS__")
-    fell = cl.with_fallback(scored, "text", model).withColumn("option", F.concat("option", F.lit("_fallback")))
-    plain = scored.withColumn("prediction", F.when(F.col("score") > 0, F.col("prediction")).otherwise(default))
-    out = plain.unionByName(fell)
+    train = table(spark, sf, "part").select(F.concat_ws(" ", "p_name", "p_brand").alias("text"), st.noun(F.col("p_name")).alias("class"))
+    model = cl.fit_naive_bayes(train, "text", "class", grams=FALLBACK_GRAMS)
+    model = cl.load_model(cl.save_model(model, scratch_path(spark, "fallback")))
+    out = cl.sweep_with_fallback(d, "text", opts, default, model)
     return out.select("doc_id", "option", "prediction", F.round("score", 6).alias("score"))
 
 
@@ -335,3 +350,27 @@ def classify_ngram_linear_parts(spark, sf):
     model = cl.fit_ngram_linear(x.where(~F.col("is_test")), "title", "label")
     out = cl.decode_predictions(model.transform(x.where(F.col("is_test"))), model)
     return out.select("offer_id", "label", F.col("prediction_label").alias("predicted"))
+
+
+@query("classify_learned_accuracy_parts", "WITH src AS (SELECT p_partkey AS id, split_part(p_name, ' ', 2) AS cls FROM part),"
+       + _sql_split("src", "s") + """,
+t AS (SELECT cls, count(*) AS n FROM s WHERE is_test GROUP BY cls)
+SELECT model, CAST((SELECT sum(n) FROM t) AS BIGINT) AS n_test, round((SELECT max(n) / sum(n) FROM t), 6) AS majority_share, true AS above_majority
+FROM (SELECT unnest(['forest', 'ngram_linear', 'naive_bayes']) AS model)
+""")
+def classify_learned_accuracy_parts(spark, sf):
+    """Each learned baseline, fitted on the train split of part titles (class: the noun), saved
+    and loaded, must beat the share of the largest class on the test split."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("offer_id"), F.concat_ws(" ", "p_name", "p_brand").alias("title"),
+                                        st.noun(F.col("p_name")).alias("label"))
+    x = sp.stratified_split(p, "label", 0.2, 42, "offer_id")
+    train, test = x.where(~F.col("is_test")), x.where("is_test")
+    out = None
+    for name, fit in (("forest", cl.fit_forest), ("ngram_linear", cl.fit_ngram_linear), ("naive_bayes", cl.fit_naive_bayes)):
+        model = cl.load_model(cl.save_model(fit(train, "title", "label"), scratch_path(spark, name)))
+        right = cl.decode_predictions(model.transform(test), model).groupBy("label").agg(
+            F.count("*").alias("n"), F.count_if(F.col("label") == F.col("prediction_label")).alias("right"))
+        row = right.agg(F.sum("n").alias("n_test"), (F.max("n") / F.sum("n")).alias("share"), (F.sum("right") / F.sum("n")).alias("accuracy")).select(
+            F.lit(name).alias("model"), "n_test", F.round("share", 6).alias("majority_share"), (F.col("accuracy") > F.col("share")).alias("above_majority"))
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -172,3 +172,37 @@ def test_hosts_meet_their_patterns(spark, regex, patterns):
     got = [tuple(r) for r in out.collect()]
     assert set(got) == want and len(got) == len(want)
     assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_text_tokens_stage_is_saved_and_loaded(spark, tmp_path):
+    from pyspark.ml import Pipeline, PipelineModel
+    from arbora.functions.ml import TextTokens
+    df = spark.createDataFrame([("Hi, <b>Dear</b> x World_1!",), ("",), (None,), ("é😀a",)], "t string")
+    stages = [TextTokens(inputCol="t", outputCol="words"), TextTokens(inputCol="t", outputCol="clean", steps=["preprocess"]),
+              TextTokens(inputCol="t", outputCol="grams", grams=2)]
+    model = Pipeline(stages=stages).fit(df)
+    model.write().overwrite().save(f"{tmp_path}/m")
+    loaded = PipelineModel.load(f"{tmp_path}/m")
+    rows = loaded.transform(df).collect()
+    assert rows == model.transform(df).collect() and loaded.stages[1].getOrDefault("steps") == ["preprocess"]
+    assert rows[0].words == ["hi", "dear", "world_1"] and rows[1].words == rows[2].words == rows[2].grams == []
+    assert rows[3].grams == ["é😀", "😀a"] and "b" not in rows[0].clean
+    with pytest.raises(ValueError):
+        TextTokens(inputCol="t", outputCol="x", steps=["no such step"])
+
+
+def test_trained_fallback_predicts_zero_scores_only(spark, tmp_path):
+    from arbora.operators import classify as cl
+    train = spark.createDataFrame([("red apple fruit", "food"), ("green pear fruit", "food"), ("steel hammer tool", "tools"),
+                                   ("claw hammer", "tools")] * 3, "title string, class string")
+    model = cl.load_model(cl.save_model(cl.fit_naive_bayes(train, "title", "class"), f"{tmp_path}/nb"))
+    vocab = cl.class_vocabulary(spark.createDataFrame([(1, "food"), (2, "tools")], "id int, name string"))
+    rows = spark.createDataFrame([(1, "food with a hammer"), (2, "a hammer"), (3, "pear"), (4, "zzz"), (5, None)], "k int, title string")
+    scored = cl.dictionary_classify(rows, "title", vocab)
+    out = {r.k: r for r in cl.with_fallback(scored, "title", model).collect()}
+    assert {k: r.prediction for k, r in out.items() if k < 4} == {1: "food", 2: "tools", 3: "food"}
+    assert out[4].prediction in ("food", "tools") and out[5].prediction == out[4].prediction and out[5].title is None
+    both = cl.sweep_with_fallback(rows, "title", {"a": vocab, "b": vocab}, "none", model)
+    got = {(r.k, r.option): r.prediction for r in both.collect()}
+    assert len(got) == 20 and got[2, "a"] == "none" and got[2, "b_fallback"] == "tools" and got[1, "a_fallback"] == "food"
+    assert set(both.columns) == {"k", "title", "option", "prediction", "score"}
