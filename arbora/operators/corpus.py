@@ -61,20 +61,6 @@ def _lines_from_parts(t: Column, cats: Column, desc: Column, config: dict) -> li
     return lines
 
 
-def lm_lines(df: DataFrame, config: dict, title: str = "title", path_list: str = "path_list",
-             description: str = "description", compat_labels: bool = False) -> Column:
-    """L1: the corpus lines of one offer as ``array<string>`` (NULL lines removed).
-
-    multiple rows: ``title - categories`` and ``title - description``; single row:
-    ``title - categories - description``. Categories are the code-stripped path
-    labels (X18), each preprocessed (X12); the description is sentence-cleaned (X20).
-    """
-    t = tf.preprocess(F.col(title))
-    cats = F.transform(tf.path_labels(F.col(path_list), compat_labels), lambda x: tf.preprocess(x))
-    desc = tf.clean_sentences(F.col(description))
-    return F.filter(F.array(*_lines_from_parts(t, cats, desc, config)), lambda x: x.isNotNull())
-
-
 def _extra_lines_from_parts(t: Column, cats: Column, has_desc: Column, desc: Column, config: dict) -> list[Column]:
     lines = []
     line = t
@@ -105,21 +91,6 @@ def _extra_parts(extra: DataFrame) -> DataFrame:
         tf.clean_sentences(F.col("Description")).alias("desc_"))
 
 
-def extra_lines(df: DataFrame, config: dict) -> Column:
-    """L2: lines of one row of the additional offer corpus (``Title, Category,
-    Breadcrumb, BreadcrumbList, Description``; empty strings count as missing).
-
-    Categories are the present raw fields (not preprocessed); the running line
-    is always emitted last in multi-row mode."""
-    def present(c):
-        return F.when(F.length(F.col(c)) > 0, F.col(c))
-    cats = F.filter(F.array(present("Category"), present("Breadcrumb"), present("BreadcrumbList")),
-                    lambda x: x.isNotNull())
-    lines = _extra_lines_from_parts(tf.preprocess(F.col("Title")), cats, present("Description").isNotNull(),
-                                    tf.clean_sentences(F.col("Description")), config)
-    return F.filter(F.array(*lines), lambda x: x.isNotNull())
-
-
 def corpus(offers: DataFrame, configs: list[dict], extra: DataFrame | None = None,
            split: str = "split", suffix: str | None = None, title: str = "title",
            path_list: str = "path_list", description: str = "description",
@@ -153,22 +124,29 @@ def corpus(offers: DataFrame, configs: list[dict], extra: DataFrame | None = Non
 
 # ---------------------------------------------------------------- L5 / L6 / F8
 
-def row_index(df: DataFrame, order: str, buckets: int = 1024) -> DataFrame:
+#: Rows that are numbered in one task, and tokens that one task of a packing holds.
+INDEX_ROWS, PACK_TOKENS = 1 << 20, 1 << 22
+
+
+def row_index(df: DataFrame, order: str, rows_per_bucket: int = INDEX_ROWS) -> DataFrame:
     """Dense 0-based position of every row under a numeric, unique ``order`` key,
     without a single-task sort.
 
-    Approximate quantiles of the key (at most ``buckets`` split points, the only
-    thing brought to the driver) cut the rows into ordered buckets; the small
-    per-bucket count table gives every bucket its prefix offset, and rows are
-    numbered inside their bucket. Bucket boundaries come from the data, not from
-    physical partitions, so the result does not depend on how a stage was split.
+    The rows are counted, and approximate quantiles of the key (one for every
+    ``rows_per_bucket`` rows, the only thing brought to the driver) cut them into ordered
+    buckets of about that size; the small per-bucket count table gives every bucket its
+    prefix offset, and rows are numbered inside their bucket. Bucket boundaries come from the
+    data, not from physical partitions, so the result does not depend on how a stage was split.
     """
     from pyspark.ml.feature import Bucketizer
+    buckets = -(-df.count() // rows_per_bucket)
     probs = [i / buckets for i in range(1, buckets)]
-    qs = df.select(F.percentile_approx(F.col(order).cast("double"), probs, 10 * buckets)).first()[0] or []
+    key = F.col(order).cast("double")
+    qs = (df.select(F.percentile_approx(key, probs, 10 * buckets)).first()[0] or []) if probs else []
     splits = [float("-inf")] + sorted(set(q for q in qs if q is not None)) + [float("inf")]
-    keyed = df.withColumn("k_", F.col(order).cast("double"))
-    b = Bucketizer(splits=splits, inputCol="k_", outputCol="bkt_", handleInvalid="keep").transform(keyed)
+    b = df.withColumn("k_", key)
+    b = (Bucketizer(splits=splits, inputCol="k_", outputCol="bkt_", handleInvalid="keep").transform(b) if len(splits) > 2
+         else b.withColumn("bkt_", F.lit(0.0)))
     counts = b.groupBy("bkt_").agg(F.count("*").alias("c_"))
     offsets = counts.select("bkt_", F.coalesce(F.sum("c_").over(Window.orderBy("bkt_").rowsBetween(
         Window.unboundedPreceding, -1)), F.lit(0)).alias("off_"))
@@ -178,26 +156,35 @@ def row_index(df: DataFrame, order: str, buckets: int = 1024) -> DataFrame:
 
 
 def pack_tokens(df: DataFrame, order: str, tokens: str = "tokens", block: int = 128,
-                batch: int = 1000) -> DataFrame:
+                batch: int = 1000, tokens_per_task: int = PACK_TOKENS, rows_per_bucket: int = INDEX_ROWS) -> DataFrame:
     """Concatenate the token lists of every ``batch`` consecutive texts, cut
     into blocks of ``block`` tokens, drop each batch's remainder.
 
     Returns ``(batch, block, tokens)``; each text contributes the slice of its
-    tokens that lands in each block it overlaps."""
-    x = row_index(df.select(order, tokens), order).withColumn("batch", F.floor(F.col("idx") / batch))
+    tokens that lands in each block it overlaps. ``order`` is unique.
+
+    Texts are numbered and their offsets summed up on their lengths alone. Token lists move
+    twice, to their places and to their blocks, dealt by hash to as many tasks as leave
+    each about ``tokens_per_task`` tokens (a longer text is one task's).
+    """
+    texts = df.select(order, tokens)
+    lengths = texts.select(order, F.size(tokens).alias("n_"))
+    total = lengths.agg(F.sum(F.greatest("n_", F.lit(0)))).first()[0] or 0
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // tokens_per_task))
+    x = row_index(lengths, order, rows_per_bucket).withColumn("batch", F.floor(F.col("idx") / batch))
     w = Window.partitionBy("batch").orderBy("idx")
-    x = x.withColumn("n_", F.size(tokens)) \
-         .withColumn("off_", F.coalesce(F.sum("n_").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))) \
+    x = x.withColumn("off_", F.coalesce(F.sum("n_").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))) \
          .withColumn("tot_", F.sum("n_").over(Window.partitionBy("batch")))
     full = F.floor(F.col("tot_") / block) * block           # tokens kept in this batch
+    x = x.withColumn("full_", full).where((F.col("off_") < F.col("full_")) & (F.col("n_") > 0)).drop("tot_")
     first_b = F.floor(F.col("off_") / block)
-    last_b = F.floor((F.least(F.col("off_") + F.col("n_"), full) - 1) / block)
-    x = x.where((F.col("off_") < full) & (F.col("n_") > 0)).withColumn("blk", F.explode(F.sequence(first_b, last_b)))
+    last_b = F.floor((F.least(F.col("off_") + F.col("n_"), F.col("full_")) - 1) / block)
+    x = texts.repartition(tasks, order).join(x.repartition(tasks, order), order).withColumn("blk", F.explode(F.sequence(first_b, last_b)))
     start = F.greatest(F.col("blk") * block, F.col("off_"))
     end = F.least((F.col("blk") + 1) * block, F.col("off_") + F.col("n_"))
     pieces = x.select("batch", "blk", "idx",
                       F.slice(tokens, (start - F.col("off_") + 1).cast("int"), (end - start).cast("int")).alias("piece"))
-    return (pieces.groupBy("batch", "blk")
+    return (pieces.repartition(tasks, "batch", "blk").groupBy("batch", "blk")
                   .agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("idx", "piece"))),
                                              lambda s: s["piece"])).alias("tokens"))
                   .withColumnRenamed("blk", "block"))

@@ -8,8 +8,8 @@ one task.
   chunk borders through a small per-chunk table (a parallel prefix sum).
 * The fold (A3) works on the same chunks, in the same shuffle: each part of a run gets a
   mergeable state, and only the parts that touch a chunk's border are merged.
-* Keep-first dedupe (W2) is a ``min(struct(order..., row))`` aggregate, so a hot
-  title is reduced map-side.
+* Keep-first dedupe (W2) is a ``row_number() = 1`` on a hash of the key, so a hot
+  title is reduced map-side, too.
 * Per-group caps (W3-W5) use ``row_number() <= n``, which Spark plans with a
   ``WindowGroupLimit`` before the shuffle: at most ``n`` rows per group and map
   task move.
@@ -256,29 +256,24 @@ def fold_offers(quads: DataFrame, hosts: DataFrame | None = None, file: str = "f
 
 # ---------------------------------------------------------------- W2 / T1
 
-def _order_struct(order: list[str], empty: str, tie: str) -> Column:
-    fields = []
-    for i, c in enumerate(order):
-        if empty == "last":
-            fields.append(F.col(c).isNull().alias(f"n{i}"))
-        fields.append(F.col(c).alias(f"k{i}"))
-    fields.append(F.col(tie).alias("tie"))
-    return F.struct(*fields)
-
-
 def dedupe_keep_first(df: DataFrame, key: str | list[str], order: list[str], empty: str = "last",
                       tie: str = "offer_id") -> DataFrame:
     """One row per ``key``: the first under ``order`` (ties by ``tie``).
 
     ``empty='last'`` sorts NULLs last (re-read CSV); ``'first'`` keeps the natural
-    order in which NULL and ``''`` come first. A ``min(struct)`` aggregate, so
-    partial aggregation collapses hot keys before the shuffle.
+    order in which NULL and ``''`` come first.
+
+    Rows are grouped by a 128-bit hash of the key and, behind it, the key itself, so a clash
+    of hashes doesn't merge keys, while sorting and comparing long keys is done on the hash.
+    ``row_number() = 1`` becomes a group limit: each task keeps its first row of a
+    key, and only these are shuffled, once and whole; rows lie in spillable sorts, never in aggregation buffers.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    payload = F.struct(*[F.col(c) for c in df.columns])
-    best = df.groupBy(*keys).agg(F.min(F.struct(_order_struct(order, empty, tie).alias("o"),
-                                                payload.alias("r"))).alias("b_"))
-    return best.select("b_.r.*")
+    hashes = [F.xxhash64(F.lit(k), *keys) for k in (1, 2)]
+    ordered = [F.col(c).asc_nulls_last() if empty == "last" else F.col(c).asc_nulls_first() for c in order]
+    x = df.select("*", *[h.alias(f"h{k}_") for k, h in enumerate(hashes)])
+    w = Window.partitionBy("h0_", "h1_", *keys).orderBy(*ordered, F.col(tie))
+    return x.withColumn("rn_", F.row_number().over(w)).where(F.col("rn_") == 1).select(*df.columns)
 
 
 def sorted_offers(df: DataFrame, order: list[str], tie: str = "offer_id") -> DataFrame:
@@ -306,12 +301,19 @@ def cap_per_group(df: DataFrame, by: str | list[str], n: int, seed: int = 42, id
 def cap_heavy_groups(df: DataFrame, by: str, hi: int, lo: int, seed: int = 42,
                      id_col: str = "offer_id") -> DataFrame:
     """Groups with more than ``hi`` rows are reduced to ``lo`` pseudo-random rows;
-    other groups are kept whole (no ordering needed for them)."""
-    counts = df.groupBy(by).agg(F.count("*").alias("cnt_"))
-    heavy = counts.where(F.col("cnt_") > hi).select(by)
-    light_rows = df.join(heavy, by, "left_anti")
-    heavy_rows = cap_per_group(df.join(heavy, by, "left_semi"), by, lo, seed, id_col)
-    return light_rows.unionByName(heavy_rows)
+    other groups, and rows without a group, are kept whole.
+
+    No row is moved: counts name the heavy groups, the ``lo`` least (hash, id) of each give it a
+    cut (a group limit, so a task sends ``lo`` of a group at most), and the rows are
+    filtered against the broadcast cuts. ``id_col`` is unique."""
+    heavy = checked_broadcast(df.groupBy(by).agg(F.count("*").alias("cnt_")).where((F.col("cnt_") > hi) & F.col(by).isNotNull()).select(by))
+    if lo < 1:
+        return df.join(heavy, by, "left_anti")
+    place = F.struct(shuffle_key(seed, id_col).alias("h"), F.col(id_col).alias("i"))
+    narrow = df.select(by, place.alias("p_")).join(heavy, by, "left_semi")
+    lowest = narrow.withColumn("rn_", F.row_number().over(Window.partitionBy(by).orderBy("p_"))).where(F.col("rn_") <= lo)
+    cuts = lowest.groupBy(by).agg(F.max("p_").alias("cut_"))
+    return df.join(checked_broadcast(cuts, bound=heavy), by, "left").where(F.col("cut_").isNull() | (place <= F.col("cut_"))).select(*df.columns)
 
 
 def head_per_group(df: DataFrame, by: str, order: list[str], n: int, tie: str = "offer_id") -> DataFrame:

@@ -6,10 +6,11 @@ train; of the rest, ``T = ceil(frac * n)`` rows go to test, class ``c`` getting
 remainders (ties by class name). Inside a class, rows are taken in the order of
 ``md5(seed|id)``.
 
-Taking the first ``q_c`` rows of a class never sorts a class in one task: rows
-are bucketed by the first four hex digits of their hash, bucket counts give each
-class a boundary bucket, and only rows of that one bucket are ranked. A class
-holding a third of the data is therefore split over 65,536 buckets.
+A class is never sorted and rows are never moved: a histogram of the first four hex
+digits of the hashes gives each class the bucket in which its quota ends, only the hashes
+of that bucket are ranked, and what comes out is one (hash, id) per class and
+stage up to which rows are taken. Stages take consecutive stretches of the same hash
+order, so 64/16/20 is two cuts. The rows themselves are read once, against the broadcast cuts.
 """
 
 from __future__ import annotations
@@ -97,62 +98,73 @@ def rare_class_rows(df: DataFrame, by: str = "path_list", min_count: int = 2,
 
 # ---------------------------------------------------------------- W6 / W7
 
-def _quotas(counts: DataFrame, by: str, frac: float) -> DataFrame:
-    """Per-class test quota by largest remainder (the class table is small)."""
-    c = counts.withColumn("n", counts.select(F.sum("n_c")).scalar())
-    t = F.ceil(F.lit(frac) * F.col("n")).cast("long")
-    c = c.withColumn("t", t) \
-         .withColumn("q", F.floor(F.col("n_c") * F.col("t") / F.col("n")).cast("long")) \
-         .withColumn("rem", (F.col("n_c") * F.col("t")) % F.col("n"))
-    w_all = Window.orderBy(F.col("rem").desc(), F.col(by))
-    c = c.withColumn("rk", F.row_number().over(w_all)) \
-         .withColumn("left", F.col("t") - F.sum("q").over(Window.partitionBy()))
-    return c.select(by, "n_c", (F.col("q") + (F.col("rk") <= F.col("left")).cast("long")).alias("quota"))
+def _quotas(classes: DataFrame, fracs: list[float]) -> DataFrame:
+    """(cls_, end_0, end_1, ...): how many rows of a class the stages up to each have taken.
+
+    Each stage takes ``frac`` of what the stages before left, by largest remainder over the
+    classes with two such rows or more (the class table is small)."""
+    everywhere = Window.partitionBy()
+    c = classes.withColumn("taken", F.lit(0).cast("long"))
+    for k, frac in enumerate(fracs):
+        left = F.col("n_c") - F.col("taken")
+        c = c.withColumn("left", F.when(left >= 2, left).otherwise(0)).withColumn("n", F.sum("left").over(everywhere))
+        c = c.withColumn("t", F.ceil(F.lit(frac) * F.col("n")).cast("long"))
+        c = c.withColumn("q", F.coalesce(F.floor(F.try_divide(F.col("left") * F.col("t"), F.col("n"))).cast("long"), F.lit(0))) \
+             .withColumn("rem", F.when(F.col("n") > 0, (F.col("left") * F.col("t")) % F.greatest(F.col("n"), F.lit(1))))
+        by_remainder = Window.orderBy((F.col("left") > 0).desc(), F.col("rem").desc(), F.col("cls_"))
+        c = c.withColumn("more", (F.row_number().over(by_remainder) <= F.col("t") - F.sum("q").over(everywhere)) & (F.col("left") > 0))
+        c = c.withColumn("taken", F.col("taken") + F.col("q") + F.col("more").cast("long")).withColumn(f"end_{k}", F.col("taken"))
+    return c.select("cls_", *[f"end_{k}" for k in range(len(fracs))])
+
+
+def _cuts(keys: DataFrame, fracs: list[float]) -> DataFrame:
+    """(cls_, cut_0, cut_1, ...): the last (hash, id) that each stage takes of a class, null if none, from
+    (cls_, h_, id_). One row a class."""
+    keys = keys.withColumn("b_", F.conv(F.substring("h_", 1, 4), 16, 10).cast("int"))
+    histogram = keys.groupBy("cls_", "b_").agg(F.count("*").alias("nb"))
+    quotas = _quotas(histogram.groupBy("cls_").agg(F.sum("nb").alias("n_c")), fracs)
+    upto = Window.partitionBy("cls_").orderBy("b_").rowsBetween(Window.unboundedPreceding, 0)
+    filled = histogram.withColumn("cum", F.sum("nb").over(upto)).join(quotas, "cls_")
+    ends = filled.select("cls_", "b_", "nb", "cum", F.posexplode(F.array(*[f"end_{k}" for k in range(len(fracs))])).alias("stage", "end"))
+    boundary = checked_broadcast(ends.where((F.col("cum") >= F.col("end")) & (F.col("cum") - F.col("nb") < F.col("end"))).select(
+        "cls_", "b_", "stage", (F.col("end") - F.col("cum") + F.col("nb")).alias("need")))
+    at_boundary = keys.join(boundary, ["cls_", "b_"])
+    rank = F.row_number().over(Window.partitionBy("cls_", "b_", "stage").orderBy("h_", "id_"))
+    last = at_boundary.withColumn("rank", rank).where(F.col("rank") == F.col("need"))
+    return last.groupBy("cls_").agg(*[F.max(F.when(F.col("stage") == k, F.struct("h_", "id_"))).alias(f"cut_{k}") for k in range(len(fracs))])
+
+
+def _staged(df: DataFrame, by: str, fracs: list[float], seed: int, id_col: str) -> tuple[DataFrame, list]:
+    """``df`` with the cuts of its classes, and for each stage whether it has taken a row by then."""
+    cls = F.coalesce(F.concat(F.lit("="), F.col(by).cast("string")), F.lit(""))      # NULL is a class of its own
+    h = F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_col).cast("string")))
+    cuts = checked_broadcast(_cuts(df.select(cls.alias("cls_"), h.alias("h_"), F.col(id_col).alias("id_")), fracs))
+    rows = df.withColumn("cls_", cls).join(cuts, "cls_", "left")
+    place = F.struct(h.alias("h_"), F.col(id_col).alias("id_"))
+    # a stage that took none of a class ends where the one before ended
+    return rows, [F.coalesce(place <= F.coalesce(*[F.col(f"cut_{j}") for j in range(k, -1, -1)]), F.lit(False)) for k in range(len(fracs))]
 
 
 def stratified_split(df: DataFrame, by: str = "path_list", frac: float = 0.2, seed: int = 42,
                      id_col: str = "offer_id", out: str = "is_test") -> DataFrame:
     """Flag ``frac`` of the rows as test, stratified by ``by`` (see module doc)."""
-    source, by = by, "cls_"      # NULL is a class of its own
-    df = df.withColumn(by, F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("")))
-    counts = class_counts(df, by)
-    big = counts.where(F.col("n_c") >= 2)
-    quotas = checked_broadcast(_quotas(big, by, frac))
-    h = F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_col).cast("string")))
-    rows = df.withColumn("h_", h).withColumn("b_", F.conv(F.substring("h_", 1, 4), 16, 10).cast("int"))
-    # per (class, bucket) counts -> boundary bucket and how many rows it still owes
-    bc = rows.join(quotas.select(by), by, "left_semi").groupBy(by, "b_").agg(F.count("*").alias("nb"))
-    wcum = Window.partitionBy(by).orderBy("b_").rowsBetween(Window.unboundedPreceding, 0)
-    bc = bc.withColumn("cum", F.sum("nb").over(wcum)).join(quotas, by)
-    boundary = (bc.where(F.col("cum") >= F.col("quota"))
-                  .groupBy(by).agg(F.min(F.struct("b_", "cum", "nb", "quota")).alias("m"))
-                  .select(by, F.col("m.b_").alias("bstar"),
-                          (F.col("m.quota") - (F.col("m.cum") - F.col("m.nb"))).alias("need")))
-    boundary = checked_broadcast(boundary)
-    tagged = rows.join(boundary, by, "left")
-    at_b = tagged.where(F.col("b_") == F.col("bstar"))
-    w_b = Window.partitionBy(by, "b_").orderBy("h_", id_col)
-    at_b = at_b.withColumn(out, F.row_number().over(w_b) <= F.col("need"))
-    rest = tagged.where(~(F.col("b_") == F.col("bstar")) | F.col("bstar").isNull()).withColumn(
-        out, F.coalesce(F.col("b_") < F.col("bstar"), F.lit(False)))
-    return at_b.unionByName(rest).drop("h_", "b_", "bstar", "need", "cls_")
+    rows, (taken,) = _staged(df, by, [frac], seed, id_col)
+    return rows.select(*df.columns, taken.alias(out))
 
 
 def train_validate_test(df: DataFrame, by: str = "path_list", seed: int = 42,
                         id_col: str = "offer_id", presplit: str | None = None) -> DataFrame:
-    """80/20 train/test, then train 80/20 train/validate (64/16/20).
+    """80/20 train/test, then train 80/20 train/validate (64/16/20): both stages from one histogram.
 
     ``presplit`` names a column already holding 'train'/'test' (sources that come
     split skip the first stage)."""
-    if presplit is None:
-        first = stratified_split(df, by, 0.2, seed, id_col, "t1_")
-        first = first.withColumn("split", F.when(F.col("t1_"), "test").otherwise("train")).drop("t1_")
-    else:
+    if presplit is not None:
         first = df.withColumn("split", F.col(presplit))
-    train = first.where(F.col("split") == "train")
-    second = stratified_split(train, by, 0.2, seed, id_col, "t2_")
-    second = second.withColumn("split", F.when(F.col("t2_"), "validate").otherwise("train")).drop("t2_")
-    return second.unionByName(first.where(F.col("split") != "train"))
+        rows, (validate,) = _staged(first.where(F.col("split") == "train"), by, [0.2], seed, id_col)
+        second = rows.select(*[c for c in first.columns if c != "split"], F.when(validate, "validate").otherwise("train").alias("split"))
+        return second.unionByName(first.where(~F.col("split").eqNullSafe("train")))
+    rows, (test, held) = _staged(df, by, [0.2, 0.2], seed, id_col)
+    return rows.select(*[c for c in df.columns if c != "split"], F.when(test, "test").when(held, "validate").otherwise("train").alias("split"))
 
 
 def splits(df: DataFrame, names: list[str], split: str = "split") -> DataFrame:

@@ -206,3 +206,65 @@ def test_trained_fallback_predicts_zero_scores_only(spark, tmp_path):
     got = {(r.k, r.option): r.prediction for r in both.collect()}
     assert len(got) == 20 and got[2, "a"] == "none" and got[2, "b_fallback"] == "tools" and got[1, "a_fallback"] == "food"
     assert set(both.columns) == {"k", "title", "option", "prediction", "score"}
+
+
+def test_token_packing_does_not_depend_on_tasks(spark):
+    rows = [(i * 7 % 101, ["t%d_%d" % (i, j) for j in range(i % 9)]) for i in range(101)]
+    df = spark.createDataFrame(rows, "id long, tokens array<string>")
+    small, large = ({(r.batch, r.block): r.tokens for r in cp.pack_tokens(df, "id", block=4, batch=10, tokens_per_task=n, rows_per_bucket=m).collect()}
+                    for n, m in ((3, 4), (1 << 22, 1 << 20)))
+    by_id, want = sorted(rows), {}
+    for b in range(0, 101, 10):
+        stream = [t for _, ts in by_id[b:b + 10] for t in ts]
+        want |= {(b // 10, k): stream[4 * k:4 * k + 4] for k in range(len(stream) // 4)}
+    assert small == large == want
+    assert cp.pack_tokens(df.limit(0), "id").count() == 0
+
+
+def test_dedupe_moves_one_row_of_a_key_and_task(spark):
+    import random
+    pick = random.Random(1)
+    rows = [(i, pick.choice(["t" * 50, "u", "", None]), pick.choice(["b", "a", None, ""]), pick.choice([None, "x"])) for i in range(300)]
+    df = spark.createDataFrame(rows, "offer_id long, Title string, Category string, Breadcrumb string")
+    for empty in ("last", "first"):
+        out = of.dedupe_keep_first(df, "Title", ["Category", "Breadcrumb"], empty)
+        rank = lambda x: ((x is None) == (empty == "last"), x or "")
+        want = {}
+        for r in sorted(rows, key=lambda r: (rank(r[2]), rank(r[3]), r[0])):
+            want.setdefault(r[1], r)
+        assert {tuple(r) for r in out.collect()} == set(want.values()) and out.columns == df.columns
+    plan = of.dedupe_keep_first(df, "Title", ["Category"])._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_heavy_groups_are_cut_without_moving_rows(spark):
+    rows = [(i, "hot" if i % 2 else f"h{i % 5}" if i % 11 else None, "x" * 100) for i in range(400)]
+    df = spark.createDataFrame(rows, "offer_id long, Host string, Title string")
+    out = of.cap_heavy_groups(df, "Host", 50, 7)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.Host, []).append(r.offer_id)
+    sizes = {h: sum(r[1] == h for r in rows) for h in got}
+    assert sizes["hot"] == 200 and {h: len(x) for h, x in got.items()} == {h: 7 if n > 50 and h else n for h, n in sizes.items()}
+    import hashlib
+    best = sorted((hashlib.md5(f"42|{r[0]}".encode()).hexdigest(), r[0]) for r in rows if r[1] == "hot")[:7]
+    assert sorted(got["hot"]) == sorted(i for _, i in best)
+    assert of.cap_heavy_groups(df, "Host", 50, 0).where("Host = 'hot'").count() == 0
+
+
+def test_split_of_hot_and_rare_classes_in_one_histogram(spark):
+    import hashlib
+    rows = [(i, "hot" if i < 700 else None if i < 720 else f"c{i % 90}") for i in range(900)]
+    df = spark.createDataFrame(rows, "offer_id long, path_list string")
+    got = {r.offer_id: r.split for r in sp.train_validate_test(df).collect()}
+    assert len(got) == 900
+    order = sorted((i for i, c in rows if c == "hot"), key=lambda i: (hashlib.md5(f"42|{i}".encode()).hexdigest(), i))
+    labels = [got[i] for i in order]
+    assert labels == sorted(labels, key=["test", "validate", "train"].index)     # consecutive stretches of one order
+    assert 139 <= labels.count("test") <= 141 and 111 <= labels.count("validate") <= 113
+    single = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b")], "offer_id long, path_list string")
+    assert {r.split for r in sp.train_validate_test(single).where("path_list = 'a'").collect()} == {"train"}
+    pre = df.withColumn("given", F.expr("CASE WHEN offer_id % 4 = 0 THEN 'test' WHEN offer_id = 1 THEN NULL ELSE 'train' END"))
+    out = {r.offer_id: r.split for r in sp.train_validate_test(pre, presplit="given").collect()}
+    assert len(out) == 900 and all(out[i] == "test" for i in range(0, 900, 4)) and out[1] is None and "validate" in out.values()
+    assert sp.stratified_split(df.limit(0)).count() == 0
