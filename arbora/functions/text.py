@@ -150,12 +150,20 @@ def preprocess(t, lemma_map: Column | None = None) -> Column:
     return F.array_join(lemmatize_tokens(tokens(normalize(t)), lemma_map), " ")
 
 
+#: Bytes of a lemma table that becomes one map; a larger one is refused.
+LEMMA_MAX_BYTES = 64 << 20
+
+
 def lemma_map_of(lemmas: DataFrame, form: str = "form", lemma: str = "lemma") -> Column:
     """Scalar-subquery column holding the caller's lemma table as a map.
 
-    The lemma table is a vocabulary (bounded); attach the result with
-    ``withColumn`` before using it inside a higher-order function.
+    The map is one value that every task gets, so the table's bytes are checked first
+    (a vocabulary of a million forms fits). Attach the result with ``withColumn`` before using it inside a
+    higher-order function.
     """
+    size = lemmas.agg(F.sum(F.octet_length(form) + F.octet_length(lemma) + 16)).first()[0] or 0
+    if size > LEMMA_MAX_BYTES:
+        raise ValueError(f"lemma table of {size} bytes; at most {LEMMA_MAX_BYTES} become one map")
     return lemmas.select(F.map_from_entries(F.collect_list(F.struct(form, lemma)))).scalar()
 
 
@@ -267,14 +275,3 @@ STEPS = {
     "preprocess": preprocess,
     "lower": F.lower,
 }
-
-
-def clean_text(df: DataFrame, cols: list[str], steps: list[str]) -> DataFrame:
-    """Apply the named cleaning steps, in order, to each of ``cols``."""
-    out = df
-    for c in cols:
-        e = F.col(c)
-        for s in steps:
-            e = STEPS[s](e)
-        out = out.withColumn(c, e)
-    return out

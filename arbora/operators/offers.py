@@ -110,13 +110,15 @@ def searched_host_filter(df: DataFrame, hosts: DataFrame | None, url: str = "url
 
     Each URL is scanned once for all hosts (an Aho-Corasick automaton of the host list,
     built once per worker), so the work doesn't grow with rows x hosts. The list's bytes
-    are checked before it is shipped."""
+    are checked before it is shipped; a list that is too large isn't, URLs meet its hosts
+    through :func:`matching_patterns` then."""
     if hosts is None:
         return df
     h = hosts.select(F.col(host_col).alias("h_")).where("h_ is not null").distinct()
     size = h.agg(F.sum(F.octet_length("h_") + 32)).first()[0] or 0
     if size > HOSTS_MAX_BYTES:
-        raise ValueError(f"host list of {size} bytes; at most {HOSTS_MAX_BYTES} are shipped to the tasks")
+        found = matching_patterns(df.select(F.col(url).alias("u_")).distinct(), h, host="u_", pattern="h_").select("host_").distinct()
+        return df.join(found, F.col(url) == F.col("host_"), "left_semi")
     shared = df.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [r["h_"] for r in h.collect()]))
     names = df.columns
 
@@ -412,11 +414,26 @@ def match_list_keys(a: DataFrame, list_col: str, b: DataFrame, key_col: str,
 
 # ---------------------------------------------------------------- A1 / A2 / F7 / M13
 
-def distinct_hosts(df: DataFrame, url: str = "URL", approx: bool = False) -> DataFrame:
-    """A2: number of distinct hosts (exact, or HyperLogLog with ``approx``)."""
-    h = tf.extract_host(url)
-    agg = F.approx_count_distinct(h) if approx else F.count_distinct(h)
-    return df.agg(agg.cast("long").alias("n_hosts"))
+def distinct_hosts(df: DataFrame, url: str = "URL") -> DataFrame:
+    """A2: number of distinct hosts (exact; see :func:`host_sketches` for stored counts)."""
+    return df.agg(F.count_distinct(tf.extract_host(url)).cast("long").alias("n_hosts"))
+
+
+#: Size of a host sketch (2^k registers), and its relative standard error.
+SKETCH_BITS = 12
+SKETCH_ERROR = 1.04 / 2 ** (SKETCH_BITS / 2)
+
+
+def host_sketches(df: DataFrame, by: str, url: str = "URL") -> DataFrame:
+    """A2: ``(by, sketch)``: a HyperLogLog sketch of the distinct hosts of each file (or other
+    group). A sketch has a few kilobytes whatever it has seen; stored ones are merged
+    with those of new files, so a later run needn't read the old files again."""
+    return df.groupBy(by).agg(F.hll_sketch_agg(tf.extract_host(url), F.lit(SKETCH_BITS)).alias("sketch"))
+
+
+def merged_hosts(sketches: DataFrame, keys: list[str] | tuple = ()) -> DataFrame:
+    """A2: estimated number of distinct hosts of all sketches (per ``keys``), a host of several files counted once."""
+    return sketches.groupBy(*keys).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).cast("long").alias("n_hosts"))
 
 
 def duplicate_audit(df: DataFrame, title: str = "title", split: str = "split",

@@ -44,25 +44,6 @@ def contingency(a: DataFrame, b: DataFrame, keys: list[str], flag: str = "majori
                  F.count_if(~F.col("a_") & ~F.col("b_")).cast("long").alias("n00"))
 
 
-def paired_contingency(runs: DataFrame, keys: list[str], model: str, first: str, second: str,
-                       correct: str = "correct") -> DataFrame:
-    """A4+J7+A5 in one aggregation: runs of both models are co-grouped by
-    ``keys`` (item, level), each model's majority verdict is taken inside the
-    group, and only keys seen for both models count (inner-join semantics).
-    One shuffle instead of two group-bys and a join."""
-    c = F.col(correct).cast("int")
-    is_a, is_b = F.col(model) == first, F.col(model) == second
-    g = runs.groupBy(*keys).agg(
-        (F.sum(F.when(is_a, c)) * 2 > F.count(F.when(is_a, 1))).alias("a_"),
-        (F.sum(F.when(is_b, c)) * 2 > F.count(F.when(is_b, 1))).alias("b_"),
-        F.count(F.when(is_a, 1)).alias("na_"), F.count(F.when(is_b, 1)).alias("nb_"))
-    g = g.where((F.col("na_") > 0) & (F.col("nb_") > 0))
-    return g.agg(F.count_if(F.col("a_") & F.col("b_")).cast("long").alias("n11"),
-                 F.count_if(F.col("a_") & ~F.col("b_")).cast("long").alias("n10"),
-                 F.count_if(~F.col("a_") & F.col("b_")).cast("long").alias("n01"),
-                 F.count_if(~F.col("a_") & ~F.col("b_")).cast("long").alias("n00"))
-
-
 def paired_contingency_wide(runs: DataFrame, keys: list[str], correct: dict[int, str], model: str, first: str,
                             second: str) -> DataFrame:
     """A4+J7+A5 on runs with one verdict column per level: one group-by on ``keys`` sums

@@ -12,6 +12,8 @@ items against it goes through :func:`arbora.operators.guards.checked_broadcast`.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 ROOT_NAME = "Root"
@@ -95,39 +97,53 @@ def leaves(nodes: DataFrame) -> DataFrame:
     return nodes.join(parents, "id", "left_anti")
 
 
-def with_paths(nodes: DataFrame) -> DataFrame:
-    """Add ``path`` (node ids root->node, root excluded) and ``opath``
-    (the same path as per-parent child ordinals, 1-based).
+def _climbed(nodes: DataFrame, max_depth: int | None) -> DataFrame:
+    """``nodes`` (id, name, parent_id, ...) with ``pord``, ``path`` and ``opath`` by pointer doubling.
 
-    Parent hops are a fixed-depth self-join loop: every node walks up one level
-    per iteration against the (size-checked, broadcast) node table, so a tree of
-    depth D costs D-1 broadcast joins in one job.
+    Every node holds the upper end of the stretch of its path that is known and a pointer
+    to the node above; a join with the table itself doubles all stretches, so a tree of
+    depth D takes log2(D + 1) joins. Without ``max_depth`` each round asks whether any pointer
+    is left; more rounds than the number of nodes allows mean a cycle.
     """
-    from arbora.operators.guards import checked_broadcast
-    ordered = nodes.withColumn(
-        "pord", F.row_number().over(Window.partitionBy("parent_id").orderBy("id")).cast("int"))
-    ordered = checked_broadcast(ordered, bound=nodes)
-    max_depth = depth_of(nodes)
-    up = ordered.select(F.col("id").alias("a_id"), F.col("parent_id").alias("a_parent"),
-                        F.col("pord").alias("a_pord"))
-    empty = F.array().cast("array<int>")
+    from arbora.operators.guards import checked_broadcast, checked_rows
+    from arbora.session import cut_lineage
+    pord = F.row_number().over(Window.partitionBy("parent_id").orderBy("id")).cast("int")
     is_root = F.col("parent_id").isNull()
-    cur = ordered.select(
-        "id", "name", "parent_id", "depth", "pord",
-        F.when(is_root, empty).otherwise(F.array("id")).alias("path"),
-        F.when(is_root, empty).otherwise(F.array("pord")).alias("opath"),
-        F.col("parent_id").alias("next_"))
-    for _ in range(max(max_depth - 1, 0)):
-        stepped = cur.join(up, cur["next_"] == up["a_id"], "left")
-        climb = F.col("a_parent").isNotNull()
-        cur = stepped.select(
-            "id", "name", "parent_id", "depth", "pord",
-            F.when(climb, F.concat(F.array("a_id"), "path")).otherwise(F.col("path")).alias("path"),
-            F.when(climb, F.concat(F.array("a_pord"), "opath")).otherwise(F.col("opath")).alias("opath"),
-            F.col("a_parent").alias("next_"))
+    empty = F.array().cast("array<int>")
+    cur = nodes.withColumn("pord", pord).select(
+        *nodes.columns, "pord", F.when(is_root, empty).otherwise(F.array(F.col("id").cast("int"))).alias("path"),
+        F.when(is_root, empty).otherwise(F.array("pord")).alias("opath"), F.col("parent_id").alias("next_"))
+    rounds = math.ceil(math.log2((max_depth if max_depth is not None else checked_rows(nodes)) + 1))
+    for k in range(rounds + (max_depth is None)):
+        if max_depth is None:
+            cur = cut_lineage(cur)  # a plan that joins itself would double each round
+            if cur.where("next_ IS NOT NULL").isEmpty():
+                break
+            if k == rounds:
+                raise ValueError("the edges hold a cycle")
+        up = checked_broadcast(cur.select(F.col("id").alias("a_id"), F.col("path").alias("a_path"), F.col("opath").alias("a_opath"),
+                                          F.col("next_").alias("a_next")), bound=nodes)
+        # a node whose parent isn't in the table ends there
+        cur = cur.join(up, cur["next_"] == up["a_id"], "left").select(
+            *nodes.columns, "pord", F.coalesce(F.concat("a_path", "path"), "path").alias("path"),
+            F.coalesce(F.concat("a_opath", "opath"), "opath").alias("opath"), F.col("a_next").alias("next_"))
     return cur.drop("next_")
 
 
+def with_paths(nodes: DataFrame) -> DataFrame:
+    """Add ``path`` (node ids root->node, root excluded) and ``opath``
+    (the same path as per-parent child ordinals, 1-based), by pointer doubling
+    against the (size-checked, broadcast) node table."""
+    return _climbed(nodes.select(*NODE_COLS), depth_of(nodes))
+
+
+def taxonomy_from_edges(edges: DataFrame) -> DataFrame:
+    """Node table with paths from ``(id, name, parent_id)`` rows of any depth, for trees
+    that are read without one: ``depth`` is the length of the path. Ragged trees and several
+    roots (parent NULL) are fine; a cycle is an error."""
+    return _climbed(edges.select("id", "name", "parent_id"), None).withColumn("depth", F.size("path").cast("int"))
+
+
 def depth_of(nodes: DataFrame) -> int:
     """Maximum depth of a node table (one small job, remembered on the object)."""
     d = getattr(nodes, "_arbora_max_depth", None)
@@ -137,23 +153,6 @@ def depth_of(nodes: DataFrame) -> int:
     return d
 
 
-def depth_from_edges(nodes: DataFrame) -> DataFrame:
-    """Depth of every node of an ``(id, name, parent_id)`` table of any depth, with
-    a recursive CTE (for trees read from files that carry no depth)."""
-    return nodes.sparkSession.sql(
-        """
-        WITH RECURSIVE walk(id, depth) AS (
-          SELECT id, 0 FROM {t} WHERE parent_id IS NULL
-          UNION ALL
-          SELECT c.id, w.depth + 1 FROM {t} c JOIN walk w ON c.parent_id = w.id
-        )
-        SELECT t.id, t.name, t.parent_id, CAST(w.depth AS INT) AS depth
-        FROM {t} t JOIN walk w ON t.id = w.id
-        """,
-        t=nodes.select("id", "name", "parent_id"),
-    )
-
-
 def scorer_path(path: Column, node_id: Column) -> Column:
     """H5 scorer variant: a root (empty path) maps to ``[root]`` (out of category)."""
     return F.when(F.size(path) == 0, F.array(node_id)).otherwise(path)

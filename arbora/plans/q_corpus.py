@@ -14,10 +14,10 @@ from arbora.plans.q_text import d_preprocess, d_sentences
 from arbora.plans.registry import query
 from arbora.session import table
 
-CONFIGS = [
-    {"category": True, "category_reverse": False, "description": True, "multiple_rows": True, "additional_ds": True},
-    {"category": True, "category_reverse": True, "description": True, "multiple_rows": False, "additional_ds": False},
-]
+#: L4: every combination of the corpus flags (categories can only be reversed where there are any).
+CONFIGS = [dict(zip(cp.FLAG_ORDER, (category, reverse, description, rows, extra)))
+           for category, reverse in ((False, False), (True, False), (True, True))
+           for description in (False, True) for rows in (False, True) for extra in (False, True)]
 SUFFIX = "events"
 
 
@@ -44,6 +44,36 @@ _CATS = f"array_to_string(list_transform({_d_labels('path_list')}, lambda z: {d_
 _CATS_REV = f"array_to_string(list_reverse(list_transform({_d_labels('path_list')}, lambda z: {d_preprocess('z')})), ' ')"
 _XT, _XD = d_preprocess("Title"), d_sentences("Description")
 
+
+
+def _sql_struct(config: dict, lines: list[str]) -> str:
+    return ", ".join(f"{{'variant': '{cp.variant_name(config, SUFFIX)}', 'line': {x}}}" for x in lines)
+
+
+def _sql_lines(config: dict) -> str:
+    """The lines of one variant from the cleaned columns of an offer."""
+    line, lines = "t", []
+    for flag, part in (("category", "c_rev" if config["category_reverse"] else "c"), ("description", "d")):
+        if config[flag] and config["multiple_rows"]:
+            lines.append(f"{line} || ' - ' || {part}")
+        elif config[flag]:
+            line = f"{line} || ' - ' || {part}"
+    return _sql_struct(config, lines if config["multiple_rows"] else [line])
+
+
+def _sql_extra_lines(config: dict) -> str:
+    """The lines of one variant from an offer of the extra corpus, whose parts may be missing."""
+    cats = "list_reverse(cats)" if config["category_reverse"] else "cats"
+    line, lines = "t", []
+    for flag, there, part in (("category", "len(cats) > 0", f"array_to_string({cats}, ' ')"), ("description", "has_d", "d")):
+        new = f"CASE WHEN {there} THEN {line} || ' - ' || {part} END"
+        if config[flag] and config["multiple_rows"]:
+            lines.append(new)
+        elif config[flag]:
+            line = f"coalesce({new}, {line})"
+    return _sql_struct(config, [*lines, line])
+
+
 _CORPUS_SQL = ("WITH " + st.SQL_QUADS + "," + qo._RUNS + "," + qo._ROUTED + "," + qo._FOLD + """,
 src AS (SELECT doc_id AS id, lang || '>' || source AS cls FROM documents),""" + _sql_split("src", "s1") + """,
 train1 AS (SELECT id, cls FROM s1 WHERE NOT is_test),""" + _sql_split("train1", "s2") + """,
@@ -59,15 +89,12 @@ extra AS (
          list_filter([NULLIF(Category, ''), NULLIF(Breadcrumb, ''), NULLIF(BreadcrumbList, '')], lambda x: x IS NOT NULL) AS cats
   FROM offers
 ),
+clean_docs AS (SELECT split, """ + f"{_T} AS t, {_CATS} AS c, {_CATS_REV} AS c_rev, {_D} AS d" + """ FROM docs),
+clean_extra AS (SELECT """ + f"{_XT} AS t, {_XD} AS d" + """, length(Description) > 0 AS has_d, cats FROM extra),
 lines AS (
-  SELECT split, '""" + cp.variant_name(CONFIGS[0], SUFFIX) + f"""' AS variant, {_T} || ' - ' || {_CATS} AS line FROM docs
-  UNION ALL SELECT split, '{cp.variant_name(CONFIGS[0], SUFFIX)}', {_T} || ' - ' || {_D} FROM docs
-  UNION ALL SELECT split, '{cp.variant_name(CONFIGS[1], SUFFIX)}', {_T} || ' - ' || {_CATS_REV} || ' - ' || {_D} FROM docs
-  UNION ALL SELECT 'train', '{cp.variant_name(CONFIGS[0], SUFFIX)}',
-         CASE WHEN len(cats) > 0 THEN {_XT} || ' - ' || array_to_string(cats, ' ') END FROM extra
-  UNION ALL SELECT 'train', '{cp.variant_name(CONFIGS[0], SUFFIX)}',
-         CASE WHEN length(Description) > 0 THEN {_XT} || ' - ' || {_XD} END FROM extra
-  UNION ALL SELECT 'train', '{cp.variant_name(CONFIGS[0], SUFFIX)}', {_XT} FROM extra
+  SELECT split, l.variant, l.line FROM (SELECT split, unnest([""" + ", ".join(_sql_lines(c) for c in CONFIGS if _sql_lines(c)) + """]) AS l FROM clean_docs)
+  UNION ALL
+  SELECT 'train', l.variant, l.line FROM (SELECT unnest([""" + ", ".join(_sql_extra_lines(c) for c in CONFIGS if c["additional_ds"]) + """]) AS l FROM clean_extra)
 )
 SELECT split, variant, line FROM lines WHERE line IS NOT NULL
 """)
@@ -75,8 +102,9 @@ SELECT split, variant, line FROM lines WHERE line IS NOT NULL
 
 @query("corpus_lines_documents", _CORPUS_SQL)
 def corpus_lines_documents(spark, sf):
-    """Corpus lines of two variants over the train/validate
-    splits of document offers, plus the quad-extracted offers (L2) once for train."""
+    """Corpus lines of all 24 variants over the train/validate
+    splits of document offers, plus the quad-extracted offers (L2) once for train; texts
+    are cleaned once, whatever the number of variants."""
     offers = _doc_offers_split(spark, sf)
     extra = of.fold_offers(st.quads_from_events(spark, sf))
     return cp.corpus(offers, CONFIGS, extra=extra, suffix=SUFFIX)

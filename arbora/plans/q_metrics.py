@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from arbora.operators import metrics as m
+from arbora.operators import taxonomy as tx
 from arbora.plans import standins as st
+from arbora.plans.q_taxonomy import _SQL_DEEP, _deep_edges
 from arbora.plans.registry import query
 from arbora.session import table
 
@@ -237,3 +239,42 @@ bundle_long AS (
   UNION ALL SELECT {k}, 'average_macro_rec', avg(macro_rec) FROM scored WHERE scope <> 'leaf' GROUP BY {k}
   UNION ALL SELECT {k}, 'average_macro_f1', avg(macro_f1) FROM scored WHERE scope <> 'leaf' GROUP BY {k}
 )"""
+
+
+#: Levels of the ragged part tree that are scored; items whose path ends above are padded there.
+PADDED_LEVELS = (1, 15, 30, 45)
+
+
+@query("metrics_padded_levels_parts", "WITH RECURSIVE " + _SQL_DEEP + f""",
+it AS (SELECT l_partkey + 1 AS label_id, (l_partkey * 7 + l_suppkey) % (SELECT count(*) FROM part) + 1 AS pred_id FROM lineitem),
+lv AS (SELECT k AS level, l.path[k] AS label, coalesce(p.path[k], -1) AS pred
+       FROM it JOIN deep_walk l ON l.id = label_id JOIN deep_walk p ON p.id = pred_id, (SELECT unnest({list(PADDED_LEVELS)}) AS k)
+       WHERE len(l.path) >= k),
+c AS (SELECT level, label, sum(tp) AS tp, sum(sup) AS sup, sum(np) AS np FROM (
+        SELECT level, label, CAST(label = pred AS BIGINT) AS tp, 1 AS sup, 0 AS np FROM lv
+        UNION ALL SELECT level, pred, 0, 0, 1 FROM lv) GROUP BY ALL),
+pr AS (SELECT *, CASE WHEN np = 0 THEN 0.0 ELSE tp / np END AS p, CASE WHEN sup = 0 THEN 0.0 ELSE tp / sup END AS r,
+              CASE WHEN np + sup = 0 THEN 0.0 ELSE 2 * tp / (np + sup) END AS f FROM c)
+SELECT CAST(level AS INTEGER) AS level, round(sum(sup * p) / sum(sup), 6) AS weighted_prec, round(sum(tp) / sum(sup), 6) AS weighted_rec,
+       round(sum(sup * f) / sum(sup), 6) AS weighted_f1, round(avg(f), 6) AS macro_f1
+FROM pr GROUP BY level
+""")
+def metrics_padded_levels_parts(spark, sf):
+    """Levels of a ragged tree scored without the items that are padded there."""
+    nodes = tx.taxonomy_from_edges(_deep_edges(spark, sf)).select("id", "path")
+    n = table(spark, sf, "part").select(F.count("*")).scalar()
+    items = table(spark, sf, "lineitem").select((F.col("l_partkey") + 1).alias("label_id"), ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % n + 1).alias("pred_id"))
+    # items are reduced to distinct pairs of nodes with a count before paths are attached
+    pairs = items.groupBy("label_id", "pred_id").agg(F.count("*").alias("n"))
+    withp = pairs.join(nodes.select(F.col("id").alias("label_id"), F.col("path").alias("lp")), "label_id") \
+                 .join(nodes.select(F.col("id").alias("pred_id"), F.col("path").alias("pp")), "pred_id")
+    level = F.explode(F.array(*map(F.lit, PADDED_LEVELS))).alias("level")
+    at = lambda path: F.coalesce(F.try_element_at(path, F.col("level")), F.lit(-1))
+    lv = withp.select("n", "lp", "pp", level).select("n", "level", at("lp").alias("label"), at("pp").alias("pred"))
+    lv = m.drop_padding(lv, "label", -1).groupBy("level", "label", "pred").agg(F.sum("n").alias("n"))
+    counts = lv.select("level", F.inline(F.array(
+        F.struct(F.col("label"), F.when(F.col("label") == F.col("pred"), F.col("n")).otherwise(0).alias("tp"), F.col("n").alias("sup"), F.lit(0).cast("long").alias("np")),
+        F.struct(F.col("pred").alias("label"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("sup"), F.col("n").alias("np")))))
+    counts = counts.groupBy("level", "label").agg(*[F.sum(c).alias(c) for c in ("tp", "sup", "np")])
+    return m.prf(counts, ["level"]).select("level", *[_r(c) for c in ("weighted_prec", "weighted_rec", "weighted_f1", "macro_f1")])
+

@@ -9,7 +9,7 @@ from arbora.operators import offers as of
 from arbora.plans import standins as st
 from arbora.plans.q_text import d_preprocess, d_strip
 from arbora.plans.registry import query
-from arbora.session import table
+from arbora.session import scratch_path, table
 
 ORDER = ["Category", "Breadcrumb", "BreadcrumbList", "Description"]
 
@@ -297,6 +297,33 @@ def offers_distinct_hosts(spark, sf):
     return of.distinct_hosts(table(spark, sf, "pages"), url="url")
 
 
+@query("offers_host_sketches", """
+WITH h AS (
+  SELECT 'documents' AS run, replace(split_part(split_part(replace(replace(replace('http://www.' || source || '.example.com/', '<', ''), 'https://', ''),
+         'http://', ''), '/', 1), '?', 1), 'www.', '') AS host FROM documents
+  UNION ALL
+  SELECT 'pages', replace(split_part(split_part(replace(replace(replace(url, '<', ''), 'https://', ''), 'http://', ''), '/', 1), '?', 1), 'www.', '') FROM pages
+)
+SELECT run, CAST(count(DISTINCT host) AS BIGINT) AS n_exact, true AS within_error FROM h GROUP BY run
+UNION ALL SELECT 'both', CAST(count(DISTINCT host) AS BIGINT), true FROM h
+""")
+def offers_host_sketches(spark, sf):
+    """A2: host sketches of one run, stored, read back and merged with those of the next, against exact counts."""
+    docs = st.offers_from_documents(spark, sf).select("file", "URL")
+    pages = table(spark, sf, "pages").select(F.split_part("url", F.lit("/"), F.lit(4)).alias("file"), F.col("url").alias("URL"))
+    path = scratch_path(spark, "host-sketches")
+    of.host_sketches(docs, "file").select(F.lit("documents").alias("run"), "sketch").write.parquet(path)
+    sketches = spark.read.parquet(path).unionByName(of.host_sketches(pages, "file").select(F.lit("pages").alias("run"), "sketch"))
+    estimates = of.merged_hosts(sketches, ["run"]).unionByName(of.merged_hosts(sketches).select(F.lit("both").alias("run"), "n_hosts"))
+    exact = {"documents": docs, "pages": pages, "both": docs.unionByName(pages)}
+    counts = None
+    for run, rows in exact.items():
+        one = of.distinct_hosts(rows).select(F.lit(run).alias("run"), F.col("n_hosts").alias("n_exact"))
+        counts = one if counts is None else counts.unionByName(one)
+    near = F.abs(F.col("n_hosts") - F.col("n_exact")) <= 4 * of.SKETCH_ERROR * F.col("n_exact")
+    return counts.join(estimates, "run").select("run", "n_exact", near.alias("within_error"))
+
+
 @query("offers_list_keys", """
 WITH a AS (
   SELECT l_orderkey AS o_id, '[' || string_agg('''' || CAST(l_partkey AS VARCHAR) || '''', ', ' ORDER BY l_linenumber) || ']' AS gtins

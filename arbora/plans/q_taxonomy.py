@@ -224,3 +224,53 @@ def taxonomy_diff_t2(spark, sf):
     b_offers = st.t2_offers(spark, sf).join(returned, "offer_id", "left_semi")
     b = tx.taxonomy_from_levels(b_offers, st.T_LEVELS, "offer_id")
     return tx.diff(a, b).select("name_path", "status")
+
+
+#: Parts as a ragged tree: blocks of 150 parts, each the child of one of the three before it (the first of a block is a child of the root).
+_SQL_DEEP = """
+deep AS (
+  SELECT 0 AS id, 'Root' AS name, CAST(NULL AS BIGINT) AS parent_id
+  UNION ALL
+  SELECT p_partkey + 1, p_name, CASE WHEN p_partkey % 150 = 0 THEN 0
+         ELSE greatest(p_partkey - p_partkey % 150 + 1, p_partkey - p_size % 3) END FROM part
+),
+deep_walk(id, path, opath) AS (
+  SELECT id, CAST([] AS BIGINT[]), CAST([] AS BIGINT[]) FROM deep WHERE parent_id IS NULL
+  UNION ALL
+  SELECT c.id, list_append(w.path, c.id), list_append(w.opath, c.pord)
+  FROM (SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY id) AS pord FROM deep) c JOIN deep_walk w ON c.parent_id = w.id
+)"""
+
+
+def _deep_edges(spark, sf):
+    k, first = F.col("p_partkey"), F.col("p_partkey") - F.col("p_partkey") % 150
+    parent = F.when(k % 150 == 0, 0).otherwise(F.greatest(first + 1, k - F.col("p_size") % 3))
+    root = spark.range(1).select(F.lit(0).alias("id"), F.lit("Root").alias("name"), F.lit(None).cast("int").alias("parent_id"))
+    return root.unionByName(table(spark, sf, "part").select((k + 1).cast("int").alias("id"), F.col("p_name").alias("name"), parent.cast("int").alias("parent_id")))
+
+
+@query("taxonomy_deep_edges_parts", "WITH RECURSIVE " + _SQL_DEEP + """
+SELECT d.id, d.parent_id, len(path) AS depth, array_to_string(path, ',') AS path, array_to_string(opath, ',') AS opath,
+       d.parent_id IS NULL AS is_root, d.id NOT IN (SELECT parent_id FROM deep WHERE parent_id IS NOT NULL) AS is_leaf
+FROM deep d JOIN deep_walk USING (id)
+""")
+def taxonomy_deep_edges_parts(spark, sf):
+    """Paths of a ragged tree of unknown depth (more than 50 levels), from its edges alone."""
+    nodes = tx.taxonomy_from_edges(_deep_edges(spark, sf))
+    roots, leaves = tx.roots(nodes).select("id", F.lit(True).alias("is_root")), tx.leaves(nodes).select("id", F.lit(True).alias("is_leaf"))
+    no = F.lit(False)
+    return nodes.join(roots, "id", "left").join(leaves, "id", "left").select(
+        "id", "parent_id", "depth", _s("path").alias("path"), _s("opath").alias("opath"),
+        F.coalesce("is_root", no).alias("is_root"), F.coalesce("is_leaf", no).alias("is_leaf"))
+
+
+@query("taxonomy_unknown_names_t2", _T2 + """
+SELECT offer_id, lvl2 || '/' || title AS name FROM t2_offers
+WHERE lvl2 || '/' || title NOT IN (SELECT name FROM t2_nodes) UNION ALL
+SELECT offer_id, lvl3 FROM t2_offers WHERE lvl3 NOT IN (SELECT name FROM t2_nodes)
+""")
+def taxonomy_unknown_names_t2(spark, sf):
+    """Offer labels (whole titles and nouns under the brand) that the taxonomy lacks."""
+    o = st.t2_offers(spark, sf)
+    names = o.select("offer_id", F.explode(F.array(F.concat("lvl2", F.lit("/"), "title"), "lvl3")).alias("name"))
+    return tx.unknown_names(names, "name", st.t2_nodes(spark, sf)).select("offer_id", "name")

@@ -190,3 +190,46 @@ def test_successor_decode(spark, tree, scores, expected):
 def test_successor_decode_of_no_scores(spark, tree):
     none = spark.createDataFrame([], "item string, level int, ordinal int, logp double")
     assert cl.successor_decode(none, tree, ["item"], 0.5).count() == 0
+
+
+def test_trees_of_unknown_depth(spark):
+    chain = [(0, "Root", None), *[(i, f"n{i}", i - 1) for i in range(1, 60)], (100, "x", 3), (200, "other root", None), (201, "y", 200), (300, "lost", 999)]
+    out = {r.id: r for r in tx.taxonomy_from_edges(spark.createDataFrame(chain, "id int, name string, parent_id int")).collect()}
+    assert len(out) == len(chain) and all(list(out[i].path) == list(range(1, i + 1)) and out[i].depth == i for i in range(60))
+    assert list(out[100].path) == [1, 2, 3, 100] and list(out[100].opath) == [1, 1, 1, 2]
+    assert out[200].depth == 0 and list(out[201].path) == [201] and list(out[300].path) == [300]
+    with pytest.raises(ValueError):
+        tx.taxonomy_from_edges(spark.createDataFrame([(0, "Root", None), (1, "a", 2), (2, "b", 1)], "id int, name string, parent_id int")).count()
+
+
+def test_padding_is_dropped(spark):
+    df = spark.createDataFrame([(1, 1), (-1, 2), (3, -1)], "label int, pred int")
+    assert [(r.label, r.pred) for r in m.drop_padding(df).orderBy("label").collect()] == [(1, 1), (3, -1)]
+
+
+def test_host_sketches_merge(spark):
+    df = spark.range(20000).selectExpr("id % 7 AS file", "concat('http://www.h', id % 9000, '.org/x') AS URL")
+    n = of.merged_hosts(of.host_sketches(df, "file")).first().n_hosts
+    assert abs(n - 9000) <= 4 * of.SKETCH_ERROR * 9000 and of.distinct_hosts(df).first().n_hosts == 9000
+    assert of.merged_hosts(of.host_sketches(df.limit(0), "file")).first().n_hosts in (0, None)
+
+
+def test_lemma_tables_are_checked(spark, monkeypatch):
+    lemmas = spark.createDataFrame([("apples", "apple")], "form string, lemma string")
+    assert spark.range(1).select(tf.lemma_map_of(lemmas).alias("m")).first().m == {"apples": "apple"}
+    monkeypatch.setattr(tf, "LEMMA_MAX_BYTES", 5)
+    with pytest.raises(ValueError):
+        tf.lemma_map_of(lemmas)
+
+
+def test_all_corpus_variants():
+    from arbora.plans.q_corpus import CONFIGS
+    assert len(CONFIGS) == len({cp.variant_name(c, "x") for c in CONFIGS}) == 24
+
+
+def test_searched_hosts_beyond_the_shipped_size(spark, monkeypatch):
+    df = spark.createDataFrame([("http://a.org/x",), ("http://bb.org/y",), (None,), ("http://c.org",), ("http://a.org/x",)], "URL string")
+    hosts = spark.createDataFrame([("a.org",), ("c",), (None,)], "host string")
+    small = sorted(r.URL for r in of.searched_host_filter(df, hosts, url="URL").collect())
+    monkeypatch.setattr(of, "HOSTS_MAX_BYTES", 1)
+    assert sorted(r.URL for r in of.searched_host_filter(df, hosts, url="URL").collect()) == small == ["http://a.org/x"] * 2 + ["http://c.org"]
