@@ -8,7 +8,9 @@ import re
 import numpy as np
 
 # Elements of HTML by role.
-RAW = {"script", "style", "noscript", "template", "iframe", "svg", "title", "head", "object", "math", "audio", "video", "canvas"}
+RAW = {"script", "style", "iframe", "title"}
+#: Elements whose content isn't shown as text; one that is never closed holds nothing back.
+HIDDEN = {"noscript", "template", "svg"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt",
           "fieldset", "figcaption", "figure", "footer", "form", "frameset", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr",
@@ -35,10 +37,13 @@ HINTS = {
     "share": "share sharing social follow facebook twitter tools meta byline author tags",
 }
 _HINT_OF = {w: k for k, words in enumerate(HINTS.values()) for w in words.split()}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>\x00]*)"
+                    # attributes: a quote counts where a value begins, nowhere else
+                    r"((?>[\s/]+|=?[^\s/>=]+(?>\s*=\s*(?>\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s>]*))?|=)*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NAME = re.compile(r"[a-z]+")
-_RAW_END = {t: re.compile(rf"</{t}\s*>|\Z", re.I) for t in RAW}
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)|\Z", re.I) for t in RAW}
+_HIDDEN_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in HIDDEN}
 #: An attribute that marks what training pages hold as main text.
 MARK = "data-is-main"
 TEXT = "#text"
@@ -107,9 +112,15 @@ def parse(page: str | None) -> list[Node]:
             anchors = max(0, anchors + (-1 if closing else 1))
             continue
         if tag in RAW:
-            if not closing and tag != "head" and not m.group().endswith("/>"):
+            if not closing:
                 at = _RAW_END[tag].search(page, at).end()
             continue
+        if tag in HIDDEN:
+            end_tag = None if closing or m.group().endswith("/>") else _HIDDEN_END[tag].search(page, at)
+            at = end_tag.end() if end_tag else at
+            continue
+        if tag == "head":
+            continue
         if tag == "br":
             run.append(" ")
             continue

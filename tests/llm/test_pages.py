@@ -89,3 +89,34 @@ def test_decoding_keeps_no_node_below_a_left_out_one():
             if all(not c[k] or k == 0 or c[x.parent] for k, x in enumerate(nodes)):
                 best = max(best, sum(np.log(p[k] if c[k] else 1 - p[k]) for k in range(len(nodes))))
         assert np.isclose(best, sum(np.log(p[k] if choice[k] else 1 - p[k]) for k in range(len(nodes))), atol=1e-6)
+
+
+@pytest.mark.parametrize("page, blocks", [
+    ("<p class=don't>Hello world</p><p>it's fine</p>", ["Hello world", "it's fine"]),
+    ("<p>x</p><audio controls><p>rest one</p>", ["x", "rest one"]),
+    ("<p>area <math><mi>a</mi><mo>=</mo><mi>b</mi></math> here</p>", ["area a=b here"]),
+    ("<p>a</p><svg><text>no</text></svg><p>b</p><svg><p>c</p>", ["a", "b", "c"]),
+    ("<p>a</p><noscript><p>no</p></noscript><template><p>no</p></template><p>b</p>", ["a", "b"]),
+    ("<p>a</p><script>if (a < b) '</p>'</script ><p>b</p><style>p > q", ["a", "b"]),
+    ("<p title=\"a > b\" data-x='c > d' e = f>kept</p>", ["kept"]),
+    ("<p a=\"1\"b='2'c=3/>t</p><p =x>u</p><p \"q\">v</p>", ["t", "u", "v"]),
+    ("<p title='never closed>lost</p><p>all", []),
+    ("<canvas>drawn</canvas><object data=x><p>instead</p></object>", ["drawn", "instead"]),
+    ("", []), (None, []), ("plain &amp; simple", ["plain & simple"]),
+])
+def test_blocks_of_odd_markup(page, blocks):
+    assert [x.text for x in dom.parse(page) if x.tag == dom.TEXT] == blocks
+
+
+def test_tags_of_any_length_are_parsed_in_linear_time():
+    import time
+    start = time.time()
+    assert not any(x.text for x in dom.parse("<p " + "a='1' b=2 / = " * 40_000))
+    assert len(dom.parse("<p " + "a=\"x\"" * 40_000 + ">t")) == 3
+    assert time.time() - start < 5
+
+
+def test_urls_with_line_breaks_come_back(frame):
+    urls = ["http://a/\r\nx", "http://b/%0D", "", None, "é \n"]
+    df = frame([(i, u, "html") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    assert {r.page_id: r.url for r in warc.archived(df).collect()} == dict(enumerate(urls))
