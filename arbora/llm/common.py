@@ -23,6 +23,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a written table that is sent to every task.
+SMALL_ROWS = 500_000
+
+
+def small(table: DataFrame) -> DataFrame:
+    """A written table of narrow rows, to be broadcast if it has at most SMALL_ROWS of them; a larger one is joined by a shuffle."""
+    return F.broadcast(table) if table.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else table
+
+
 def placed(df: DataFrame, part: str, row: str) -> DataFrame:
     """``df`` with the places of its rows: sorted by (``part``, ``row``) they are as they were written.
 

@@ -12,6 +12,7 @@ Archives are written and read through Arrow's file systems, by the URI of the sh
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -20,7 +21,7 @@ import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, functions as F
 
-from arbora.llm.common import written
+from arbora.llm.common import small, written
 from arbora.session import scratch_path
 
 #: Smallest payload that may become a revisit record; bytes after which a task begins another archive; payload bytes for a task.
@@ -43,6 +44,7 @@ def record_types(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     long_enough = F.octet_length("html") >= least_bytes
     first = (rows.where(long_enough).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
              .where("n > 1 and first is not null").select(F.col("digest").alias("same"), "first"))
+    first = small(written(first, "warc-repeated"))  # html moves only if very many payloads repeat
     joined = rows.join(first, (F.col("digest") == F.col("same")) & long_enough, "left")
     return joined.select("page_id", "url", "html", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
@@ -53,7 +55,7 @@ def record_id(page_id: int | None, digest: str) -> str:
 
 def _value(text: str | None) -> str:
     """A header value on one line."""
-    return (text or "").replace("\r", "%0D").replace("\n", "%0A")
+    return text.replace("\r", "%0D").replace("\n", "%0A")
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
@@ -65,6 +67,8 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
             f"Content-Length: {len(block)}"]
     if url is not None:
         head.append(f"WARC-Target-URI: {_value(url)}")
+        if _value(url) != url:
+            head.append(f"X-Page-URL: {json.dumps(url)}")  # as it was given, line breaks and all
     if page_id is not None:
         head.append(f"X-Page-ID: {page_id}")
     if refers_to is not None:
@@ -175,7 +179,8 @@ def read_records(index: DataFrame, folder: str, with_payload: bool = False) -> D
                         if kind == "response" and (hashlib.sha256(payload).hexdigest() != digest or len(payload) != full):
                             raise ValueError(f"damaged record in {name} at {offsets[a + k]}")
                         page, refers = (fields.get(x) for x in ("X-Page-ID", "X-Refers-To-Page-ID"))
-                        rows.append((page and int(page), fields.get("WARC-Target-URI"), full, digest, kind, refers and int(refers),
+                        url = json.loads(fields["X-Page-URL"]) if "X-Page-URL" in fields else fields.get("WARC-Target-URI")
+                        rows.append((page and int(page), url, full, digest, kind, refers and int(refers),
                                      payload.decode() if with_payload and kind == "response" else None))
                     kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())[:6 + with_payload]
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)],
@@ -183,7 +188,8 @@ def read_records(index: DataFrame, folder: str, with_payload: bool = False) -> D
 
     total = index.agg(F.sum("length")).first()[0] or 0
     wanted = index.select("file", "offset", "length", F.floor(F.col("offset") / STRETCH).alias("stretch"))
-    wanted = _in_tasks(wanted.repartition("file", "stretch"), total, STRETCH)
+    # tasks by the bytes to read: index rows are far too small to tell
+    wanted = wanted.repartition(max(2 * index.sparkSession.sparkContext.defaultParallelism, -(-total // STRETCH)), "file", "stretch")
     return wanted.sortWithinPartitions("file", "offset").mapInArrow(batches, schema)
 
 
