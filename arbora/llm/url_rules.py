@@ -105,7 +105,9 @@ def judge_urls(df: DataFrame, rules: DataFrame, url: str = "url", default: str =
     found = stacks.where(F.size("stack") > 0).select("key", F.array_max("stack").alias("best"))
     best = (keys.join(found, "key").groupBy("host", "path")
             .agg(F.max(F.struct("best.length", "best.host_length", "best.rule", "best.verdict")).alias("best")))
-    out = rows.join(best, ["host", "path"], "left").select(
-        ROW, "host", "path", F.col("best.rule").alias("rule"),
+    # rows without a host find no rule: a key of their own each keeps them from meeting in one task
+    own = F.when(F.col("host") == "", F.concat(F.lit(" "), F.monotonically_increasing_id().cast("string"))).otherwise(F.col("host"))
+    out = rows.withColumn("own", own).alias("r").join(best.alias("b"), F.expr("r.own = b.host AND r.path = b.path"), "left").select(
+        ROW, "r.host", "r.path", F.col("best.rule").alias("rule"),
         F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
     return unpacked(out, df.columns, ["host", "path", "rule", "verdict"])
