@@ -82,6 +82,33 @@ def test_neighbours_with_ties_and_odd_rows(frame, monkeypatch):
     assert permutation_index.search(df.limit(0), df).count() == 0
 
 
+def test_neighbours_of_each_dimension_by_itself(frame):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(120, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    alone = frame(rows, "vec_id long, embedding array<double>")
+    mixed = frame(rows + [(1000, [1.0, 0.0]), (1050, [1.0, 0.1]), (1001, [0.0, 1.0]), (1100, [3.0])], "vec_id long, embedding array<double>")
+    ask = lambda df: sorted(map(tuple, permutation_index.search(df, df.where("vec_id % 50 = 0"), k=3).collect()))
+    one, both = ask(alone), ask(mixed)
+    assert [r for r in both if r[0] < 1000] == one and len(one) == 9
+    assert [r[:3] for r in both if r[0] >= 1000] == [(1000, 1, 1050), (1000, 2, 1001), (1050, 1, 1000), (1050, 2, 1001)]
+
+
+def test_files_that_are_read_follow_the_structure(frame):
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(60, 24))
+    x = centres[rng.integers(0, 60, 1500)] + 0.05 * rng.normal(size=(1500, 24))
+    index = permutation_index.measured(x, 5, 1_000_000)
+    loose = permutation_index.measured(rng.normal(size=(1500, 24)), 5, 1_000_000)
+    assert index.files <= 40 < loose.files < len(loose.pivots) and index.share < 0.2
+    df = frame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got, truth = {}, nearest(x, np.arange(1500), range(0, 1500, 50))
+    for r in permutation_index.search(df, df.where("vec_id % 50 = 0")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert all(len(v) == 5 for v in got.values())
+    assert np.mean([len(got[q] & {a for a, _ in truth[q]}) / 5 for q in truth]) >= 0.9
+
+
 def test_pipeline_stages_by_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     before = docs
