@@ -85,8 +85,8 @@ FROM l JOIN f ON f.depth = l.depth AND f.prefix = (l.h >> (40 - l.depth))
 
 @_query("op4_shard_documents", _SHARD_SQL)
 def op4_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("bytes"))
-    return sharding.shard(docs, "doc_id", F.col("bytes"), SHARD_BYTES).drop("bytes")
+    docs = table(spark, sf_dir, "documents")
+    return sharding.sharded(docs, "doc_id", F.octet_length("text"), SHARD_BYTES).drop("text", "lang", "source", "n_chars")
 
 
 _MINHASH_SQL = f"""

@@ -4,14 +4,17 @@ Every row has 60 hash bits: 40 of its key, then 20 of its place in the scan, whi
 only tell apart rows with the same key. The directory is indexed by hash prefix; a
 bucket over the byte limit splits on one more bit, the others stay. So a row's
 shard is the shortest prefix of its bits whose bucket fits. All depths of the
-directory come from one histogram of fine prefixes, not from one job a split.
+directory come from one histogram of fine prefixes, not from one job a split. Rows are
+then written by shard, one file each.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from arbora.llm.common import ROW, bits_for, field, packed, unpacked, written
+from arbora.llm.common import ROW, bits_for, field, packed, shuffle_partitions, unpacked, written
+from arbora.session import scratch_path
 
 KEY_BITS, BITS = 40, 60
 
@@ -44,6 +47,8 @@ def shard(df: DataFrame, key: str, size: Column, limit: int) -> DataFrame:
     exceeds it (oversized), or rows with equal 60 bits do. Rows with a null key share
     the key of the empty text and are told apart by their place in the scan. Repeated
     rows are kept; an empty table gives an empty result; clashing names are replaced.
+    ``df`` is read several times and must come in the same order each time, as a table does;
+    write the result of a shuffle first.
     """
     place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << (BITS - KEY_BITS)))
     rows = packed(df.withColumn("__bytes", F.coalesce(size, F.lit(0)).cast("long")))
@@ -83,3 +88,44 @@ def shard(df: DataFrame, key: str, size: Column, limit: int) -> DataFrame:
     out = out.withColumns({"shard": F.substring(text, F.lit(1), F.col("shard_depth")),
                            "oversized": F.col("shard_bytes") > limit})
     return unpacked(out, [c for c in df.columns], ["shard", "shard_depth", "n_bytes", "shard_rows", "shard_bytes", "oversized"])
+
+
+#: The partition column of a sharded table: the shard's bits behind this letter (a folder can't be named by no bits).
+FOLDER, LETTER = "__shard", "s"
+#: Bytes of rows that one task writes.
+TASK_BYTES = 1 << 26
+
+
+def write_shards(df: DataFrame, key: str, size: Column, limit: int, folder: str) -> None:
+    """Writes ``df`` as a Parquet table with one folder, holding one file, for each shard of at most ``limit`` bytes."""
+    placed = shard(df, key, size, limit)
+    total = placed.agg(F.sum("n_bytes")).first()[0] or 0
+    tasks = max(shuffle_partitions(df.sparkSession), -(-total // TASK_BYTES))
+    own = [c for c in df.columns if c.lower() != FOLDER]
+    laid = placed.select(*[_own(df, c, placed) for c in own], F.concat(F.lit(LETTER), "shard").alias(FOLDER))
+    laid.repartition(tasks, FOLDER).write.partitionBy(FOLDER).parquet(folder)
+
+
+def _own(df: DataFrame, name: str, placed: DataFrame) -> Column:
+    if name.lower() in ("shard", "shard_depth", "n_bytes", "shard_rows", "shard_bytes", "oversized"):
+        raise ValueError(f"the rows hold a column {name}: rename it before they are sharded")
+    return placed["`" + name.replace("`", "``") + "`"].alias(name)
+
+
+def read_shards(df: DataFrame, size: Column, limit: int, folder: str) -> DataFrame:
+    """The rows of a table of `write_shards`, with the columns of `shard` measured on what is stored.
+
+    ``df`` gives the columns, ``size`` a row's bytes."""
+    stored = df.sparkSession.read.schema(StructType([*df.schema.fields, StructField(FOLDER, StringType())])).parquet(folder)
+    rows = stored.withColumn("n_bytes", F.coalesce(size, F.lit(0)).cast("long")).withColumn("shard", F.substring(FOLDER, 2, BITS)).drop(FOLDER)
+    sums = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("shard_rows"), F.sum("n_bytes").alias("shard_bytes"))
+    return rows.join(sums, "shard").select(
+        *[rows["`" + c.replace("`", "``") + "`"] for c in df.columns], "shard", F.length("shard").cast("int").alias("shard_depth"), "n_bytes",
+        "shard_rows", "shard_bytes", (F.col("shard_bytes") > limit).alias("oversized"))
+
+
+def sharded(df: DataFrame, key: str, size: Column, limit: int, folder: str | None = None) -> DataFrame:
+    """Writes the shards of ``df`` and reads them back. ``folder``: unset, a fresh one of the checkpoint folder."""
+    folder = folder or scratch_path(df.sparkSession, "shards")
+    write_shards(df, key, size, limit, folder)
+    return read_shards(df, size, limit, folder)

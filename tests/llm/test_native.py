@@ -41,6 +41,26 @@ def test_shards_of_one_hot_key_and_odd_rows(frame):
     assert sharding.shard(rows.limit(0), "doc_id", F.octet_length("text"), 10).count() == 0
 
 
+def test_shards_are_files_within_the_limit(spark, frame, tmp_path):
+    import os
+    rows = frame([(i, "x" * (i % 50), None if i % 9 else "a") for i in range(2000)] + [(None, None, "n"), (5, "y" * 3000, "c"), (7, "", "d")],
+                 "doc_id long, text string, source string")
+    out = sharding.sharded(rows, "doc_id", F.octet_length("text"), 1500, str(tmp_path / "s"))
+    got = out.collect()
+    assert sorted((r.doc_id or -1, r.text or "", r.source or "") for r in got) == sorted((r.doc_id or -1, r.text or "", r.source or "") for r in rows.collect())
+    files = {d: [f for f in os.listdir(tmp_path / "s" / d) if f.endswith(".parquet")] for d in os.listdir(tmp_path / "s") if d.startswith("__shard=")}
+    assert {r.shard for r in got} == {d.removeprefix("__shard=s") for d in files} and all(len(f) == 1 for f in files.values())
+    size = Counter()
+    for r in got:
+        size[r.shard] += len(r.text or "")
+    assert all((r.shard_bytes, r.shard_depth) == (size[r.shard], len(r.shard)) for r in got)
+    assert [r.shard_rows for r in got if r.oversized] == [1] and all(b <= 1500 or b == 3000 for b in size.values())
+    same = sharding.shard(rows, "doc_id", F.octet_length("text"), 1500).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("shard").alias("s")).collect()
+    assert {(r.doc_id, r.s) for r in same} <= {(r.doc_id, r.shard) for r in got}
+    one = sharding.sharded(rows.limit(3), "doc_id", F.octet_length("text"), 1 << 20)
+    assert {r.shard for r in one.collect()} == {""} and sharding.sharded(rows.limit(0), "doc_id", F.octet_length("text"), 10).count() == 0
+
+
 def _deviation(order, shares, cycle):
     """Largest distance of any source from its share, over all prefixes."""
     seen, worst = Counter(), 0.0
