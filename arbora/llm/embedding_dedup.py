@@ -11,8 +11,11 @@ Exact copies are one entry. Entries that share a bucket with many others and lie
 RADIUS degrees of its centroid become one ball: twice the radius is below the threshold's
 angle, so all pairs in a ball are linked without a look at them. Two balls are decided by
 the angle of their centres and their radii where that suffices; else their members are
-compared. So a large group of near copies costs its balls' pairs, and links are
-counted by sizes, never listed one by one. Buckets and ball pairs are verified in blocks.
+compared. So a large group of near copies costs its balls' pairs. Entries outside of balls are
+compared in blocks of a bucket; a block returns how many links each entry has and one row
+an entry that connects it, so a crowd that forms no ball writes rows by its members and blocks,
+not by its pairs. A pair that meets in several buckets is counted in the first. Only links with balls
+are listed.
 """
 
 from __future__ import annotations
@@ -178,42 +181,93 @@ def _block_rows(keyed: DataFrame) -> DataFrame:
     return out.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")})
 
 
-_DECIDED = "a long, b long, sure boolean"
+#: What a block returns: listed pairs with a ball, numbers of links, rows that connect entries.
+PAIR, COUNT, CONNECT = 0, 1, 2
+_DECIDED = "kind int, a long, b long, sure boolean, n long"
+#: Pairs whose buckets are looked at together.
+PAIRS = 1 << 18
+
+
+def first_meetings(left: np.ndarray, right: np.ndarray, key: int, per: int) -> np.ndarray:
+    """Which pairs of rows of bucket keys (``per`` a table, the own first) meet in bucket ``key`` first.
+
+    Two entries meet in a bucket that one of them owns and the other has; the order is that
+    of tables, then of keys.
+    """
+    first = np.ones(len(left), dtype=bool)
+    if not len(left):
+        return first
+    table = int(np.argmax(left[0] == key)) // per
+    for t in range(table + 1):
+        x, y = (b[:, t * per:(t + 1) * per] for b in (left, right))
+        for own, other in ((x[:, :1], y), (y[:, :1], x)):
+            met = (own == other).any(axis=1)
+            first &= ~(met & (own[:, 0] < key)) if t == table else ~met
+    return first
+
+
+def least_connected(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least of the entries 0 to n - 1 that each reaches over the pairs (a, b)."""
+    label = np.arange(n)
+    while len(a):
+        least = np.minimum(label[a], label[b])
+        if (label[a] == least).all() and (label[b] == least).all():
+            break
+        np.minimum.at(label, a, least)
+        np.minimum.at(label, b, least)
+    return label
 
 
 def _compared(blocks: DataFrame, cosine: float) -> DataFrame:
-    """(a, b, sure): pairs of entries of a bucket that are linked (sure) or need their members compared."""
+    """Links of the blocks of buckets: between entries by number, with balls as pairs (sure, or open until their members are compared)."""
     limit = math.acos(cosine)
 
+    def rows_out(kind: int, a: np.ndarray, b: np.ndarray, sure: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, dtype=np.int32)), pa.array(a), pa.array(b), pa.array(sure), pa.array(n)],
+                                          names=["kind", "a", "b", "sure", "n"])
+
     def block(t: pa.Table):
+        dims = np.array([len(r) for r in rows_of(column_array(t, "vec"))])
+        t = t.filter(pa.array(dims == dims[0]))  # a bucket key holds one dimension; another one can only meet it by a clash of hashes
         sides, own = t.column("side").to_numpy(), t.column("own").to_numpy()
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        rows = rows_of(column_array(t, "vec"))
-        if len(rows) < 2 or not own.any():
+        if t.num_rows < 2 or not own.any():
             return None
-        ids, radius = t.column("id").to_numpy(), t.column("radius").to_numpy()
-        dim = max(len(r) for r in rows)
-        same = np.array([len(r) == dim for r in rows])
-        if not same.all():  # a bucket key holds one dimension; another one can only meet it by a clash of hashes
-            rows = [np.pad(r, (0, dim - len(r))) for r in rows]
-        x = unit_rows(np.stack(rows).astype(np.float64))
+        ids, radius, size = (t.column(c).to_numpy() for c in ("id", "radius", "size"))
+        x = unit_rows(matrix_of(column_array(t, "vec")))
         left, right = np.flatnonzero(sides == i), np.flatnonzero(sides == j)
         c = x[left] @ x[right].T
         near = own[left][:, None] | own[right][None, :]
         if i == j:
             near &= np.arange(len(left))[:, None] < np.arange(len(right))[None, :]
         reach = radius[left][:, None] + radius[right][None, :]
+        out = []
         if reach.any():
             angle = _angle(c)
-            sure = np.where(reach > 0, angle + reach <= limit - 1e-7, c >= cosine)
+            sure = (reach > 0) & (angle + reach <= limit - 1e-7)
             open_ = (reach > 0) & ~sure & (angle - reach <= limit + 1e-7)
-        else:
-            sure, open_ = c >= cosine, np.zeros_like(near)
-        a, b = np.nonzero(near & (sure | open_))
-        if not len(a):
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[left[a]], ids[right[b]])), pa.array(np.maximum(ids[left[a]], ids[right[b]])),
-                                           pa.array(sure[a, b])], names=["a", "b", "sure"])
+            a, b = np.nonzero(near & (sure | open_))
+            out.append(rows_out(PAIR, np.minimum(ids[left[a]], ids[right[b]]), np.maximum(ids[left[a]], ids[right[b]]), sure[a, b], np.zeros(len(a), dtype=np.int64)))
+            near &= reach == 0
+        a, b = np.nonzero(near & (c >= cosine))
+        if len(a):
+            a, b = left[a], right[b]
+            per = t.column("per")[int(np.flatnonzero(radius == 0)[0])].as_py()
+            width = max(len(r) for r in rows_of(column_array(t, "buckets")))
+            buckets = np.zeros((len(ids), width), dtype=np.int64)
+            for k, r in enumerate(rows_of(column_array(t, "buckets"))):
+                buckets[k, :len(r)] = r
+            key, links = t.column("key")[0].as_py(), np.zeros(len(ids))
+            for start in range(0, len(a), PAIRS):
+                p, q = a[start:start + PAIRS], b[start:start + PAIRS]
+                first = first_meetings(buckets[p], buckets[q], key, per)
+                links += np.bincount(p[first], weights=size[q[first]], minlength=len(ids)) + np.bincount(q[first], weights=size[p[first]], minlength=len(ids))
+            some = np.flatnonzero(links)
+            out.append(rows_out(COUNT, ids[some], ids[some], np.ones(len(some), dtype=bool), links[some].astype(np.int64)))
+            label = least_connected(len(ids), a, b)
+            some = np.flatnonzero(label != np.arange(len(ids)))
+            out.append(rows_out(CONNECT, ids[some], ids[label[some]], np.ones(len(some), dtype=bool), np.zeros(len(some), dtype=np.int64)))
+        return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if sum(o.num_rows for o in out) else None
 
     return blocks.mapInArrow(lambda it: by_group(it, 3, block), _DECIDED)
 
@@ -268,16 +322,17 @@ def near_duplicates(df: DataFrame, cosine: float = 0.95, key: str = "vec_id", ve
     balls = written(balls.join(centres, "cell"), "vector-balls")
     of = inside.join(balls.select("cell", "ball"), "cell").select("id", "ball")
     hashed = written(hashed.join(of, "id", "left").withColumn("unit", F.coalesce("ball", "id")), "vector-units")
-    units = hashed.where("ball is null").select("id", "vec", "size", F.lit(0.0).alias("radius")).unionByName(
-        balls.select(F.col("ball").alias("id"), F.col("centre").alias("vec"), F.col("ball_size").alias("size"), (F.col("radius") + 1e-6).alias("radius")))
+    units = hashed.where("ball is null").select("id", "vec", "size", F.lit(0.0).alias("radius"), "buckets", "per").unionByName(
+        balls.select(F.col("ball").alias("id"), F.col("centre").alias("vec"), F.col("ball_size").alias("size"), (F.col("radius") + 1e-6).alias("radius"),
+                     F.array().cast("array<long>").alias("buckets"), F.lit(0).alias("per")))
     # buckets
     posted = hashed.select(F.col("unit").alias("id"), "per", F.posexplode("buckets").alias("at", "key"))
     posted = posted.groupBy("key", "id").agg(F.max(F.col("at") % F.col("per") == 0).alias("own"))
     posted = written(posted, "vector-postings")
     crowded = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("any")).where("n > 1 and any").drop("any")
-    blocks = _block_rows(posted.join(crowded, "key")).join(units.drop("size"), "id").select("key", "i", "j", "side", "id", "own", "radius", "vec")
-    decided = _compared(blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), cosine)
-    decided = written(decided.groupBy("a", "b").agg(F.max("sure").alias("sure")), "vector-links")
+    blocks = _block_rows(posted.join(crowded, "key")).join(units, "id").select("key", "i", "j", "side", "id", "own", "radius", "size", "per", "buckets", "vec")
+    compared = written(_compared(blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), cosine), "vector-compared")
+    decided = written(compared.where(F.col("kind") == PAIR).groupBy("a", "b").agg(F.max("sure").alias("sure")), "vector-links")
     # what centres and radii leave open
     sizes = units.select("id", "size")
     within = hashed.select(F.col("id"), "unit", "vec", "size")
@@ -292,9 +347,12 @@ def near_duplicates(df: DataFrame, cosine: float = 0.95, key: str = "vec_id", ve
     # counts and components
     sure = decided.where("sure").select("a", "b")
     both = sure.unionByName(sure.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    unit_links = both.join(sizes.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("unit")).agg(F.sum("size").alias("linked"))
+    counted = compared.where(F.col("kind") == COUNT).select(F.col("a").alias("unit"), F.col("n").alias("size"))
+    unit_links = both.join(sizes.withColumnRenamed("id", "b"), "b").select(F.col("a").alias("unit"), "size").unionByName(counted) \
+                     .groupBy("unit").agg(F.sum("size").alias("linked"))
+    connected = sure.unionByName(compared.where(F.col("kind") == CONNECT).select("a", "b"))
     member_links = extra.groupBy("id").agg(F.sum("n").alias("extra"))
-    labels = components(sure.unionByName(extra.select("a", "b").distinct()), "vector-components").withColumnRenamed("id", "unit")
+    labels = components(connected.unionByName(extra.select("a", "b").distinct()), "vector-components").withColumnRenamed("id", "unit")
     known = (hashed.select("id", "unit").join(sizes.withColumnRenamed("id", "unit"), "unit")
              .join(unit_links, "unit", "left").join(labels, "unit", "left").join(member_links, "id", "left")
              .select("id", (F.col("size") - 1 + F.coalesce("linked", F.lit(0)) + F.coalesce("extra", F.lit(0))).alias("n_links"),
