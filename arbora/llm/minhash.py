@@ -11,6 +11,12 @@ buckets of their bands; buckets with the same members count once. Bands are work
 off in rounds: a bucket is verified on full shingle sets in blocks of bounded size,
 each block returns a spanning forest of its links, and buckets whose members are
 connected by then drop out. Pairs that met in an earlier band are not verified again.
+
+A crowd costs no pairs of its own: members of large buckets are first verified against two pivots
+of the bucket, and what that connects counts as one. From then on a bucket's largest
+connected part is only compared with the rest of the bucket, so its word lists are copied
+as often as the rest needs, not as the crowd is large. Blocks are bounded by documents
+and by words.
 """
 
 from __future__ import annotations
@@ -29,8 +35,8 @@ from arbora.llm.components import components
 BANDS, ROWS = 40, 7
 #: Bands of each round of verification.
 ROUNDS = ((0, 4), (4, 12), (12, BANDS))
-#: Documents of a side of a block.
-BLOCK = 512
+#: Documents, and about the words, of a side of a block; members from which on a bucket gets two pivots.
+BLOCK, BLOCK_WORDS, CROWD = 512, 1 << 20, 64
 WORD_CACHE = 1 << 18
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLDEN = 0x9E3779B97F4A7C15
@@ -219,6 +225,42 @@ def _verified(blocks: DataFrame, width: int, percent: int) -> DataFrame:
     return blocks.mapInArrow(batches, "a long, b long")
 
 
+def _sides(n, words):
+    """Sides of a group of ``n`` documents that hold ``words`` words."""
+    return F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(words / BLOCK_WORDS)).cast("int")
+
+
+def _pivot_blocks(crowds: DataFrame) -> DataFrame:
+    """Members of large buckets in sides of bounded size, each with the bucket's pivots as side -1."""
+    place = F.struct(F.xxhash64("id"), F.col("id"))
+    ranked = crowds.groupBy("key").agg(F.sum("words").alias("all_words"), F.min(place).alias("p0"), F.max(place).alias("p1"))
+    sided = crowds.join(ranked, "key").withColumn("sides", _sides(F.col("size"), F.col("all_words")))
+    is_pivot = (F.col("id") == F.col("p0.id")) | (F.col("id") == F.col("p1.id"))
+    side = F.pmod(F.xxhash64("id"), F.col("sides")).cast("int")
+    rows = sided.select("key", "band", "id", F.col("id").alias("label"), side.alias("j"), side.alias("side"))
+    pivots = sided.where(is_pivot).select("key", "band", "id", F.col("id").alias("label"), F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("j"),
+                                          F.lit(-1).alias("side"))
+    return rows.unionByName(pivots).withColumn("i", F.lit(-1))
+
+
+def _rest_blocks(part: DataFrame) -> DataFrame:
+    """Buckets that hold more than one connected part, in blocks: all others against each other and against the largest part.
+
+    The largest part's sides come behind those of the others, and meet only those.
+    """
+    parts = part.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("words"))
+    buckets = parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum("words").alias("words"), F.max(F.struct("n", "label", "words")).alias("most"))
+    buckets = buckets.where("n > most.n").select(
+        "key", F.col("most.label").alias("largest"), _sides(F.col("n") - F.col("most.n"), F.col("words") - F.col("most.words")).alias("rest"),
+        _sides(F.col("most.n"), F.col("most.words")).alias("main"))
+    x = part.join(buckets, "key").withColumn("is_main", F.col("label") == F.col("largest"))
+    h = F.xxhash64("id")
+    side = F.when(F.col("is_main"), F.col("rest") + F.pmod(h, F.col("main"))).otherwise(F.pmod(h, F.col("rest"))).cast("int")
+    others = F.when(F.col("is_main"), F.sequence(F.lit(0), F.col("rest") - 1)).otherwise(F.sequence(F.lit(0), F.col("rest") + F.col("main") - 1))
+    x = x.withColumn("side", side).withColumn("other", F.explode(others))
+    return x.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "band", "id", "label")
+
+
 def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): documents linked at a Jaccard similarity of ``percent`` / 100 or more.
 
@@ -232,35 +274,32 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, key: str =
     signed = written(signatures(docs, width), "minhash-signatures")
     classes = signed.where("f1 is not null and doc_id is not null").groupBy("f1", "f2").agg(
         F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    members = written(signed.join(classes, ["f1", "f2"], "left").select(
+    # documents without words have no fingerprint, rows without an id no class: they don't meet in the join
+    classed = signed.where("f1 is not null").join(classes, ["f1", "f2"], "left").unionByName(
+        signed.where("f1 is null").withColumns({"rep": F.lit(None).cast("long"), "copies": F.lit(None).cast("long")}))
+    members = written(classed.select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"), "copies",
         F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")), "minhash-members")
     heads = members.where("bands is not null")
-    heads = heads.where("copies = 1").unionByName(heads.where("copies > 1").dropDuplicates(["rep"])).select("rep", "bands")
-    postings = heads.select("rep", F.posexplode("bands").alias("band", "key"))
+    heads = heads.where("copies = 1").unionByName(heads.where("copies > 1").dropDuplicates(["rep"])).select("rep", "n_shingles", "bands")
+    postings = heads.select("rep", "n_shingles", F.posexplode("bands").alias("band", "key"))
     buckets = (postings.groupBy("key").agg(
         F.count(F.lit(1)).alias("size"), F.min("band").alias("band"),
         F.bit_xor(F.xxhash64("rep")).alias("x1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x2")).where("size > 1")
         .groupBy("size", "x1", "x2").agg(F.min(F.struct("band", "key")).alias("k")).select("size", "k.key"))
-    met = written(postings.join(buckets, "key"), "minhash-buckets")
+    met = written(postings.join(buckets, "key").withColumnRenamed("n_shingles", "words"), "minhash-buckets")
     wanted = met.groupBy("rep").agg(F.lit(1).alias("one")).join(heads, "rep").select("rep", "bands")
     texts = docs.join(wanted, docs["doc_id"] == wanted["rep"]).select(F.col("rep").alias("id"), "text", "bands")
     pool = written(_word_lists(texts), "minhash-words")
     links, labels = None, None
-    for first, last in ROUNDS:
+    for first, last in ((0, ROUNDS[0][1]), *ROUNDS):
         part = met.where((F.col("band") >= first) & (F.col("band") < last)).withColumnRenamed("rep", "id")
         if labels is None:
-            part = part.withColumn("label", F.col("id"))
+            blocks = _pivot_blocks(part.where(F.col("size") >= CROWD))
         else:
             part = part.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-            mixed = part.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-            part = part.join(mixed, "key", "left_semi")
-        sides = F.ceil(F.col("size") / BLOCK).cast("int")
-        part = part.withColumn("side", F.pmod(F.xxhash64("id"), sides).cast("int"))
-        part = part.withColumn("other", F.explode(F.sequence(F.lit(0), sides - 1)))
-        part = part.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side",
-                           "band", "id", "label")
-        blocks = part.join(pool, "id").select("key", "i", "j", "side", "band", "id", "label", "words", "bands")
+            blocks = _rest_blocks(part)
+        blocks = blocks.join(pool, "id").select("key", "i", "j", "side", "band", "id", "label", "words", "bands")
         found = _verified(blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), width, percent)
         found = written(found if links is None else found.unionByName(links), "minhash-links")
         labels = written(components(found, "minhash-components"), "minhash-labels")

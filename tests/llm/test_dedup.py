@@ -185,3 +185,36 @@ def test_pairs_count_in_their_first_bucket():
     assert first(6)[0] is False                          # that pair has met in bucket 5
     assert first(20) == [False, True, False, True] and first(21)[2] is False
     assert embedding_dedup.least_connected(6, np.array([0, 1, 4]), np.array([1, 2, 5])).tolist() == [0, 0, 0, 3, 4, 4]
+
+
+def test_a_crowd_of_near_copies_is_copied_by_its_members(frame, monkeypatch):
+    """600 near copies of one text and a few documents beside them: word lists move a bounded number of times each."""
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    base = [rng.choice(vocabulary) for _ in range(300)]
+    rows = []
+    for i in range(600):
+        words = list(base)
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(300)] = rng.choice(vocabulary)
+        rows.append((i, " ".join(words)))
+    half = base[:150] + [rng.choice(vocabulary) for _ in range(150)]
+    rows += [(1000 + i, " ".join(half[:-1 - i])) for i in range(5)] + [(2000 + i, " ".join(rng.choice(vocabulary) for _ in range(80))) for i in range(50)]
+    monkeypatch.setattr(minhash, "BLOCK", 32)
+    blocks = []
+    for name in ("_pivot_blocks", "_rest_blocks"):
+        real = getattr(minhash, name)
+        monkeypatch.setattr(minhash, name, lambda x, real=real: blocks.append(real(x)) or blocks[-1])
+    out = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(rows, "doc_id long, text string")).collect()}
+    sets = {i: shingles(t, 5) for i, t in rows}
+    ids = sorted(sets)
+    links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1:] if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert out == reach(ids, links) and out[599] == 0 and out[1004] == 1000
+    moved = [b.count() for b in blocks]
+    assert moved[0] >= 600 and sum(moved) < 40 * 600 < len(links) / 4, moved   # all pairs in blocks of 32 would move 19 copies of each in every bucket
+
+
+def test_blocks_are_bounded_by_words(frame, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_WORDS", 100)
+    crowd = frame([(1, 4, 0, i, 90) for i in range(4)], "key long, size long, band int, id long, words long")
+    assert minhash._pivot_blocks(crowd).where("side >= 0").select("j").distinct().count() > 1
