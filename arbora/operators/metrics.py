@@ -215,8 +215,9 @@ def drop_padding(df: DataFrame, label: str = "label", fill: int = -1) -> DataFra
 def loss_summary(scored: DataFrame, p: str = "p", keys: list[str] | tuple = (),
                  alpha: float = 0.25, gamma: float = 2.0) -> DataFrame:
     """Mean cross-entropy, focal loss and perplexity over a table holding the
-    probability ``p`` assigned to the true class of every item."""
-    nll = -F.ln(F.col(p))
+    probability ``p`` assigned to the true class of every item. An item whose true class
+    got probability 0 has an infinite loss, and so has its table."""
+    nll = F.when(F.col(p) == 0, F.lit(float("inf"))).otherwise(-F.ln(F.col(p)))
     return scored.groupBy(*keys).agg(
         F.avg(nll).alias("mean_loss"),
         F.avg(F.lit(alpha) * F.pow(1 - F.col(p), F.lit(gamma)) * nll).alias("focal_loss"),

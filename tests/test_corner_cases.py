@@ -233,3 +233,34 @@ def test_searched_hosts_beyond_the_shipped_size(spark, monkeypatch):
     small = sorted(r.URL for r in of.searched_host_filter(df, hosts, url="URL").collect())
     monkeypatch.setattr(of, "HOSTS_MAX_BYTES", 1)
     assert sorted(r.URL for r in of.searched_host_filter(df, hosts, url="URL").collect()) == small == ["http://a.org/x"] * 2 + ["http://c.org"]
+
+
+def test_unified_paths_of_missing_levels(spark):
+    gs1 = spark.createDataFrame([("n", "d", "a", "b", "c"), ("n2", None, "a", None, "c")], "Name string, Description string, lvl1 string, lvl2 string, lvl3 string")
+    rows = {r.title: r for r in sp.unify(gs1, "wdc_ziqi").collect()}
+    assert rows["n"].path_list == "a>b>c" and rows["n2"].path_list is None and rows["n2"].category == "c"
+    assert {r.title: r.path_list for r in sp.unify(gs1, "wdc_ziqi", null_literal="nan").collect()}["n2"] == "nan"
+
+
+def test_rare_classes_and_their_complement(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "c"), (5, "c"), (6, "c")], "offer_id int, path_list string")
+    ids = lambda x: sorted(r.offer_id for r in x.collect())
+    assert ids(sp.rare_class_rows(df)) == [3] and ids(sp.rare_class_rows(df, complement=True)) == [1, 2, 4, 5, 6]
+    assert ids(sp.rare_class_rows(df, min_count=3)) == [1, 2, 3]
+
+
+def test_losses_of_an_impossible_class(spark):
+    r = m.loss_summary(spark.createDataFrame([(0.0,), (1.0,)], "p double")).first()
+    assert r.n_items == 2 and r.mean_loss == r.focal_loss == r.perplexity == float("inf")
+
+
+def test_taxonomy_by_path_and_path_codes(spark):
+    df = spark.createDataFrame([(1, "a", "x"), (2, "b", "x"), (3, "a", None)], "k int, l1 string, l2 string")
+    names = {r.name: r for r in tx.taxonomy_from_levels(df, ["l1", "l2"], "k", key="path").collect()}
+    assert set(names) == {"Root", "a", "b", "a>x", "b>x"} and names["b>x"].parent_id == names["b"].id
+    nodes = tx.taxonomy_from_levels(df, ["l1", "l2"], "k", key="path")
+    codes = {r.name: list(r.code_path) for r in tx.encode_path(nodes).collect()}
+    ordinals = {r.name: list(r.code_path) for r in tx.encode_path(nodes, per_parent=True).collect()}
+    assert codes["a>x"] == [names["a"].id, names["a>x"].id] and ordinals["b>x"] == [2, 1]
+    with pytest.raises(ValueError):
+        tx.taxonomy_from_levels(df, ["l1"], "k", key="other")
