@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+import zlib
 
 import numpy as np
 
@@ -37,6 +38,8 @@ HINTS = {
     "share": "share sharing social follow facebook twitter tools meta byline author tags",
 }
 _HINT_OF = {w: k for k, words in enumerate(HINTS.values()) for w in words.split()}
+#: Buckets of the hashed words of attributes: what the list above lacks can be learned, too.
+BUCKETS = 32
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>\x00]*)"
                     # attributes: a quote counts where a value begins, nowhere else
                     r"((?>[\s/]+|=?[^\s/>=]+(?>\s*=\s*(?>\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s>]*))?|=)*+)(?:>|\Z)", re.S)
@@ -50,14 +53,15 @@ TEXT = "#text"
 
 
 class Node:
-    __slots__ = ("tag", "parent", "depth", "hints", "text", "links", "main", "last", "control", "index")
+    __slots__ = ("tag", "parent", "depth", "hints", "words", "text", "links", "main", "last", "control", "index")
 
-    def __init__(self, tag, parent, depth, hints, main):
-        self.tag, self.parent, self.depth, self.hints, self.main = tag, parent, depth, hints, main
+    def __init__(self, tag, parent, depth, hints, words, main):
+        self.tag, self.parent, self.depth, self.hints, self.words, self.main = tag, parent, depth, hints, words, main
         self.text, self.links, self.last, self.control, self.index = "", 0, 0, 0, 0
 
 
-def _hints(tag: str, attributes: str) -> tuple[list[int], bool | None]:
+def _hints(tag: str, attributes: str) -> tuple[list[int], list[int], bool | None]:
+    """Hints and hash buckets of the words of a tag and its attributes, and its training mark."""
     found, main = [0] * len(HINTS), None
     names = [tag]
     for name, *values in _ATTRIBUTE.findall(attributes) if attributes.strip() else ():
@@ -71,13 +75,13 @@ def _hints(tag: str, attributes: str) -> tuple[list[int], bool | None]:
         k = _HINT_OF.get(w)
         if k is not None:
             found[k] += 1
-    return found, main
+    return found, [zlib.crc32(w.encode()) % BUCKETS for w in names[1:]], main
 
 
 def parse(page: str | None) -> list[Node]:
     """Nodes in page order, the root first: block elements, and as leaves the text blocks within them."""
     page = page or ""
-    root = Node("html", -1, 0, [0] * len(HINTS), None)
+    root = Node("html", -1, 0, [0] * len(HINTS), [], None)
     nodes, stack = [root], [0]  # stack: open block elements
     run, link_chars, anchors = [], 0, 0
 
@@ -87,7 +91,7 @@ def parse(page: str | None) -> list[Node]:
             text = " ".join(html.unescape("".join(run)).split())
             if text:
                 parent = nodes[stack[-1]]
-                leaf = Node(TEXT, stack[-1], parent.depth + 1, [0] * len(HINTS), None)
+                leaf = Node(TEXT, stack[-1], parent.depth + 1, [0] * len(HINTS), [], None)
                 leaf.text, leaf.links = text, min(link_chars, len(text))
                 nodes.append(leaf)
         run, link_chars = [], 0
@@ -134,7 +138,7 @@ def parse(page: str | None) -> list[Node]:
         anchors = 0
         if tag in ("html", "body"):
             if not closing:
-                hints, main = _hints(tag, m.group(3))
+                _, _, main = _hints(tag, m.group(3))
                 root.main = main if main is not None else root.main
             continue
         if closing:
@@ -156,9 +160,9 @@ def parse(page: str | None) -> list[Node]:
                 break
         if tag in VOID:
             continue
-        hints, main = _hints(tag, m.group(3))
+        hints, words, main = _hints(tag, m.group(3))
         parent = nodes[stack[-1]]
-        nodes.append(Node(tag, stack[-1], parent.depth + 1, hints, main if main is not None else parent.main))
+        nodes.append(Node(tag, stack[-1], parent.depth + 1, hints, words, main if main is not None else parent.main))
         stack.append(len(nodes) - 1)
     close_run()
     return nodes
@@ -166,11 +170,13 @@ def parse(page: str | None) -> list[Node]:
 
 FEATURES = ["chars", "link_share", "blocks", "mean_block", "longest_block", "depth", "start", "middle", "page_share", "children", "place",
             "siblings", "before", "after", "parent_share", "stops", "commas", "controls", "heading", "paragraph", "item", "cell", "text",
-            *[f"own_{h}" for h in HINTS], *[f"above_{h}" for h in HINTS], *[f"below_{h}" for h in HINTS]]
+            *[f"own_{h}" for h in HINTS], *[f"above_{h}" for h in HINTS], *[f"below_{h}" for h in HINTS],
+            *[f"words_{k}" for k in range(BUCKETS)]]
 
 
 def features(nodes: list[Node]) -> np.ndarray:
-    """A row for each node: densities of its subtree, hints of its attributes and those around it, depth and siblings."""
+    """A row for each node: densities of its subtree, hints of its attributes and those around it, depth and siblings,
+    and the hashed words of its attributes and its ancestors'."""
     n, h = len(nodes), len(HINTS)
     parent = np.array([x.parent for x in nodes])
     chars, links = np.zeros(n), np.zeros(n)
@@ -178,6 +184,7 @@ def features(nodes: list[Node]) -> np.ndarray:
     start, children, place = np.zeros(n), np.zeros(n), np.zeros(n)
     own = np.array([x.hints for x in nodes], dtype=float)
     above, below = own.copy(), own.copy()
+    words = np.zeros((n, BUCKETS))
     seen = 0
     before, last_child = np.zeros(n), {}
     after = np.zeros(n)
@@ -190,6 +197,9 @@ def features(nodes: list[Node]) -> np.ndarray:
             stops[k] = x.text.count(". ") + x.text.count("! ") + x.text.count("? ") + (x.text[-1] in ".!?…")
             commas[k] = x.text.count(",")
             seen += c
+        if k:
+            words[k] = words[x.parent]
+        words[k, x.words] = 1
         if k:
             place[k] = children[x.parent]
             children[x.parent] += 1
@@ -222,7 +232,7 @@ def features(nodes: list[Node]) -> np.ndarray:
                chars / np.maximum(chars[up], 1), stops / some * 100, commas / some * 100, controls,
                np.array([t in HEADINGS for t in kind]), np.array([t == "p" for t in kind]), np.array([t in ("li", "dt", "dd") for t in kind]),
                np.array([t in ("td", "th") for t in kind]), np.array([t == TEXT for t in kind])]
-    return np.column_stack([*columns, np.minimum(own, 3), above, np.minimum(below - own, 5)]).astype(np.float32)
+    return np.column_stack([*columns, np.minimum(own, 3), above, np.minimum(below - own, 5), words]).astype(np.float32)
 
 
 def labels(nodes: list[Node]) -> np.ndarray:

@@ -3,7 +3,7 @@
 Training pages come from a bounded sample of the table (SAMPLE pages, by hash of the id):
 pages whose markup names the article are taken as they are, and from the sentences of all
 sampled pages other layouts are composed, with articles, menus, adverts, notices, forms,
-sidebars, comments and footers under telling and untelling names. Spark fits the trees; they
+sidebars, comments and footers under telling, untelling and invented names. Spark fits the trees; they
 are then plain arrays that every task applies to the nodes of whole pages. A node's label is
 whether its subtree holds main text. Decoding picks the likeliest labels of a page in
 which nothing below a left-out node is kept.
@@ -53,9 +53,10 @@ class Trees:
 class Layouts:
     """Composes pages from sentences; every element of the main part carries the training mark."""
 
-    def __init__(self, sentences: list[str], seed: int):
+    def __init__(self, sentences: list[str], seed: int, names: dict[str, str] = HINTS, invented: float = 0.3):
         self.rng = random.Random(seed)
         self.sentences = sentences or ["A short text."]
+        self.known, self.invented = names, invented
 
     def sentence(self) -> str:
         return self.rng.choice(self.sentences)
@@ -75,7 +76,9 @@ class Layouts:
     def names(self, kind: str, telling: float = 0.75) -> str:
         r = self.rng
         if r.random() < telling:
-            word = r.choice(HINTS[kind].split())
+            word = r.choice(self.known[kind].split())
+            if r.random() < self.invented:  # a name that says nothing: the page's form must do
+                word = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(4, 9)))
             return r.choice([f' class="{word}"', f' id="{word}"', f' class="{r.choice(NEUTRAL)} {word}-{r.choice(NEUTRAL)}"'])
         return r.choice(["", f' class="{r.choice(NEUTRAL)}"'])
 

@@ -46,10 +46,8 @@ def trees(spark):
     return html_text.train(spark.read.parquet(f"{SF}/pages.parquet"))
 
 
-def test_held_out_layouts(spark, trees):
-    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").limit(60).collect()]
-    texts = [x.text for p in pages for x in dom.parse(p) if x.tag == dom.TEXT]
-    make = html_text.Layouts(sorted({s for t in texts for s in html_text._SENTENCE.split(t) if 0 < len(s) < 300}), 77)
+def scores(trees, make):
+    """Precision and recall of the text blocks of composed pages."""
     made = [make.page() for _ in range(150)]
     hit = false = missed = 0
     for page, text in zip(made, html_text.page_texts(made, trees)):
@@ -59,7 +57,40 @@ def test_held_out_layouts(spark, trees):
         hit += len(set(truth) & set(got))
         false += len(set(got) - set(truth))
         missed += len(set(truth) - set(got))
-    assert hit / (hit + false) > 0.95 and hit / (hit + missed) > 0.85
+    return hit / (hit + false), hit / (hit + missed)
+
+
+@pytest.fixture(scope="module")
+def sentences(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").limit(60).collect()]
+    texts = [x.text for p in pages for x in dom.parse(p) if x.tag == dom.TEXT]
+    return sorted({s for t in texts for s in html_text._SENTENCE.split(t) if 0 < len(s) < 300})
+
+
+#: Names of parts in other languages, none of which the library lists.
+UNSEEN = {"main": "artikel inhalt contenido texte", "menu": "menue barre menyu hauptnav", "advert": "werbung anzeige publicidad reklama",
+          "footer": "fusszeile pie pata pied", "header": "kopf cabecera kopfzeile entete", "side": "seitenleiste lateral marginal randspalte",
+          "comment": "kommentare comentarios avis meinungen", "notice": "hinweis aviso meldung avertissement",
+          "form": "formular formulario anmeldung recherche", "share": "teilen compartir partager weitersagen"}
+
+
+def test_held_out_layouts(trees, sentences):
+    precision, recall = scores(trees, html_text.Layouts(sentences, 77, invented=0))
+    assert precision > 0.95 and recall > 0.85
+
+
+def test_held_out_layouts_with_unseen_names(trees, sentences):
+    assert not {w for words in UNSEEN.values() for w in words.split()} & {w for words in dom.HINTS.values() for w in words.split()}
+    precision, recall = scores(trees, html_text.Layouts(sentences, 78, names=UNSEEN, invented=0))
+    assert precision > 0.85 and recall > 0.8, (precision, recall)
+
+
+def test_trees_of_an_empty_table(spark, frame):
+    none = frame([], "page_id long, url string, html string")
+    trees = html_text.train(none)
+    assert html_text.extract(none, trees).count() == 0
+    one = frame([(1, "u", "<p>Only this.</p>")], "page_id long, url string, html string")
+    assert html_text.extract(one, trees).first().page_id == 1
 
 
 def test_page_by_hand(frame, trees):
