@@ -58,7 +58,7 @@ def most_frequent(df: DataFrame, label: str) -> Column:
     return counts.orderBy(F.col("n_freq_").desc(), F.col(label)).limit(1).select(label).scalar()
 
 
-#: Bytes of the inverted index that are collected and shipped; a label space beyond it is refused.
+#: Bytes of an inverted index that is collected and shipped; a larger one is scanned in parts of whole classes.
 INDEX_MAX_BYTES = 256 << 20
 _AUTOMATA: dict = {}
 
@@ -87,7 +87,7 @@ def _scan_and_score(df: DataFrame, text: str, index_rows: list, options: list[st
     the counts of present words are added to the classes containing them, and
     the best class is chosen by exact integer comparison of ``s1 * n2`` against
     ``s2 * n1`` (ties: lowest ordinal). Runs in Arrow batches; every input row comes out
-    once, with an array of (option, name, score), so nothing is joined back.
+    once, with an array of (option, ord, name, score), so nothing is joined back.
     """
     vocab = list(dict.fromkeys(r[1] for r in index_rows if r[1]))
     pos = {w: i for i, w in enumerate(vocab)}
@@ -129,17 +129,18 @@ def _scan_and_score(df: DataFrame, text: str, index_rows: list, options: list[st
                 best = best_classes(auto, inv, t) if t is not None and vocab else {}
                 for o in options:
                     b = best.get(o)
-                    found.append((o, names[o, b[0]], b[1] / b[2]) if b else (o, None, 0.0))
+                    found.append((o, b[0], names[o, b[0]], b[1] / b[2]) if b else (o, None, None, 0.0))
             scored = pa.StructArray.from_arrays(
-                [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string()),
-                 pa.array([f[2] for f in found], pa.float64())], names=["option", "name", "score"])
+                [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.float64()))],
+                names=["option", "ord", "name", "score"])
             offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(options))
             kept = [n for n in batch.schema.names if n != "__scanned"]
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in kept], pa.ListArray.from_arrays(offsets, scored)],
                                              names=[*kept, "__scored"])
 
     scored = T.StructField("__scored", T.ArrayType(T.StructType([
-        T.StructField("option", T.StringType()), T.StructField("name", T.StringType()), T.StructField("score", T.DoubleType())])))
+        T.StructField("option", T.StringType()), T.StructField("ord", T.LongType()), T.StructField("name", T.StringType()),
+        T.StructField("score", T.DoubleType())])))
     return df.withColumn("__scanned", F.col(text)).mapInArrow(scan, T.StructType([*df.schema.fields, scored]))
 
 
@@ -148,11 +149,12 @@ def _inverted_index(vocab: DataFrame, option: str = "") -> DataFrame:
                         F.explode("words").alias("word"))
 
 
+def _index_bytes(index: DataFrame) -> int:
+    return index.agg(F.sum(F.octet_length("word") + F.octet_length("name") + 64)).first()[0] or 0
+
+
 def _index_rows(index: DataFrame) -> list:
-    """The inverted index on the driver, after its bytes have been checked."""
-    n = index.agg(F.sum(F.octet_length("word") + F.octet_length("name") + 64)).first()[0] or 0
-    if n > INDEX_MAX_BYTES:
-        raise ValueError(f"dictionary of {n} bytes; at most {INDEX_MAX_BYTES} are shipped to the tasks")
+    """An inverted index, or a part of one, on the driver; its bytes have been checked."""
     return [tuple(r) for r in index.select("option", "word", "ord", "nw", "name").collect()]
 
 
@@ -197,11 +199,21 @@ def sweep(df: DataFrame, text: str, options: dict[str, DataFrame], default: Colu
 
 
 def _scored(df: DataFrame, text: str, options: dict[str, DataFrame]) -> DataFrame:
+    """``df`` with ``__scored``. An index beyond ``INDEX_MAX_BYTES`` is cut by classes; the
+    text is scanned once for each part and the better class of two parts stays (equal ratios are
+    equal doubles, ties go to the lowest ordinal)."""
     index = None
     for name, vocab in options.items():
         i = _inverted_index(vocab, name)
         index = i if index is None else index.unionByName(i)
-    return _scan_and_score(df, text, _index_rows(index), list(options))
+    parts = max(1, -(-_index_bytes(index) // INDEX_MAX_BYTES))
+    out = _scan_and_score(df, text, _index_rows(index.where(F.pmod(F.xxhash64("ord"), F.lit(parts)) == 0)), list(options))
+    for k in range(1, parts):
+        rows = _index_rows(index.where(F.pmod(F.xxhash64("ord"), F.lit(parts)) == k))
+        out = _scan_and_score(out.withColumnRenamed("__scored", "__before"), text, rows, list(options))
+        better = lambda a, b: F.when((b["score"] > a["score"]) | ((b["score"] == a["score"]) & (b["ord"] < a["ord"])), b).otherwise(a)
+        out = out.withColumn("__scored", F.zip_with("__before", "__scored", better)).drop("__before")
+    return out
 
 
 def sweep_with_fallback(df: DataFrame, text: str, options: dict[str, DataFrame], default: Column | str, model,

@@ -264,3 +264,12 @@ def test_taxonomy_by_path_and_path_codes(spark):
     assert codes["a>x"] == [names["a"].id, names["a>x"].id] and ordinals["b>x"] == [2, 1]
     with pytest.raises(ValueError):
         tx.taxonomy_from_levels(df, ["l1"], "k", key="other")
+
+
+def test_dictionary_beyond_the_shipped_size_is_scanned_in_parts(spark, monkeypatch):
+    classes = spark.createDataFrame([(i, n) for i, n in enumerate(["red", "red_bike", "bike", "blue_car", "car", "a_b_c_d", "zoo"])], "id int, name string")
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["red bike", "car", "bluecar car", "a b", "nothing here", "", None, "zoo bike red"])], "k int, t string")
+    ask = lambda: sorted(((r.k, r.prediction, r.score) for r in cl.dictionary_classify(df, "t", cl.class_vocabulary(classes)).collect()))
+    whole = ask()
+    monkeypatch.setattr(cl, "INDEX_MAX_BYTES", 200)
+    assert cl._index_bytes(cl._inverted_index(cl.class_vocabulary(classes))) > 600 and ask() == whole and len(whole) == 8
