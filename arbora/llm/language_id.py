@@ -28,6 +28,8 @@ PROFILE, LONGEST, SAMPLE = 300, 5, 2000
 #: Languages x profile length that are shipped to the tasks at most.
 MAX_RANKS = 4_000_000
 UNKNOWN = "und"
+#: Hashes of texts are spread over so many places.
+SHARE = 1 << 40
 #: Places of a text whose n-grams are counted at a time.
 CHUNK = 1 << 18
 _FACTOR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -118,19 +120,17 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> Profiles:
     Equal texts of a language are learned from once; a language with more than ``sample``
     distinct ones from those with the least hashes.
     """
-    share = 1 << 40
-    rows = labelled.select("lang", "text").where("lang IS NOT NULL AND text IS NOT NULL") \
-                   .withColumn("place", F.pmod(F.xxhash64("text"), F.lit(share)))
+    spark = labelled.sparkSession
+    rows = labelled.select(F.col("lang").cast("string").alias("lang"), "text").where("lang IS NOT NULL AND text IS NOT NULL") \
+                   .withColumn("place", F.pmod(F.xxhash64("text"), F.lit(SHARE)))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("place").alias("n")).collect()}
     if len(sizes) * PROFILE > MAX_RANKS:
         raise ValueError(f"{len(sizes)} languages; profiles of at most {MAX_RANKS // PROFILE} are shipped to the tasks")
-    large = {k: v for k, v in sizes.items() if v > sample}
-    # some four times the texts that are needed are ranked, whatever a language's share
-    below = F.lit(share)
-    for name, n in large.items():
-        below = F.when(F.col("lang") == name, F.lit(min(share, int(share * (4 * sample + 40) / n)))).otherwise(below)
+    # some four times the texts that are needed are ranked, whatever a language's share; one row a language, of which there are few
+    below = spark.createDataFrame([(k, min(SHARE, SHARE * (4 * sample + 40) // max(1, n))) for k, n in sizes.items()], "lang string, below long")
+    near = rows.join(F.broadcast(below), "lang").where("place < below")
     order = Window.partitionBy("lang").orderBy("place")
-    chosen = rows.where(F.col("place") < below).groupBy("lang", "place").agg(F.first("text").alias("text")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample)
+    chosen = near.groupBy("lang", "place").agg(F.first("text").alias("text")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample)
 
     def counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
