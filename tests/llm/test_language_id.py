@@ -2,7 +2,6 @@
 
 from collections import Counter
 
-import numpy as np
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_mod
