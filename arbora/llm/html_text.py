@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from arbora.llm.common import hash_sample
 from arbora.llm.dom import FEATURES, HINTS, MARK, TEXT, decoded, features, labels, main_text, parse
+from arbora.llm.vectors import list_column
+from arbora.session import cut_lineage
 
 #: Sampled pages, composed layouts, trees and their depth.
 SAMPLE, LAYOUTS, TREES, DEPTH = 120, 480, 24, 5
@@ -185,10 +187,16 @@ def train(pages: DataFrame, key: str = "page_id", text: str = "html") -> Trees:
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
     sample = hash_sample(pages.where(F.col(text).isNotNull()), F.col(key), SAMPLE).select(text).collect()  # SAMPLE pages
-    nodes = [parse(p) for p in training_pages([r[0] for r in sample])]
-    x, y = np.concatenate([features(n)[1:] for n in nodes]), np.concatenate([labels(n)[1:] for n in nodes])
-    rows = pa.Table.from_arrays([pa.array(y), pa.array(list(x), pa.list_(pa.float32()))], names=["label", "x"])
-    data = pages.sparkSession.createDataFrame(rows).select("label", array_to_vector("x").alias("features")).coalesce(4).cache()
+    xs, ys = [], []
+    for page in training_pages([r[0] for r in sample]):
+        nodes = parse(page)  # one page's nodes at a time: the driver keeps their features only
+        xs.append(features(nodes)[1:])
+        ys.append(labels(nodes)[1:])
+    rows = pa.Table.from_arrays([pa.array(np.concatenate(ys)), list_column(np.concatenate(xs), pa.float32())], names=["label", "x"])
+    del xs, ys
+    data = pages.sparkSession.createDataFrame(rows).select("label", array_to_vector("x").alias("features")).coalesce(4)
+    del rows
+    data = cut_lineage(data).cache()  # rows of the driver would go out anew with every task of every tree
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, maxBins=48, seed=5, subsamplingRate=0.8).fit(data)
     data.unpersist()
     return _arrays(model)
