@@ -103,7 +103,8 @@ def _climbed(nodes: DataFrame, max_depth: int | None) -> DataFrame:
     Every node holds the upper end of the stretch of its path that is known and a pointer
     to the node above; a join with the table itself doubles all stretches, so a tree of
     depth D takes log2(D + 1) joins. Without ``max_depth`` each round asks whether any pointer
-    is left; more rounds than the number of nodes allows mean a cycle.
+    is left; more rounds than the number of nodes allows mean a cycle. Such a tree may be as long
+    as the data and its paths as its depth, so it is joined by a merge, never by a broadcast.
     """
     from arbora.operators.guards import checked_broadcast, checked_rows
     from arbora.session import cut_lineage
@@ -121,8 +122,8 @@ def _climbed(nodes: DataFrame, max_depth: int | None) -> DataFrame:
                 break
             if k == rounds:
                 raise ValueError("the edges hold a cycle")
-        up = checked_broadcast(cur.select(F.col("id").alias("a_id"), F.col("path").alias("a_path"), F.col("opath").alias("a_opath"),
-                                          F.col("next_").alias("a_next")), bound=nodes)
+        up = cur.select(F.col("id").alias("a_id"), F.col("path").alias("a_path"), F.col("opath").alias("a_opath"), F.col("next_").alias("a_next"))
+        up = up.hint("merge") if max_depth is None else checked_broadcast(up, bound=nodes)
         # a node whose parent isn't in the table ends there
         cur = cur.join(up, cur["next_"] == up["a_id"], "left").select(
             *nodes.columns, "pord", F.coalesce(F.concat("a_path", "path"), "path").alias("path"),

@@ -259,7 +259,7 @@ def taxonomy_deep_edges_parts(spark, sf):
     nodes = tx.taxonomy_from_edges(_deep_edges(spark, sf))
     roots, leaves = tx.roots(nodes).select("id", F.lit(True).alias("is_root")), tx.leaves(nodes).select("id", F.lit(True).alias("is_leaf"))
     no = F.lit(False)
-    return nodes.join(roots, "id", "left").join(leaves, "id", "left").select(
+    return nodes.join(roots.hint("merge"), "id", "left").join(leaves.hint("merge"), "id", "left").select(
         "id", "parent_id", "depth", _s("path").alias("path"), _s("opath").alias("opath"),
         F.coalesce("is_root", no).alias("is_root"), F.coalesce("is_leaf", no).alias("is_leaf"))
 
