@@ -28,10 +28,16 @@ def erfc(z: Column) -> Column:
     return t * F.exp(-z * z + poly)
 
 
-def majority_vote(runs: DataFrame, keys: list[str], correct: str = "correct") -> DataFrame:
-    """A4: per key, correct when more than half of the runs are correct."""
-    return runs.groupBy(*keys).agg(
-        ((F.sum(F.col(correct).cast("int")) * 2) > F.count("*")).alias("majority_correct"))
+def majority_vote(runs: DataFrame, keys: list[str], correct: str | dict[int, str] = "correct") -> DataFrame:
+    """A4: per key, correct when more than half of the runs are correct. With a verdict column
+    for each level (``{level: column}``) one group-by on ``keys`` sums all levels, and they become
+    rows (``level``) only afterwards."""
+    if isinstance(correct, str):
+        return runs.groupBy(*keys).agg(
+            ((F.sum(F.col(correct).cast("int")) * 2) > F.count("*")).alias("majority_correct"))
+    g = runs.groupBy(*keys).agg(*[F.sum(F.col(c).cast("int")).alias(f"sum_{k}_") for k, c in correct.items()], F.count("*").alias("n_"))
+    return g.select(*keys, F.inline(F.array(*[
+        F.struct(F.lit(k).alias("level"), (F.col(f"sum_{k}_") * 2 > F.col("n_")).alias("majority_correct")) for k in correct])))
 
 
 def contingency(a: DataFrame, b: DataFrame, keys: list[str], flag: str = "majority_correct") -> DataFrame:

@@ -3,7 +3,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from arbora.functions import text as tf
 from arbora.operators import metrics as m
@@ -24,19 +24,48 @@ LEVELS = (1, 2, 3)
 
 def seed_run_items(spark, sf, nodes, keep=(*ITEM, "l_returnflag")):
     """Columns ``keep`` of items x (model, seed): prediction = T2 leaf of part
-    ``(l_partkey * x + l_suppkey * y + seed) % count(part)``."""
+    ``(l_partkey * x + l_suppkey * y + seed) % count(part)``.
+
+    A model's seeds are looked up together: their leaves stand in one row under what all seeds
+    add to (see :func:`_seed_leaves`), so an item is shuffled once a model, and its runs become
+    rows only after the last join. That one is by ``l_partkey``, by which the rows stay
+    partitioned: grouping them by item needs no shuffle of its own.
+    """
     li = table(spark, sf, "lineitem")
-    n_parts = table(spark, sf, "part").select(F.count("*")).scalar()
-    grid = F.array(*[F.struct(F.lit(mo).alias("model"), F.lit(x).alias("x"), F.lit(y).alias("y"),
-                              F.lit(s).alias("seed")) for mo, x, y in MODELS for s in SEEDS])
+    n_parts = max(1, table(spark, sf, "part").count())
     pl = st.part_leaf(spark, sf, nodes)
     lab = pl.select(F.col("partkey").alias("l_partkey"), F.col("leaf_id").alias("label_id"))
-    prd = pl.select(F.col("partkey").alias("pred_partkey"), F.col("leaf_id").alias("pred_id"))
-    # the label is joined once per item, before the rows multiply by the runs
-    labelled = li.select(*ITEM, "l_returnflag").join(lab, "l_partkey")
-    runs = labelled.select("*", F.inline(grid)).withColumn(
-        "pred_partkey", (F.col("l_partkey") * F.col("x") + F.col("l_suppkey") * F.col("y") + F.col("seed")) % n_parts)
-    return runs.select(*keep, "label_id", "model", "seed", "pred_partkey").join(prd, "pred_partkey").drop("pred_partkey")
+    sums = F.array(*[F.struct(F.lit(mo).alias("model"), _seed_base(F.col("l_partkey") * x + F.col("l_suppkey") * y, n_parts).alias("base"))
+                     for mo, x, y in MODELS])
+    columns = list(dict.fromkeys([*keep, "l_partkey"]))
+    runs = li.select(*columns, F.inline(sums)).join(_seed_leaves(pl, n_parts), "base").drop("base")
+    runs = runs.join(lab, "l_partkey")
+    seeds = F.inline(F.filter(F.array(*[F.struct(F.lit(s).alias("seed"), F.col(f"leaf_{s}").alias("pred_id")) for s in SEEDS]),
+                              lambda r: r["pred_id"].isNotNull()))
+    return runs.select(*keep, "label_id", "model", seeds).withColumn("pred_id", F.when(F.col("pred_id") != NO_LEAF, F.col("pred_id")))
+
+
+#: Leaf of a part whose label the taxonomy lacks, while NULL means that there is no such part.
+NO_LEAF = -1
+
+
+def _seed_base(total, n):
+    """The number in ``(-n - max(SEEDS), n)`` that may stand for ``total``: with any seed added both leave the same remainder by ``n``."""
+    top = max(SEEDS)
+    return F.when(total >= 0, total % n).when(total > -top, total).otherwise((total + top) % n - top)
+
+
+def _seed_leaves(pl, n):
+    """(base, leaf_<seed>...): for each result of :func:`_seed_base` the leaves of the parts ``(base + seed) % n``.
+    Parts that share a key get further rows of the base; a seed without a part there is NULL."""
+    turns = max(SEEDS) // n + 2
+    seed, base = F.col("seed"), F.col("base")
+    rows = pl.select("partkey", F.coalesce("leaf_id", F.lit(NO_LEAF)).alias("leaf"), F.explode(F.array(*map(F.lit, SEEDS))).alias("seed"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(-turns), F.lit(turns))).alias("turn")).withColumn("base", F.col("partkey") - seed + F.col("turn") * n)
+    rows = rows.where((_seed_base(base, n) == base) & ((base + seed) % n == F.col("partkey")))
+    # the k-th part of each seed goes into the k-th row of its base
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("base", "seed").orderBy("leaf")))
+    return rows.groupBy("base", "k").agg(*[F.max(F.when(seed == s, F.col("leaf"))).alias(f"leaf_{s}") for s in SEEDS]).drop("k")
 
 
 _SQL_RUNS = "WITH RECURSIVE " + st.SQL_T2_NODES + "," + st.SQL_PREDICTIONS.split("items AS")[0].rstrip().rstrip(",") + """,
@@ -68,16 +97,16 @@ cont AS (
 
 
 def _level_runs(spark, sf):
-    """(item, model, seed, level, correct) for every seeded run and level."""
+    """(item, model, seed, correct_1..3) for every seeded run."""
     nodes = st.t2_nodes(spark, sf)
-    items = seed_run_items(spark, sf, nodes)
-    wide = m.level_columns(items, nodes, 3)
-    return wide.select(*ITEM, "model", "seed", F.inline(F.array(*[
-        F.struct(F.lit(k).alias("level"), F.col(f"correct_{k}").alias("correct")) for k in (1, 2, 3)])))
+    wide = m.level_columns(seed_run_items(spark, sf, nodes, ITEM), nodes, len(LEVELS))
+    return wide.select(*ITEM, "model", "seed", *[f"correct_{k}" for k in LEVELS])
 
 
 def _votes(spark, sf):
-    return sg.majority_vote(_level_runs(spark, sf), ITEM + ["level", "model"])
+    """One group for each item and model, with sums for each level."""
+    return sg.majority_vote(_level_runs(spark, sf), ITEM + ["model"], {k: f"correct_{k}" for k in LEVELS}).select(
+        *ITEM, "level", "model", "majority_correct")
 
 
 @query("significance_majority_votes", _SQL_VOTES + """

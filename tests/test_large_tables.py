@@ -4,8 +4,8 @@ from collections import Counter
 
 import pytest
 
-from arbora.operators import guards, taxonomy as tx
-from arbora.plans import q_metrics
+from arbora.operators import guards, significance as sg, taxonomy as tx
+from arbora.plans import q_metrics, q_runs, standins as st
 
 
 @pytest.fixture
@@ -48,3 +48,50 @@ def test_padded_levels_broadcast_nothing_that_grows(spark, tmp_path):
     df = q_metrics.metrics_padded_levels_parts(spark, sf)
     assert "BroadcastExchange" not in final_plan(df)
     assert {r.level for r in df.collect()} == {1, 15, 30, 45}
+
+
+def _runs_by_hand(parts, lines, leaf):
+    """(orderkey, model, seed, label, prediction) as the joins by part key give them."""
+    n, of = len(parts), {}
+    for p in parts:
+        of.setdefault(p[0], []).append(leaf(p))
+    out = Counter()
+    for order, _, part, supp, *_ in lines:
+        if part is None or supp is None:
+            continue
+        for model, x, y in q_runs.MODELS:
+            for seed in q_runs.SEEDS:
+                total = part * x + supp * y + seed
+                for label in of.get(part, []):
+                    for pred in of.get(abs(total) % n * (1 if total >= 0 else -1), []):
+                        out[order, model, seed, label, pred] += 1
+    return out
+
+
+def test_seeded_runs_of_odd_keys(spark, tmp_path):
+    """Keys that are null, negative, missing or come twice, and a part without a label."""
+    for n in (7, 61):
+        keys = [None, 3, 3, -2, *range(n - 4)]
+        parts = [(k, f"a n{i % 3}", "b", "t" if i != 5 else None, 1) for i, k in enumerate(keys)]
+        lines = [(i, 1, None if i == 4 else i % 9 - 3, None if i == 5 else i % 11 - 8, 1.0, "R") for i in range(80)]
+        sf = write_tables(spark, tmp_path / str(n), parts, lines)
+        nodes = st.t2_nodes(spark, sf)
+        ids = {r.name: r.id for r in nodes.collect()}
+        out = q_runs.seed_run_items(spark, sf, nodes, ["l_orderkey"])
+        assert out.columns == ["l_orderkey", "label_id", "model", "seed", "pred_id"]
+        got = Counter((r.l_orderkey, r.model, r.seed, r.label_id, r.pred_id) for r in out.collect())
+        assert got == _runs_by_hand(parts, lines, lambda p: p[3] and ids[f"t/b/{p[1].split()[1]}"]) and got
+
+
+@pytest.mark.parametrize("query", [q_runs.significance_majority_votes, q_runs.significance_contingency, q_runs.significance_mcnemar])
+def test_runs_are_grouped_by_item_where_they_are_joined(spark, tmp_path, no_broadcasts, query):
+    parts = [(k, f"a n{k % 5}", "b", "t", 1) for k in range(50)]
+    sf = write_tables(spark, tmp_path, parts, [(i, 1, i * 7 % 50, i % 13, 1.0, "R") for i in range(300)])
+    plan = final_plan(query(spark, sf))
+    assert "hashpartitioning(l_orderkey" not in plan and plan.count("hashpartitioning(pred_partkey") == 0
+
+
+def test_votes_of_levels_in_columns(spark):
+    runs = spark.createDataFrame([(1, True, False), (1, True, True), (1, False, False), (2, False, True)], "item int, c1 boolean, c2 boolean")
+    out = sg.majority_vote(runs, ["item"], {1: "c1", 2: "c2"})
+    assert {(r.item, r.level, r.majority_correct) for r in out.collect()} == {(1, 1, True), (1, 2, False), (2, 1, False), (2, 2, True)}
