@@ -8,6 +8,7 @@ from arbora.operators import classify as cl
 from arbora.operators import metrics as m
 from arbora.operators import splits as sp
 from arbora.operators import taxonomy as tx
+from arbora.operators.guards import checked_broadcast
 from arbora.plans import standins as st
 from arbora.plans.q_splits import _sql_split
 from arbora.plans.registry import query
@@ -19,9 +20,9 @@ T2_WORDS = r"[\s_/]+"   # T2 leaf names are path-qualified with '/'
 def _part_titles(spark, sf):
     o = st.t2_offers(spark, sf)
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("offer_id"), "p_type", "p_brand")
-    return o.join(p, "offer_id").select(
+    return st.spread_parts(spark, sf, o.join(p, "offer_id").select(
         "offer_id", F.concat_ws(" ", "title", F.lower("p_type"), F.lower("p_brand")).alias("title"),
-        "category")
+        "category"))
 
 
 def _t2_leaf_vocab(spark, sf):
@@ -166,7 +167,7 @@ withp AS (
 
 def _node_scores(spark, sf):
     nodes = st.t2_nodes(spark, sf)
-    items = st.lineitem_predictions(spark, sf, nodes)
+    items = st.lineitem_predictions(spark, sf, nodes, spread=True)
     withp = m.attach_paths(items, nodes)
     s = withp.select(*st.ITEM_KEY,
                      F.explode(F.array_distinct(F.concat("label_path", "pred_path"))).alias("node_id"))
@@ -289,7 +290,7 @@ def classify_successor_decode(spark, sf):
     lv = withp.select(*st.ITEM_KEY, "label_path", "pred_path", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("level"))
     cand = lv.select(*st.ITEM_KEY, "level", F.explode(F.array_distinct(F.array(
         F.element_at("label_path", F.col("level")), F.element_at("pred_path", F.col("level")), F.lit(0)))).alias("node_id"))
-    cand = cand.join(lo, "node_id", "left").select(*st.ITEM_KEY, "level", F.coalesce("ordinal", F.lit(0)).alias("ordinal"))
+    cand = cand.join(checked_broadcast(lo, bound=nodes), "node_id", "left").select(*st.ITEM_KEY, "level", F.coalesce("ordinal", F.lit(0)).alias("ordinal"))
     place = (F.col("l_orderkey") * 13 + F.col("level") * 7 + F.col("ordinal") * 3) % 89 + 1
     out = cl.successor_decode(cand.withColumn("logp", F.log(place / 90.0)), nodes, st.ITEM_KEY, CERTAINTY)
     return out.select(*st.ITEM_KEY, "path", "leaf_id", F.round("log_score", 6).alias("log_score"), "n_forced")
@@ -331,7 +332,12 @@ def _labelled_parts(spark, sf):
     p = table(spark, sf, "part").select(
         F.col("p_partkey").alias("offer_id"),
         F.concat_ws(" ", "p_name", "p_brand").alias("title"), F.col("p_type").alias("label"))
-    return sp.stratified_split(p, "label", 0.2, 42, "offer_id")
+    return _spread_for_fit(spark, sf, sp.stratified_split(p, "label", 0.2, 42, "offer_id"))
+
+
+def _spread_for_fit(spark, sf, x):
+    """Training rows for every core, in not many more parts: each part sums the statistics of all nodes by itself."""
+    return st.spread_parts(spark, sf, x, 2 * spark.sparkContext.defaultParallelism)
 
 
 @query("classify_forest_parts", note="Spark ML fit; rows-only check")
@@ -363,7 +369,7 @@ def classify_learned_accuracy_parts(spark, sf):
     and loaded, must beat the share of the largest class on the test split."""
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("offer_id"), F.concat_ws(" ", "p_name", "p_brand").alias("title"),
                                         st.noun(F.col("p_name")).alias("label"))
-    x = sp.stratified_split(p, "label", 0.2, 42, "offer_id")
+    x = _spread_for_fit(spark, sf, sp.stratified_split(p, "label", 0.2, 42, "offer_id"))
     train, test = x.where(~F.col("is_test")), x.where("is_test")
     out = None
     for name, fit in (("forest", cl.fit_forest), ("ngram_linear", cl.fit_ngram_linear), ("naive_bayes", cl.fit_naive_bayes)):

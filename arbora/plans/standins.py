@@ -69,8 +69,28 @@ def part_leaf(spark: SparkSession, sf: str, nodes: DataFrame) -> DataFrame:
     return tx.encode_names(o, "name", nodes, "leaf_id").select("partkey", "leaf_id")
 
 
-def lineitem_predictions(spark: SparkSession, sf: str, nodes: DataFrame | None = None) -> DataFrame:
-    """Items keyed by ``ITEM_KEY`` with (label_id, pred_id) over T2."""
+#: Items of a task that expands each into its candidates.
+ITEMS_PER_TASK = 1 << 18
+
+
+#: Parts of a task in which each part costs much, as where its title is scanned.
+PARTS_PER_TASK = 1 << 14
+
+
+def spread_parts(spark: SparkSession, sf: str, df: DataFrame, most: int | None = None) -> DataFrame:
+    """Rows of parts (offer_id, ...) dealt to tasks by their number, ``most`` tasks at most: the file of a
+    million parts has a few megabytes, by which the planner would give them to one or two tasks."""
+    n = table(spark, sf, "part").count() // PARTS_PER_TASK
+    n = n if most is None else min(n, most)
+    return df.repartition(n, "offer_id") if n > 1 else df
+
+
+def lineitem_predictions(spark: SparkSession, sf: str, nodes: DataFrame | None = None, spread: bool = False) -> DataFrame:
+    """Items keyed by ``ITEM_KEY`` with (label_id, pred_id) over T2.
+
+    With ``spread`` they are dealt by ``l_partkey`` to tasks of about ITEMS_PER_TASK and stay so, and
+    rows that are made of an item can be grouped by ``ITEM_KEY`` without a shuffle of their own.
+    """
     nodes = nodes if nodes is not None else t2_nodes(spark, sf)
     li = table(spark, sf, "lineitem")
     n_parts = table(spark, sf, "part").select(F.count("*")).scalar()
@@ -80,8 +100,10 @@ def lineitem_predictions(spark: SparkSession, sf: str, nodes: DataFrame | None =
     # part grows with the data: these are plain joins the planner sizes itself
     lab = pl.select(F.col("partkey").alias("l_partkey"), F.col("leaf_id").alias("label_id"))
     prd = pl.select(F.col("partkey").alias("pred_partkey"), F.col("leaf_id").alias("pred_id"))
-    return (items.join(lab, "l_partkey").join(prd, "pred_partkey")
-                 .select(*ITEM_KEY, "label_id", "pred_id"))
+    items = items.join(prd, "pred_partkey").drop("pred_partkey")
+    if spread:
+        items = items.repartition(max(spark.sparkContext.defaultParallelism, li.count() // ITEMS_PER_TASK), "l_partkey")
+    return items.join(lab, "l_partkey").select(*ITEM_KEY, "label_id", "pred_id")
 
 
 # ------------------------------------------------------------------ SQL twins

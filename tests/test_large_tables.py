@@ -4,8 +4,8 @@ from collections import Counter
 
 import pytest
 
-from arbora.operators import guards, significance as sg, taxonomy as tx
-from arbora.plans import q_metrics, q_runs, standins as st
+from arbora.operators import classify as cl, guards, significance as sg, taxonomy as tx
+from arbora.plans import q_classify, q_metrics, q_runs, standins as st
 
 
 @pytest.fixture
@@ -95,3 +95,43 @@ def test_votes_of_levels_in_columns(spark):
     runs = spark.createDataFrame([(1, True, False), (1, True, True), (1, False, False), (2, False, True)], "item int, c1 boolean, c2 boolean")
     out = sg.majority_vote(runs, ["item"], {1: "c1", 2: "c2"})
     assert {(r.item, r.level, r.majority_correct) for r in out.collect()} == {(1, 1, True), (1, 2, False), (2, 1, False), (2, 2, True)}
+
+
+@pytest.mark.parametrize("query", [q_classify.classify_path_product, q_classify.classify_greedy_decode, q_classify.classify_successor_decode])
+def test_candidates_are_grouped_by_item_where_they_are_made(spark, tmp_path, no_broadcasts, query):
+    parts = [(k, f"a n{k % 5}", "b", "t", 1) for k in range(50)]
+    sf = write_tables(spark, tmp_path, parts, [(i, 1, i * 7 % 50, i % 13, 1.0, "R") for i in range(300)])
+    df = query(spark, sf)
+    assert "hashpartitioning(l_orderkey" not in final_plan(df) and df.count() == 300
+
+
+def test_parts_are_dealt_to_tasks_by_their_number(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(st, "PARTS_PER_TASK", 10)
+    sf = write_tables(spark, tmp_path, [(k, f"a n{k % 3}", "b", f"t{k % 2}", 1) for k in range(205)])
+    assert q_classify._part_titles(spark, sf).rdd.getNumPartitions() == 20
+    x = q_classify._labelled_parts(spark, sf)
+    assert x.rdd.getNumPartitions() == min(20, 2 * spark.sparkContext.defaultParallelism) and x.count() == 205
+    monkeypatch.setattr(st, "PARTS_PER_TASK", 1000)
+    assert q_classify._part_titles(spark, sf).count() == 205
+
+
+def test_ngram_regression_holds_only_buckets_that_vary(spark):
+    train = spark.createDataFrame([("red steel bolt", "a"), ("red brass nut", "b"), ("blue steel bolt", "a"), ("blue brass nut", "b")], "t string, l string")
+    model = cl.fit_ngram_linear(train, "t", "l")
+    assert model.stages[-1].numFeatures < 200
+    assert [r.prediction_label for r in cl.decode_predictions(model.transform(train), model).collect()] == ["a", "b", "a", "b"]
+    same = spark.createDataFrame([("red steel bolt", "a"), ("red steel bolt", "b"), ("red steel bolt", "b")], "t string, l string")
+    model = cl.fit_ngram_linear(same, "t", "l")
+    assert {r.prediction_label for r in cl.decode_predictions(model.transform(same), model).collect()} == {"b"}
+
+
+def test_many_classes_of_one_word_are_scored_at_once(spark):
+    """Dense and sparse sums against the definition, with ties."""
+    classes = [(i, f"steel w{i} x{i % 7}") for i in range(300)]
+    vocab = cl.class_vocabulary(spark.createDataFrame(classes, "id int, name string"))
+    texts = ["steel", "a w5 b", "x3x3 w17 w17", "none", None, "w299 x5 steel steel", "x2"]
+    out = cl.dictionary_classify(spark.createDataFrame([(t,) for t in texts], "t string"), "t", vocab).collect()
+    for r in out:
+        scores = [sum((r.t or "").count(w) for w in n.split()) / len(n.split()) for _, n in classes]
+        best = max(range(300), key=lambda i: (scores[i], -i))
+        assert (r.prediction, r.score) == ((classes[best][1], scores[best]) if scores[best] else (None, 0.0))
