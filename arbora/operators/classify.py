@@ -84,38 +84,52 @@ def _scan_and_score(df: DataFrame, text: str, index_rows: list, options: list[st
     the label space, size-checked before it is collected and shipped to tasks).
     Each text is scanned once with an Aho-Corasick automaton over all words
     (Python ``str.count`` semantics: case-sensitive, non-overlapping, leftmost);
-    the counts of present words are added to the classes containing them, and
-    the best class is chosen by exact integer comparison of ``s1 * n2`` against
-    ``s2 * n1`` (ties: lowest ordinal). Runs in Arrow batches; every input row comes out
+    the counts of present words are added to the classes containing them, an array
+    at a time, and the class with the largest ratio of sum and number of words is
+    chosen (ties: lowest ordinal). Runs in Arrow batches; every input row comes out
     once, with an array of (option, ord, name, score), so nothing is joined back.
     """
+    import numpy as np
     vocab = list(dict.fromkeys(r[1] for r in index_rows if r[1]))
     pos = {w: i for i, w in enumerate(vocab)}
-    inv: dict = {}
-    names = {(option, ord_): name for option, _, ord_, _, name in index_rows}
-    for option, word, ord_, nw, _ in index_rows:
+    # for each option its classes in the order of their ordinals, and the places of those that hold a word
+    of_option: dict = {}
+    for option, word, ord_, nw, name in index_rows:
         if word:
-            inv.setdefault(pos[word], []).append((option, ord_, nw))
+            of_option.setdefault(option, {}).setdefault(ord_, (nw, name, []))[2].append(pos[word])
+    names, inv = {}, {}
+    for option, classes in of_option.items():
+        names[option] = [(ord_, classes[ord_][1]) for ord_ in sorted(classes)]
+        postings: dict = {}
+        for place, (ord_, _) in enumerate(names[option]):
+            for i in classes[ord_][2]:
+                postings.setdefault(i, []).append(place)
+        inv[option] = ({i: np.array(p) for i, p in postings.items()}, np.array([classes[ord_][0] for ord_, _ in names[option]]))
     # shipped once per executor as a broadcast variable, not inside every task closure
     shared = df.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, vocab, inv, names))
 
     def best_classes(auto, inv, t):
+        import numpy as np
         last_end, counts = {}, {}
         for end, (i, n) in auto.iter(t):                # ordered by end position
             if end - n + 1 > last_end.get(i, -1):       # greedy leftmost, non-overlapping
                 counts[i] = counts.get(i, 0) + 1
                 last_end[i] = end
-        acc: dict = {}
-        for i, c in counts.items():
-            for option, ord_, nw in inv.get(i, ()):
-                k = (option, ord_)
-                a = acc.get(k)
-                acc[k] = (a[0] + c, nw) if a else (c, nw)
         best: dict = {}
-        for (option, ord_), (sc, nw) in acc.items():
-            b = best.get(option)
-            if b is None or sc * b[2] > b[1] * nw or (sc * b[2] == b[1] * nw and ord_ < b[0]):
-                best[option] = (ord_, sc, nw)
+        for option, (postings, sizes) in inv.items():
+            hit = [i for i in counts if i in postings]
+            if hit:
+                found = np.concatenate([postings[i] for i in hit])
+                times = np.repeat([counts[i] for i in hit], [len(postings[i]) for i in hit])
+                if 4 * len(found) > len(sizes):         # places stand in the order of ordinals
+                    sums, at = np.bincount(found, times, len(sizes)), None
+                else:
+                    at, which = np.unique(found, return_inverse=True)
+                    sums = np.bincount(which, times)
+                # whole numbers far below 2^26: equal ratios are equal doubles, others differ
+                k = int(np.argmax(sums / (sizes if at is None else sizes[at])))
+                place = k if at is None else int(at[k])
+                best[option] = (place, int(sums[k]), int(sizes[place]))
         return best
 
     def scan(batches):
@@ -129,7 +143,7 @@ def _scan_and_score(df: DataFrame, text: str, index_rows: list, options: list[st
                 best = best_classes(auto, inv, t) if t is not None and vocab else {}
                 for o in options:
                     b = best.get(o)
-                    found.append((o, b[0], names[o, b[0]], b[1] / b[2]) if b else (o, None, None, 0.0))
+                    found.append((o, *names[o][b[0]], b[1] / b[2]) if b else (o, None, None, 0.0))
             scored = pa.StructArray.from_arrays(
                 [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.float64()))],
                 names=["option", "ord", "name", "score"])
@@ -281,10 +295,11 @@ def fit_ngram_linear(train: DataFrame, text: str, label: str, word_ngrams: int =
     """Words, word n-grams (2..``word_ngrams``) and character n-grams
     (``minn..maxn`` of ``<word>``) hashed into one sparse vector, then a
     multinomial logistic regression (a linear n-gram classifier). ``features`` is the number
-    of hash buckets: grams that share one share a weight."""
-    from pyspark.ml import Pipeline
+    of hash buckets: grams that share one share a weight. Buckets that are the same in all
+    training rows, as those without a gram, have a weight of zero, so these columns don't enter the regression."""
+    from pyspark.ml import Pipeline, PipelineModel
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import HashingTF, RegexTokenizer, SQLTransformer, StringIndexer
+    from pyspark.ml.feature import HashingTF, RegexTokenizer, SQLTransformer, StringIndexer, VarianceThresholdSelector
     word_grams = " , ".join(
         f"transform(sequence(1, greatest(size(tok_) - {n} + 1, 0)), i -> array_join(slice(tok_, i, {n}), ' '))"
         for n in range(2, word_ngrams + 1))
@@ -293,13 +308,18 @@ def fit_ngram_linear(train: DataFrame, text: str, label: str, word_ngrams: int =
         "flatten(transform(sequence(" + str(minn) + ", " + str(maxn) + "), n -> "
         "flatten(transform(tok_, w -> transform(sequence(1, greatest(length(concat('<', w, '>')) - n + 1, 0)), "
         "i -> substring(concat('<', w, '>'), i, n))))))) AS grams_ FROM __THIS__"))
-    return Pipeline(stages=[
+    hashed = Pipeline(stages=[
         StringIndexer(inputCol=label, outputCol="label_idx", stringOrderType="alphabetAsc"),
         RegexTokenizer(inputCol=text, outputCol="tok_", pattern=r"\s+", toLowercase=True),
         grams,
-        HashingTF(inputCol="grams_", outputCol="feat_", numFeatures=features),
-        LogisticRegression(featuresCol="feat_", labelCol="label_idx", maxIter=max_iter),
+        HashingTF(inputCol="grams_", outputCol="hashed_", numFeatures=features),
     ]).fit(train)
+    rows = hashed.transform(train)
+    chosen = VarianceThresholdSelector(featuresCol="hashed_", outputCol="feat_").fit(rows)
+    if not chosen.selectedFeatures:  # all texts are alike: a regression needs some column
+        return PipelineModel([*hashed.stages, LogisticRegression(featuresCol="hashed_", labelCol="label_idx", maxIter=max_iter).fit(rows)])
+    regression = LogisticRegression(featuresCol="feat_", labelCol="label_idx", maxIter=max_iter).fit(chosen.transform(rows))
+    return PipelineModel([*hashed.stages, chosen, regression])
 
 
 def save_model(model, path: str) -> str:
